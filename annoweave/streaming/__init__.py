@@ -1,0 +1,5 @@
+"""Intentionally empty: every job of this toolkit is a batch job.
+
+Nothing in the covered feature set consumes a stream, keeps state between
+micro-batches or handles late data, so there is no streaming operator to offer.
+"""
