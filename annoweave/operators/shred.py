@@ -54,11 +54,18 @@ def zero_license_count(raw: DataFrame) -> DataFrame:
 
 def _with_box(raw: DataFrame) -> DataFrame:
     """Add ``_box``: four numbers, zeros when absent, NULL when the shape is wrong."""
-    box = F.col("bbox")
-    if _is_variant(raw, "bbox"):
-        box = F.try_variant_get(box, "$", "array<double>")
     zeros = F.array(*[F.lit(0.0)] * 4)
-    return raw.withColumn("_box", F.when(F.col("bbox").isNull(), zeros).when(F.size(box) == 4, box))
+    if _is_variant(raw, "bbox"):
+        items = variant_list("bbox")
+        parts = [F.get(items, F.lit(i)) for i in range(4)]
+        numbers = [variant_number(part, strict=False) for part in parts]
+        readable = F.size(items) == 4
+        for part, number in zip(parts, numbers):
+            readable = readable & (number.isNotNull() | F.is_variant_null(part))
+        box = F.when(readable, F.array(*numbers))
+    else:
+        box = F.when(F.size("bbox") == 4, F.col("bbox"))
+    return raw.withColumn("_box", F.when(F.col("bbox").isNull(), zeros).otherwise(box))
 
 
 def boxed(raw: DataFrame) -> DataFrame:

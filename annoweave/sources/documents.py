@@ -61,5 +61,6 @@ def damaged_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     schema = member_schema("info").add("_corrupt_record", "string")
     docs = (spark.read.schema(schema).option("multiLine", True)
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return (docs.select(F.col("_metadata.file_path").alias("file"), "_corrupt_record")
-                .where("_corrupt_record is not null").select("file"))
+    # A document that parses but holds a value of another type is not damaged.
+    return (docs.where("_corrupt_record is not null and info is null")
+                .select(F.col("_metadata.file_path").alias("file")))

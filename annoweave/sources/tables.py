@@ -43,3 +43,12 @@ def ids(df: DataFrame, column: str = "id") -> DataFrame:
 def preview(df: DataFrame, key: str, rows: int = 3) -> DataFrame:
     """The first rows by key."""
     return df.orderBy(key).limit(rows)
+
+
+def existing_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
+    """The stored tables that are there; absent ones are left out."""
+    files = spark._jvm.org.apache.hadoop.fs
+    def there(name: str) -> bool:
+        path = files.Path(f"{root.rstrip('/')}/{name}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return {name: read_table(spark, root, name, fmt) for name in TABLES if there(name)}
