@@ -52,13 +52,39 @@ def variant_list(value: Column | str) -> Column:
     return F.try_variant_get(_col(value), "$", "array<variant>")
 
 
-def variant_number(value: Column | str, strict: bool) -> Column:
-    """A variant as DOUBLE, or NULL.
+def variant_numbers(value: Column | str, kind: str, strict: bool) -> Column:
+    """A variant holding a JSON array as an array of ``kind``; NULL for other JSON types.
 
-    Strict accepts JSON numbers and booleans; otherwise numeric text counts too.
+    An element that is not numeric becomes NULL. Strict accepts JSON numbers and
+    booleans; otherwise numeric text counts too. Only an array that mixes types,
+    or holds text, is looked at element by element.
     """
     value = _col(value)
-    number = F.try_variant_get(value, "$", "double")
-    if strict:
-        return F.when(F.schema_of_variant(value) != "STRING", number)
-    return number
+    numbers = F.try_variant_get(value, "$", f"array<{kind}>")
+    if not strict:
+        return numbers
+    checked = F.transform(variant_list(value), lambda item: _strict_number(item, kind))
+    return F.when(may_hold_text(value), checked).otherwise(numbers)
+
+
+def variant_polygons(value: Column | str, strict: bool) -> Column:
+    """A variant holding a list of lists of numbers as nested DOUBLE arrays.
+
+    As ``variant_numbers``; a polygon that is not a list is NULL.
+    """
+    value = _col(value)
+    numbers = F.try_variant_get(value, "$", "array<array<double>>")
+    if not strict:
+        return numbers
+    checked = F.transform(variant_list(value), lambda polygon: F.transform(
+        variant_list(polygon), lambda item: _strict_number(item, "double")))
+    return F.when(may_hold_text(value), checked).otherwise(numbers)
+
+
+def _strict_number(item: Column, kind: str) -> Column:
+    return F.when(F.schema_of_variant(item) != "STRING", F.try_variant_get(item, "$", kind))
+
+
+def may_hold_text(value: Column | str) -> Column:
+    """Whether the types found in a variant include text, or a mix that may."""
+    return F.schema_of_variant(_col(value)).rlike("STRING|VARIANT")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annoweave.functions.scalars import flag, variant_list, variant_number, zero_to_null
+from annoweave.functions.scalars import (
+    flag, may_hold_text, variant_list, variant_numbers, variant_polygons, zero_to_null)
 from annoweave.operators.joins import keep_matching
 
 _TAXON = ("id", "name", "supercategory", "level", "taxonomy_id")
@@ -52,44 +53,51 @@ def zero_license_count(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count_if(F.expr("try_cast(license as bigint) = 0")).alias("nullified"))
 
 
-def _with_box(raw: DataFrame) -> DataFrame:
-    """Add ``_box``: four numbers, zeros when absent, NULL when the shape is wrong."""
+def _box_numbers(raw: DataFrame) -> Column:
+    """The box as numbers, zeros when absent."""
     zeros = F.array(*[F.lit(0.0)] * 4)
+    box = F.col("bbox")
     if _is_variant(raw, "bbox"):
-        items = variant_list("bbox")
-        parts = [F.get(items, F.lit(i)) for i in range(4)]
-        numbers = [variant_number(part, strict=False) for part in parts]
-        readable = F.size(items) == 4
-        for part, number in zip(parts, numbers):
-            readable = readable & (number.isNotNull() | F.is_variant_null(part))
-        box = F.when(readable, F.array(*numbers))
-    else:
-        box = F.when(F.size("bbox") == 4, F.col("bbox"))
-    return raw.withColumn("_box", F.when(F.col("bbox").isNull(), zeros).otherwise(box))
+        box = F.try_variant_get(box, "$", "array<double>")
+    return F.when(F.col("bbox").isNull(), zeros).otherwise(box)
+
+
+def _box_is_usable(raw: DataFrame) -> Column:
+    """Whether the box is absent or has four elements, each a number or a JSON null."""
+    usable = F.size(_box_numbers(raw)) == 4
+    if _is_variant(raw, "bbox"):
+        # Only a box with text in it needs a look at each element.
+        for i in range(4):
+            item = F.try_variant_get("bbox", f"$[{i}]", "variant")
+            number = F.try_variant_get("bbox", f"$[{i}]", "double")
+            usable = usable & (~may_hold_text("bbox") | number.isNotNull() | F.is_variant_null(item))
+    return F.col("bbox").isNull() | F.coalesce(usable, F.lit(False))
 
 
 def boxed(raw: DataFrame) -> DataFrame:
     """Annotations whose box is absent or has exactly four numbers."""
-    return _with_box(raw).where("_box is not null")
+    return raw.where(_box_is_usable(raw))
 
 
 def rejected_boxes(raw: DataFrame) -> DataFrame:
     """Annotations left out because their box has the wrong shape."""
-    return _with_box(raw).where("_box is null").select("id", F.col("bbox").cast("string").alias("bbox"))
+    return raw.where(~_box_is_usable(raw)).select("id", F.col("bbox").cast("string").alias("bbox"))
 
 
-def kept_annotations(raw: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
+def kept_annotations(raw: DataFrame, images: DataFrame, categories: DataFrame, *,
+                     at_most_images: int | None = None) -> DataFrame:
     """Raw annotations whose image and category both exist."""
     found = keep_matching(raw, categories, "category_id", "id")
-    return keep_matching(found, images, "image_id", "id")
+    return keep_matching(found, images, "image_id", "id", at_most=at_most_images)
 
 
 def annotations_table(raw: DataFrame) -> DataFrame:
     """Typed annotations, the box split into four columns."""
     box = [F.get("_box", F.lit(i)).alias(n)
            for i, n in enumerate(("bbox_x", "bbox_y", "bbox_width", "bbox_height"))]
-    return boxed(raw).select("id", "image_id", "category_id", *box,
-                             "area", flag("iscrowd").alias("iscrowd"))
+    usable = boxed(raw)
+    return usable.withColumn("_box", _box_numbers(usable)).select(
+        "id", "image_id", "category_id", *box, "area", flag("iscrowd").alias("iscrowd"))
 
 
 def annotation_links(raw: DataFrame, numbers_only: bool = True) -> DataFrame:
@@ -97,17 +105,12 @@ def annotation_links(raw: DataFrame, numbers_only: bool = True) -> DataFrame:
 
     Ids written as text do not name an attribute unless ``numbers_only`` is off.
     """
-    if not _is_variant(raw, "attribute_ids"):
-        links = raw.select(F.col("id").alias("annotation_id"),
-                           F.explode("attribute_ids").alias("attribute_id"))
-        return links.where("attribute_id is not null")
-    items = raw.select(F.col("id").alias("annotation_id"),
-                       F.explode(variant_list("attribute_ids")).alias("_item"))
-    number = F.try_variant_get("_item", "$", "bigint")
-    if numbers_only:
-        number = F.when(F.schema_of_variant("_item") != "STRING", number)
-    return (items.select("annotation_id", number.alias("attribute_id"))
-                 .where("attribute_id is not null"))
+    listed = F.col("attribute_ids")
+    if _is_variant(raw, "attribute_ids"):
+        listed = variant_numbers("attribute_ids", "bigint", numbers_only)
+    # The outer form leaves out the size test that would evaluate the list twice.
+    links = raw.select(F.col("id").alias("annotation_id"), F.explode_outer(listed).alias("attribute_id"))
+    return links.where("attribute_id is not null")
 
 
 def known_links(links: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -115,44 +118,42 @@ def known_links(links: DataFrame, attributes: DataFrame) -> DataFrame:
     return keep_matching(links, attributes, "attribute_id", "id", row_id="annotation_id")
 
 
-def coordinate_pairs(raw: DataFrame) -> DataFrame:
-    """Every x, y pair of every polygon, as found; an odd last value has no pair.
+def coordinate_pairs(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """Every x, y pair of every polygon; an odd last value has no pair.
 
-    Works on typed nested arrays and on variants. In a variant anything but a
-    list of lists (a run-length object, say) has no pairs.
+    ``x`` and ``y`` are the values as found, ``x_coord`` and ``y_coord`` the same
+    as numbers, NULL where they are not numeric. Works on typed nested arrays and
+    on variants. In a variant anything but a list of lists (a run-length object,
+    say) has no pairs. The polygons are converted once, before they are unfolded.
     """
     variant = _is_variant(raw, "segmentation")
-    polygons = variant_list("segmentation") if variant else F.col("segmentation")
-    rows = raw.select(F.col("id").alias("annotation_id"),
-                      F.posexplode(polygons).alias("polygon_index", "_polygon"))
-    if variant:
-        rows = rows.withColumn("_polygon", variant_list("_polygon"))
-    last = F.expr("cast(size(_polygon) div 2 - 1 as int)")
-    return (rows.where("size(_polygon) >= 2")
-                .select("*", F.explode(F.sequence(F.lit(0), last)).alias("point_index"))
+    found = F.col("segmentation")
+    numbers = variant_polygons(found, strict) if variant else found.cast("array<array<double>>")
+    rows = raw.select(F.col("id").alias("annotation_id"), "segmentation",
+                      F.posexplode_outer(numbers).alias("polygon_index", "_numbers"))
+    last = F.expr("cast(size(_numbers) div 2 - 1 as int)")
+    pairs = F.when(F.size("_numbers") >= 2, F.sequence(F.lit(0), last))
+    x_at, y_at = F.col("point_index") * 2, F.col("point_index") * 2 + 1
+    source = F.get(variant_list(found) if variant else found, F.col("polygon_index"))
+    source = variant_list(source) if variant else source
+    return (rows.select("*", F.explode_outer(pairs).alias("point_index"))
+                .where("point_index is not null")
                 .select("annotation_id", "polygon_index", "point_index",
-                        F.get("_polygon", F.col("point_index") * 2).alias("x"),
-                        F.get("_polygon", F.col("point_index") * 2 + 1).alias("y")))
-
-
-def _measured(pairs: DataFrame, strict: bool) -> DataFrame:
-    def number(name: str) -> Column:
-        if _is_variant(pairs, name):
-            return variant_number(name, strict)
-        return F.col(name).cast("double")
-    return pairs.withColumn("x_coord", number("x")).withColumn("y_coord", number("y"))
+                        F.get(source, x_at).alias("x"), F.get(source, y_at).alias("y"),
+                        F.get("_numbers", x_at).alias("x_coord"),
+                        F.get("_numbers", y_at).alias("y_coord")))
 
 
 def polygon_points(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Point rows; a pair that is not numeric is left out and its index stays unused."""
-    return (_measured(coordinate_pairs(raw), strict)
+    return (coordinate_pairs(raw, strict)
             .where("x_coord is not null and y_coord is not null")
             .select("annotation_id", "polygon_index", "point_index", "x_coord", "y_coord"))
 
 
 def rejected_points(raw: DataFrame, strict: bool = True) -> DataFrame:
     """The pairs ``polygon_points`` left out, as text."""
-    return (_measured(coordinate_pairs(raw), strict)
+    return (coordinate_pairs(raw, strict)
             .where("x_coord is null or y_coord is null")
             .select("annotation_id", "polygon_index", "point_index",
                     F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y")))

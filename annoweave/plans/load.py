@@ -72,9 +72,11 @@ def shred_members(raw: Raw, options: LoadOptions = CHECKED,
     if sampled:
         images, found = referential_sample(images, found, targets, keys=_KEYS, seed=options.seed,
                                            method=options.method, parent_gate=options.parent_gate)
-    kept = shred.boxed(found).drop("_box")
+    kept = shred.boxed(found)
     if options.enforce:
-        kept = stage("kept", shred.kept_annotations(kept, images, raw["categories"]))
+        kept = stage("kept", shred.kept_annotations(
+            kept, images, raw["categories"],
+            at_most_images=targets.images if sampled and options.parent_gate is None else None))
     links = shred.annotation_links(kept, numbers_only=options.enforce)
     if options.enforce:
         links = shred.known_links(links, raw["attributes"])

@@ -23,7 +23,9 @@ def _unfold(docs: DataFrame, name: str, doc_key: str) -> DataFrame:
     """One row per element of member ``name``; a missing member gives no rows."""
     if name == "info":
         return docs.where("info is not null").select(F.struct(doc_key).alias("_order"), "info.*")
-    return (docs.select(doc_key, F.posexplode(name).alias("_pos", "_item"))
+    # The outer form leaves out the size test that would parse a document twice.
+    return (docs.select(doc_key, F.posexplode_outer(name).alias("_pos", "_item"))
+                .where("_pos is not null")
                 .select(F.struct(doc_key, "_pos").alias("_order"), "_item.*"))
 
 
@@ -38,11 +40,15 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> Raw:
 
 
 def documents_from_text(docs: DataFrame, text: str, doc_key: str) -> Raw:
-    """The same members from a column of JSON text, one document per row."""
+    """The same members from a column of JSON text, one document per row.
+
+    A text that does not spell the member's name, plainly or by escapes, is not parsed.
+    """
     raw = {}
     for name in MEMBERS:
         schema = member_schema(name).simpleString()
-        parsed = docs.select(doc_key, F.from_json(text, schema).alias("_doc"))
+        spelled = F.contains(F.col(text), F.lit(f'"{name}"')) | F.contains(F.col(text), F.lit("\\u"))
+        parsed = docs.select(doc_key, F.when(spelled, F.from_json(text, schema)).alias("_doc"))
         raw[name] = _unfold(parsed.select(doc_key, f"_doc.{name}"), name, doc_key)
     return raw
 

@@ -412,6 +412,13 @@ ORACLES: dict[str, str] = {
                           "union all select 'annotations', id from anns",
     "referential_sample_uniform": f"with {UNIFORM_DATASET_SAMPLE} select 'images' as \"table\", id "
                                   "from imgs union all select 'annotations', id from anns",
+    "referential_sample_gated": f"""with {UNIFORM_DATASET_SAMPLE},
+        {_uniform("direct", "annotations", "id", CHILDREN_KEPT)},
+        gate as (select count(*) > 10000 as closed from images)
+        select 'images' as "table", id from images where not (select closed from gate)
+        union all select 'annotations', id from direct where not (select closed from gate)
+        union all select 'images', id from imgs where (select closed from gate)
+        union all select 'annotations', id from anns where (select closed from gate)""",
     "clean_names": f"""select id, {_clean('name')} as cleaned,
         concat('{BASE}category_', {_clean('name')}) as uri, {_clean('name')} as "local"
         from ({TAXONOMY})""",

@@ -368,6 +368,17 @@ def referential_sample_uniform(spark, sf):
             .unionByName(annotations.select(F.lit("annotations").alias("table"), "id")))
 
 
+@query
+def referential_sample_gated(spark, sf):
+    """At most 10,000 images are kept whole and annotations are sampled directly."""
+    t = roles.tables(spark, sf)
+    images, annotations = sampling.referential_sample(
+        t["images"], t["annotations"], sampling.Targets(IMAGES_KEPT, CHILDREN_KEPT, CHILDREN_KEPT),
+        method="uniform", parent_gate=sampling.GATE_ROWS)
+    return (images.select(F.lit("images").alias("table"), "id")
+            .unionByName(annotations.select(F.lit("annotations").alias("table"), "id")))
+
+
 # --- taxonomy -----------------------------------------------------------------------------------
 
 @query

@@ -123,10 +123,21 @@ def _taxon_text(key: str, name: str, group: str, level: str, code: str) -> str:
             f"'level', {level}, 'taxonomy_id', {code}))")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan with fewer partitions than cores before its rows become documents.
+
+    Small tables are one row group, hence one task. A table of any size has more
+    partitions than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of five tables as a JSON document: columns ``doc`` and ``text``."""
     def table(name: str) -> DataFrame:
         return given(spark, sf_dir, name)
+    orders = _spread(table("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     # License ids appear as numbers and as text, the placeholder zero included.
     def license_text(key: str, odd: str) -> str:
         return f"if({odd} % 2 = 1, cast({key} as string), concat('\"', {key}, '\"'))"
@@ -145,7 +156,7 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                       f"'\",\"license\":', {license_text('c_nationkey', 'c_custkey')}, "
                       "',\"isstatic\":', if(c_custkey % 2 = 0, 'true', '0'), "
                       "',\"kaggle_id\":\"', c_mktsegment, '\"}')"),
-        _documents_of(table("orders"), "annotations", "o_orderkey", _annotation_text()),
+        _documents_of(orders, "annotations", "o_orderkey", _annotation_text()),
         table("orders").selectExpr("max(o_orderdate) last_day", "min(o_orderdate) first_day").selectExpr(
             "'info' doc", "concat('{\"info\":{\"year\":', year(last_day), ',\"version\":\"1.0\","
             "\"date_created\":\"', date_format(first_day, 'yyyy-MM-dd'), '\"}}') text"),
