@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from annoweave.operators.triples import Vocabulary, example_classes, triple_summary
-from annoweave.plans.load import CHECKED, UNCHECKED, load_documents
+from annoweave.plans.load import CHECKED, UNCHECKED, load_documents, load_lines
 from annoweave.plans.ontology import generate_from_file
 from annoweave.plans.report import comparison_report, dataset_report
 from annoweave.session import build_session
@@ -25,6 +25,8 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("--enable-sampling", action=argparse.BooleanOptionalAction, default=True)
     load.add_argument("--small-dataset-mode", action=argparse.BooleanOptionalAction, default=False)
     load.add_argument("--unchecked", action="store_true", help="take rows as they come")
+    load.add_argument("--lines", action="store_true",
+                      help="the input is a folder of <member>.jsonl instead of documents")
     load.add_argument("--staging", help="keep staged files in this folder")
     owl = commands.add_parser("ontology", help="turn a category file into triples")
     owl.add_argument("input")
@@ -57,8 +59,9 @@ def main(argv: list[str] | None = None) -> None:
         options = type(base)(**{**vars(base), "sample_size": args.sample_size,
                                 "enable_sampling": args.enable_sampling,
                                 "small_dataset_mode": args.small_dataset_mode})
-        tables = load_documents(spark, args.input, args.output, options, fmt=args.format,
-                                staging=args.staging)
+        load = load_lines if args.lines else load_documents
+        tables = load(spark, args.input, args.output, options, fmt=args.format,
+                      staging=args.staging)
         _show({"statistics": dataset_report(tables)["statistics"]})
     elif args.command == "ontology":
         words = Vocabulary(base=args.base, dataset=args.dataset, see_also=args.see_also)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PREFIX_DIGITS = 12
+_DIGITS = 12
 
 
 def draw(row_id: str, seed: int) -> Column:
@@ -13,10 +13,13 @@ def draw(row_id: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
 
 
-def position(drawn: Column) -> Column:
-    """The draw as a number in [0, 1), in the same order as the hex text.
+def mark(share: Column | float) -> Column:
+    """The hex text below which about ``share`` of all draws fall.
 
-    Twelve hex digits are 48 bits, which a DOUBLE holds exactly.
+    Text compares in the order of the numbers it spells, so draws are compared
+    with marks as they are. Nothing is below the mark of 0, all is below that of 1.
     """
-    prefix = F.conv(F.substring(drawn, 1, _PREFIX_DIGITS), 16, 10).cast("double")
-    return prefix / float(16 ** _PREFIX_DIGITS)
+    share = F.lit(share) if isinstance(share, float) else share
+    digits = F.lower(F.hex((share * float(16 ** _DIGITS)).cast("bigint")))
+    return (F.when(share <= 0, F.lit("")).when(share >= 1, F.lit("g"))
+             .otherwise(F.lpad(digits, _DIGITS, "0")))

@@ -20,7 +20,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annoweave.functions.draws import draw, position
+from annoweave.functions.draws import draw, mark
 from annoweave.operators.joins import BROADCAST_ROWS, attach, keep_matching, keep_unmatched
 from annoweave.session import settle
 
@@ -95,16 +95,23 @@ def uniform_sample(df: DataFrame, size: int, *, row_id: str = "id", seed: int =
         return df
     if size <= 0:
         return df.limit(0)
-    drawn = df.withColumn("_draw", draw(row_id, seed)).withColumn("_at", position(F.col("_draw")))
     slack = BAND_WIDTH * sqrt(size) + _BAND_FLOOR
-    sure, reach = (size - slack) / total, (size + slack) / total
-    seen = drawn.agg(F.count_if(F.col("_at") < sure).alias("below"),
-                     F.count_if(F.col("_at") < reach).alias("inside")).first()
+    low, high = mark((size - slack) / total), mark((size + slack) / total)
+    drawn = df.withColumn("_draw", draw(row_id, seed))
+    if size <= BROADCAST_ROWS:
+        # Little more than the sample is kept by one scan of the ids alone.
+        near = settle(drawn.select(row_id, "_draw").where(F.col("_draw") < high))
+        if near.count() < size:
+            near = drawn.select(row_id, "_draw")
+        picks = near.orderBy("_draw", row_id).limit(size)
+        return keep_matching(df, picks, row_id, row_id, row_id=row_id, at_most=size)
+    seen = drawn.agg(F.count_if(F.col("_draw") < low).alias("below"),
+                     F.count_if(F.col("_draw") < high).alias("inside")).first()
     below = seen["below"]
     if not below <= size <= seen["inside"]:
-        sure, reach, below = 0.0, 1.0, 0
-    near = drawn.where(F.col("_at") < reach)
-    kept = _ranked(near, F.col("_at") < sure, F.lit(size - below), row_id, [])
+        low, high, below = mark(0.0), mark(1.0), 0
+    kept = _ranked(drawn.where(F.col("_draw") < high), F.col("_draw") < low,
+                   F.lit(size - below), row_id, [])
     return kept.select(*df.columns)
 
 
@@ -147,7 +154,7 @@ def stratum_quotas(df: DataFrame, size: int, *, stratum: str, order: str) -> Dat
     return allocate(strata, stratum, size, total, count).select(stratum, "size", "take")
 
 
-def _reach(take: Column, rows: Column, width: float, floor: float, side: int) -> Column:
+def _edge(take: Column, rows: Column, width: float, floor: float, side: int) -> Column:
     """Lower (side -1) or upper (side 1) end of the band around the take-th lowest draw."""
     edge = (take + side * (F.sqrt(take) * width + floor)) / rows
     return F.when(take <= 0, 0.0).when(take >= rows, 1.0).otherwise(edge)
@@ -182,9 +189,9 @@ def stratified_sample(df: DataFrame, size: int, *, stratum: str, row_id: str = "
         return keep_matching(df, picks, row_id, row_id, row_id=row_id, at_most=size)
     # A sample too large to broadcast: rows surely in it are recognised by their
     # own draw, so the table is not shuffled to find them.
-    drawn = df.withColumn("_at", position(draw(row_id, seed)))
+    drawn = df.withColumn("_draw", draw(row_id, seed))
     sure = (attach(drawn, edges, stratum, row_id=row_id, at_most=count)
-            .where("_at < _sure").select(*df.columns))
+            .where("_draw < _sure").select(*df.columns))
     others = keep_matching(df, picks.where("not _certain"), row_id, row_id, row_id=row_id)
     return sure.unionByName(others)
 
@@ -200,30 +207,31 @@ def _choose(df: DataFrame, quotas: DataFrame, count: int, served: int, stratum:
     whole = width == float("inf")
     bands = quotas.select(
         stratum, "take",
-        (F.lit(0.0) if whole else _reach(take, rows, width, floor, -1)).alias("_sure"),
-        (F.lit(1.0) if whole else _reach(take, rows, width, floor, 1)).alias("_reach"))
-    spare_reach = 0.0 if spare <= 0 else 1.0 if whole else (
-        (spare + width * sqrt(spare) + floor) / unpicked)
+        mark(F.lit(0.0) if whole else _edge(take, rows, width, floor, -1)).alias("_sure"),
+        mark(F.lit(1.0) if whole else _edge(take, rows, width, floor, 1)).alias("_reach"))
+    wanted = F.col("_draw") < F.col("_reach")
     drawn = (df.select(*dict.fromkeys((row_id, stratum)))
-             .withColumn("_draw", draw(row_id, seed)).withColumn("_spare", draw(row_id, seed + 1)))
-    drawn = (drawn.withColumn("_at", position(F.col("_draw")))
-                  .withColumn("_spare_at", position(F.col("_spare"))))
-    near = settle(attach(drawn, bands, stratum, row_id=row_id, at_most=count)
-                  .where((F.col("_at") < F.col("_reach")) | (F.col("_spare_at") < spare_reach)))
-    edges = settle(near.where("_at < _reach").groupBy(stratum, "take", "_sure")
-                   .agg(F.count_if(F.expr("_at < _sure")).alias("below"),
+             .withColumn("_draw", draw(row_id, seed)))
+    if spare > 0:
+        slack = 0.0 if whole else width * sqrt(spare) + floor
+        spare_reach = mark(1.0 if whole else (spare + slack) / unpicked)
+        drawn = drawn.withColumn("_spare", draw(row_id, seed + 1))
+        wanted = wanted | (F.col("_spare") < spare_reach)
+    near = settle(attach(drawn, bands, stratum, row_id=row_id, at_most=count).where(wanted))
+    edges = settle(near.where("_draw < _reach").groupBy(stratum, "take", "_sure")
+                   .agg(F.count_if(F.expr("_draw < _sure")).alias("below"),
                         F.count(F.lit(1)).alias("inside")))
     hits = edges.agg(F.count_if(F.expr("below <= take and take <= inside"))).first()[0]
     if hits < served:
         return None
     needs = edges.select(stratum, (F.col("take") - F.col("below")).alias("_need"))
-    in_band = attach(near.where("_at < _reach"), needs, stratum, row_id=row_id, at_most=served)
-    picked = (_ranked(in_band, F.expr("_at < _sure"), F.col("_need"), row_id, [stratum])
+    in_band = attach(near.where("_draw < _reach"), needs, stratum, row_id=row_id, at_most=served)
+    picked = (_ranked(in_band, F.expr("_draw < _sure"), F.col("_need"), row_id, [stratum])
               .select(row_id, (F.col("_zone") > 0).alias("_certain"), F.lit(False).alias("_extra")))
     if spare <= 0:
         return edges.select(stratum, "_sure"), settle(picked)
     picked = settle(picked)
-    rest = keep_unmatched(near.where(F.col("_spare_at") < spare_reach).select(row_id, "_spare"),
+    rest = keep_unmatched(near.where(F.col("_spare") < spare_reach).select(row_id, "_spare"),
                           picked, row_id, row_id, row_id=row_id)
     extra = rest.orderBy("_spare", row_id).limit(spare)
     extra = extra.select(row_id, F.lit(False).alias("_certain"), F.lit(True).alias("_extra"))

@@ -14,7 +14,7 @@ from annoweave.operators.sampling import (
     GATE_ROWS, Keys, Targets, first_rows, needs_sampling, referential_sample)
 from annoweave.session import scratch_path
 from annoweave.sinks.tables import folder_bytes, remove_folder, save_tables, write_tables
-from annoweave.sources.documents import Raw, read_documents
+from annoweave.sources.documents import Raw, read_documents, read_member_files
 from annoweave.sources.tables import Tables, catalog_tables, create_tables, read_tables
 
 _KEYS = Keys(image_order="_order", annotation_order="_order")
@@ -97,14 +97,13 @@ def shred_members(raw: Raw, options: LoadOptions = CHECKED,
                     shred.rejected_points(outlined, options.strict), sampled)
 
 
-def load_documents(spark: SparkSession, path: str | list[str], root: str,
-                   options: LoadOptions = CHECKED, *, fmt: str = "parquet",
-                   staging: str | None = None) -> Tables:
-    """Read documents, shred them, write the tables below ``root`` and read them back.
+def load_members(spark: SparkSession, raw: Raw, root: str, options: LoadOptions = CHECKED, *,
+                 fmt: str = "parquet", staging: str | None = None) -> Tables:
+    """Shred raw members, write the tables below ``root`` and read them back.
 
     ``fmt`` is a file format, or ``catalog`` to treat ``root`` as a database name.
-    Staged intermediates are kept when ``staging`` names a folder for them, and
-    removed otherwise.
+    What was left out is written next to the tables. Staged intermediates are kept
+    when ``staging`` names a folder for them, and removed otherwise.
     """
     folder = staging or scratch_path(spark, "staging")
 
@@ -112,20 +111,36 @@ def load_documents(spark: SparkSession, path: str | list[str], root: str,
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    result = shred_members(read_documents(spark, path), options, stage)
+    result = shred_members(raw, options, stage)
     rejects = {"boxes": result.rejected_boxes, "points": result.rejected_points}
     if fmt == "catalog":
         create_tables(spark, root)
         save_tables(result.tables, root)
     else:
         write_tables(result.tables, root, fmt)
-        for name, df in rejects.items():
-            df.write.mode("overwrite").format(fmt).save(f"{root.rstrip('/')}/rejects/{name}")
+    for name, df in rejects.items():
+        writer = df.write.mode("overwrite")
+        if fmt == "catalog":
+            writer.saveAsTable(f"`{root}`.`rejected_{name}`")
+        else:
+            writer.format(fmt).save(f"{root.rstrip('/')}/rejects/{name}")
     if staging is None:
         remove_folder(spark, folder)
     return catalog_tables(spark, root) if fmt == "catalog" else read_tables(spark, root, fmt)
 
 
+def load_documents(spark: SparkSession, path: str | list[str], root: str,
+                   options: LoadOptions = CHECKED, **kwargs) -> Tables:
+    """Load whole JSON documents (one file each)."""
+    return load_members(spark, read_documents(spark, path), root, options, **kwargs)
+
+
+def load_lines(spark: SparkSession, folder: str, root: str,
+               options: LoadOptions = CHECKED, **kwargs) -> Tables:
+    """Load ``<member>.jsonl`` files or folders below ``folder``: the layout for large data."""
+    return load_members(spark, read_member_files(spark, folder), root, options, **kwargs)
+
+
 def compare_loads(spark: SparkSession, path: str | list[str], root: str, *,
                   sampling: bool = False) -> DataFrame:
     """Load the same documents both ways and report the difference in time and size."""

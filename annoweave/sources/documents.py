@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.schemas import MEMBERS, element_schema, member_schema
+from annoweave.session import path_exists
 
 Raw = dict[str, DataFrame]
 
@@ -62,6 +63,19 @@ def read_member_lines(spark: SparkSession, name: str, path: str | list[str]) ->
     return lines.select(order.alias("_order"), "*")
 
 
+def read_member_files(spark: SparkSession, folder: str) -> Raw:
+    """All members from ``<member>.jsonl`` below ``folder``; an absent member is empty."""
+    raw = {}
+    for name in MEMBERS:
+        path = f"{folder.rstrip('/')}/{name}.jsonl"
+        if path_exists(spark, path):
+            raw[name] = read_member_lines(spark, name, path)
+        else:
+            raw[name] = spark.createDataFrame([], element_schema(name)).select(
+                F.struct(F.lit(0).alias("_line")).alias("_order"), "*")
+    return raw
+
+
 def damaged_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files that are not valid JSON documents; the readers yield no rows for them."""
     schema = member_schema("info").add("_corrupt_record", "string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annoweave.schemas import TABLE_DDL, TABLES, table_schema
+from annoweave.session import path_exists
 
 Tables = dict[str, DataFrame]
 
@@ -47,8 +48,5 @@ def preview(df: DataFrame, key: str, rows: int = 3) -> DataFrame:
 
 def existing_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     """The stored tables that are there; absent ones are left out."""
-    files = spark._jvm.org.apache.hadoop.fs
-    def there(name: str) -> bool:
-        path = files.Path(f"{root.rstrip('/')}/{name}")
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return {name: read_table(spark, root, name, fmt) for name in TABLES if there(name)}
+    there = [n for n in TABLES if path_exists(spark, f"{root.rstrip('/')}/{n}")]
+    return {name: read_table(spark, root, name, fmt) for name in there}

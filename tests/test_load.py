@@ -6,7 +6,7 @@ import pytest
 from annoweave.__main__ import main
 from annoweave.operators import integrity, reports
 from annoweave.plans.load import (
-    CHECKED, UNCHECKED, LoadOptions, compare_loads, load_documents, shred_members)
+    CHECKED, UNCHECKED, LoadOptions, compare_loads, load_documents, load_lines, shred_members)
 from annoweave.plans.report import comparison_report, dataset_report
 from annoweave.schemas import TABLES, table_schema
 from annoweave.sinks.tables import export_csv, save_tables, write_tables
@@ -93,6 +93,20 @@ def test_several_documents(spark, tmp_path):
     assert counts(tables)["annotations"] == 3
 
 
+def test_lines_load_like_documents(spark, document, tmp_path):
+    content = dataset([image(1), image(2, 2)], [annotation(1, 1), annotation(2, 2, 3, [2, 3])])
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for name, member in content.items():
+        if name != "info":
+            (folder / f"{name}.jsonl").write_text("\n".join(json.dumps(e) for e in member))
+    by_line = load_lines(spark, str(folder), str(tmp_path / "a"))
+    whole = load_documents(spark, document(content), str(tmp_path / "b"))
+    for name in TABLES:
+        expected = [] if name == "info" else sorted(whole[name].collect())
+        assert sorted(by_line[name].collect()) == expected
+
+
 def test_sampled_load_of_a_large_document(spark, document, tmp_path):
     content = dataset([image(i + 1, 1 + i % 2) for i in range(12_000)],
                       [annotation(i + 1, i % 12_000 + 1, 1 + i % 2, [1 + i % 2]) for i in range(15_000)])
@@ -146,6 +160,7 @@ def test_catalog(spark, document):
     tables = load_documents(spark, path, "wardrobe", fmt="catalog")
     try:
         assert counts(tables)["segmentations"] == 4
+        assert spark.table("wardrobe.rejected_points").count() == 0
         create_tables(spark, "wardrobe")
         save_tables({"images": catalog_tables(spark, "wardrobe")["images"].limit(0).unionByName(
             spark.createDataFrame([], table_schema("images")))}, "wardrobe", mode="append")
