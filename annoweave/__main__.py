@@ -8,8 +8,8 @@ from annoweave.operators.triples import Vocabulary, example_classes, triple_summ
 from annoweave.plans.load import CHECKED, UNCHECKED, load_documents, load_lines
 from annoweave.plans.ontology import generate_from_file
 from annoweave.plans.report import comparison_report, dataset_report
-from annoweave.session import build_session
-from annoweave.sinks.tables import FILE_FORMATS
+from annoweave.session import build_session, path_exists, size_shuffles
+from annoweave.sinks.tables import FILE_FORMATS, folder_bytes
 from annoweave.sinks.triples import LINE_FORMATS
 from annoweave.sources.tables import read_tables
 
@@ -54,6 +54,9 @@ def _show(frames: dict) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = build_session()
+    sources = [vars(args).get(name) for name in ("input", "root", "full", "sample")]
+    size_shuffles(spark, sum(folder_bytes(spark, path) for path in sources
+                             if path and path_exists(spark, path)))
     if args.command == "load":
         base = UNCHECKED if args.unchecked else CHECKED
         options = type(base)(**{**vars(base), "sample_size": args.sample_size,

@@ -97,21 +97,15 @@ def shred_members(raw: Raw, options: LoadOptions = CHECKED,
                     shred.rejected_points(outlined, options.strict), sampled)
 
 
-def load_members(spark: SparkSession, raw: Raw, root: str, options: LoadOptions = CHECKED, *,
-                 fmt: str = "parquet", staging: str | None = None) -> Tables:
-    """Shred raw members, write the tables below ``root`` and read them back.
-
-    ``fmt`` is a file format, or ``catalog`` to treat ``root`` as a database name.
-    What was left out is written next to the tables. Staged intermediates are kept
-    when ``staging`` names a folder for them, and removed otherwise.
-    """
+def _load(spark: SparkSession, read: Callable[[Stage], Raw], root: str, options: LoadOptions,
+          fmt: str, staging: str | None) -> Tables:
     folder = staging or scratch_path(spark, "staging")
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    result = shred_members(raw, options, stage)
+    result = shred_members(read(stage), options, stage)
     rejects = {"boxes": result.rejected_boxes, "points": result.rejected_points}
     if fmt == "catalog":
         create_tables(spark, root)
@@ -130,15 +124,21 @@ def load_members(spark: SparkSession, raw: Raw, root: str, options: LoadOptions
 
 
 def load_documents(spark: SparkSession, path: str | list[str], root: str,
-                   options: LoadOptions = CHECKED, **kwargs) -> Tables:
-    """Load whole JSON documents (one file each)."""
-    return load_members(spark, read_documents(spark, path), root, options, **kwargs)
+                   options: LoadOptions = CHECKED, *, fmt: str = "parquet",
+                   staging: str | None = None) -> Tables:
+    """Read whole JSON documents, write the tables below ``root`` and read them back.
+
+    ``fmt`` is a file format, or ``catalog`` to treat ``root`` as a database name.
+    What was left out is written next to the tables. Staged intermediates are kept
+    when ``staging`` names a folder for them, and removed otherwise.
+    """
+    return _load(spark, lambda stage: read_documents(spark, path, stage), root, options, fmt, staging)
 
 
-def load_lines(spark: SparkSession, folder: str, root: str,
-               options: LoadOptions = CHECKED, **kwargs) -> Tables:
-    """Load ``<member>.jsonl`` files or folders below ``folder``: the layout for large data."""
-    return load_members(spark, read_member_files(spark, folder), root, options, **kwargs)
+def load_lines(spark: SparkSession, folder: str, root: str, options: LoadOptions = CHECKED, *,
+               fmt: str = "parquet", staging: str | None = None) -> Tables:
+    """The same for ``<member>.jsonl`` files below ``folder``: the layout for large data."""
+    return _load(spark, lambda stage: read_member_files(spark, folder), root, options, fmt, staging)
 
 
 def compare_loads(spark: SparkSession, path: str | list[str], root: str, *,

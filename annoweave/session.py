@@ -27,6 +27,17 @@ def build_session(app: str = "annoweave", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 << 20) -> int:
+    """Start shuffles with enough partitions for an input of this size.
+
+    Adaptive execution merges those that turn out small, so too many is the safe side.
+    """
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     -(-input_bytes // partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

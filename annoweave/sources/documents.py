@@ -11,6 +11,8 @@ into many documents, or use one JSON-lines file set per member (splittable).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +32,21 @@ def _unfold(docs: DataFrame, name: str, doc_key: str) -> DataFrame:
                 .select(F.struct(doc_key, "_pos").alias("_order"), "_item.*"))
 
 
-def read_documents(spark: SparkSession, path: str | list[str]) -> Raw:
-    """All members of the JSON documents at ``path``; a missing path raises."""
-    raw = {}
-    for name in MEMBERS:
-        docs = (spark.read.schema(member_schema(name)).option("multiLine", True).json(path)
-                .select(F.col("_metadata.file_path").alias("_file"), name))
-        raw[name] = _unfold(docs, name, "_file")
-    return raw
+def read_documents(spark: SparkSession, path: str | list[str],
+                   stage: Callable[[str, DataFrame], DataFrame] | None = None) -> Raw:
+    """All members of the JSON documents at ``path``; a missing path raises.
+
+    Without ``stage`` every use of a member parses the text again, skipping the
+    other members. With it the documents are parsed once, and stored by ``stage``
+    with one column per member, of which later reads take only the one they need.
+    """
+    def parsed(*names: str) -> DataFrame:
+        return (spark.read.schema(member_schema(*names)).option("multiLine", True).json(path)
+                .select(F.col("_metadata.file_path").alias("_file"), *names))
+    if stage is None:
+        return {name: _unfold(parsed(name), name, "_file") for name in MEMBERS}
+    docs = stage("documents", parsed(*MEMBERS))
+    return {name: _unfold(docs.select("_file", name), name, "_file") for name in MEMBERS}
 
 
 def documents_from_text(docs: DataFrame, text: str, doc_key: str) -> Raw:

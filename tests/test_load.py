@@ -77,7 +77,8 @@ def test_append_adds_rows(spark, document, tmp_path):
 def test_staging_is_kept_only_on_request(spark, document, tmp_path, monkeypatch):
     path = document(dataset([image(1)], [annotation(1, 1)]))
     load_documents(spark, path, str(tmp_path / "a"), staging=str(tmp_path / "kept"))
-    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["annotations", "images", "kept"]
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == [
+        "annotations", "documents", "images", "kept"]
     import annoweave.plans.load as load
     monkeypatch.setattr(load, "scratch_path", lambda s, label: str(tmp_path / "gone"))
     load_documents(spark, path, str(tmp_path / "b"))
