@@ -63,7 +63,7 @@ def variant_numbers(value: Column | str, kind: str, strict: bool) -> Column:
     numbers = F.try_variant_get(value, "$", f"array<{kind}>")
     if not strict:
         return numbers
-    checked = F.transform(variant_list(value), lambda item: _strict_number(item, kind))
+    checked = F.transform(variant_list(unextracted(value)), lambda item: _strict_number(item, kind))
     return F.when(may_hold_text(value), checked).otherwise(numbers)
 
 
@@ -76,15 +76,25 @@ def variant_polygons(value: Column | str, strict: bool) -> Column:
     numbers = F.try_variant_get(value, "$", "array<array<double>>")
     if not strict:
         return numbers
-    checked = F.transform(variant_list(value), lambda polygon: F.transform(
+    checked = F.transform(variant_list(unextracted(value)), lambda polygon: F.transform(
         variant_list(polygon), lambda item: _strict_number(item, "double")))
     return F.when(may_hold_text(value), checked).otherwise(numbers)
 
 
+def unextracted(value: Column | str) -> Column:
+    """The same variant, whole, as an expression the Parquet scan does not look through.
+
+    The scan extracts, for every row, each typed value a projection takes straight
+    from a variant column. That is wanted for the usual case and not for a branch
+    that few rows enter.
+    """
+    return F.try_variant_get(_col(value), "$", "variant")
+
+
 def _strict_number(item: Column, kind: str) -> Column:
     return F.when(F.schema_of_variant(item) != "STRING", F.try_variant_get(item, "$", kind))
 
 
 def may_hold_text(value: Column | str) -> Column:
     """Whether the types found in a variant include text, or a mix that may."""
-    return F.schema_of_variant(_col(value)).rlike("STRING|VARIANT")
+    return F.schema_of_variant(unextracted(value)).rlike("STRING|VARIANT")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annoweave.functions.scalars import (
-    flag, may_hold_text, variant_list, variant_numbers, variant_polygons, zero_to_null)
+    flag, may_hold_text, unextracted, variant_list, variant_numbers, variant_polygons,
+    zero_to_null)
 from annoweave.operators.joins import keep_matching
 
 _TAXON = ("id", "name", "supercategory", "level", "taxonomy_id")
@@ -68,8 +69,8 @@ def _box_is_usable(raw: DataFrame) -> Column:
     if _is_variant(raw, "bbox"):
         # Only a box with text in it needs a look at each element.
         for i in range(4):
-            item = F.try_variant_get("bbox", f"$[{i}]", "variant")
-            number = F.try_variant_get("bbox", f"$[{i}]", "double")
+            item = F.try_variant_get(unextracted("bbox"), f"$[{i}]", "variant")
+            number = F.try_variant_get(unextracted("bbox"), f"$[{i}]", "double")
             usable = usable & (~may_hold_text("bbox") | number.isNotNull() | F.is_variant_null(item))
     return F.col("bbox").isNull() | F.coalesce(usable, F.lit(False))
 
@@ -108,8 +109,10 @@ def annotation_links(raw: DataFrame, numbers_only: bool = True) -> DataFrame:
     listed = F.col("attribute_ids")
     if _is_variant(raw, "attribute_ids"):
         listed = variant_numbers("attribute_ids", "bigint", numbers_only)
-    # The outer form leaves out the size test that would evaluate the list twice.
-    links = raw.select(F.col("id").alias("annotation_id"), F.explode_outer(listed).alias("attribute_id"))
+    # Converted in a projection of its own, which the Parquet scan can do. The outer
+    # form leaves out the size test that would convert the list twice.
+    lists = raw.select(F.col("id").alias("annotation_id"), listed.alias("_listed"))
+    links = lists.select("annotation_id", F.explode_outer("_listed").alias("attribute_id"))
     return links.where("attribute_id is not null")
 
 
@@ -118,30 +121,43 @@ def known_links(links: DataFrame, attributes: DataFrame) -> DataFrame:
     return keep_matching(links, attributes, "attribute_id", "id", row_id="annotation_id")
 
 
+def _polygons(raw: DataFrame, strict: bool) -> DataFrame:
+    """One row per polygon, its values as numbers; converted once, before unfolding."""
+    found = F.col("segmentation")
+    numbers = (variant_polygons(found, strict) if _is_variant(raw, "segmentation")
+               else found.cast("array<array<double>>"))
+    converted = raw.select(F.col("id").alias("annotation_id"), "segmentation",
+                           numbers.alias("_converted"))
+    return converted.select("annotation_id", "segmentation",
+                            F.posexplode_outer("_converted").alias("polygon_index", "_numbers"))
+
+
+def _pairs(polygons: DataFrame) -> DataFrame:
+    """The x, y pairs of polygons, as numbers and as found."""
+    variant = _is_variant(polygons, "segmentation")
+    last = F.expr("cast(size(_numbers) div 2 - 1 as int)")
+    indexes = F.when(F.size("_numbers") >= 2, F.sequence(F.lit(0), last))
+    x_at, y_at = F.col("point_index") * 2, F.col("point_index") * 2 + 1
+    source = variant_list("segmentation") if variant else F.col("segmentation")
+    source = F.get(source, F.col("polygon_index"))
+    source = variant_list(source) if variant else source
+    return (polygons.select("*", F.explode_outer(indexes).alias("point_index"))
+                    .where("point_index is not null")
+                    .select("annotation_id", "polygon_index", "point_index",
+                            F.get(source, x_at).alias("x"), F.get(source, y_at).alias("y"),
+                            F.get("_numbers", x_at).alias("x_coord"),
+                            F.get("_numbers", y_at).alias("y_coord")))
+
+
 def coordinate_pairs(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Every x, y pair of every polygon; an odd last value has no pair.
 
     ``x`` and ``y`` are the values as found, ``x_coord`` and ``y_coord`` the same
     as numbers, NULL where they are not numeric. Works on typed nested arrays and
     on variants. In a variant anything but a list of lists (a run-length object,
-    say) has no pairs. The polygons are converted once, before they are unfolded.
+    say) has no pairs.
     """
-    variant = _is_variant(raw, "segmentation")
-    found = F.col("segmentation")
-    numbers = variant_polygons(found, strict) if variant else found.cast("array<array<double>>")
-    rows = raw.select(F.col("id").alias("annotation_id"), "segmentation",
-                      F.posexplode_outer(numbers).alias("polygon_index", "_numbers"))
-    last = F.expr("cast(size(_numbers) div 2 - 1 as int)")
-    pairs = F.when(F.size("_numbers") >= 2, F.sequence(F.lit(0), last))
-    x_at, y_at = F.col("point_index") * 2, F.col("point_index") * 2 + 1
-    source = F.get(variant_list(found) if variant else found, F.col("polygon_index"))
-    source = variant_list(source) if variant else source
-    return (rows.select("*", F.explode_outer(pairs).alias("point_index"))
-                .where("point_index is not null")
-                .select("annotation_id", "polygon_index", "point_index",
-                        F.get(source, x_at).alias("x"), F.get(source, y_at).alias("y"),
-                        F.get("_numbers", x_at).alias("x_coord"),
-                        F.get("_numbers", y_at).alias("y_coord")))
+    return _pairs(_polygons(raw, strict))
 
 
 def polygon_points(raw: DataFrame, strict: bool = True) -> DataFrame:
@@ -152,9 +168,12 @@ def polygon_points(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def rejected_points(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """The pairs ``polygon_points`` left out, as text."""
-    return (coordinate_pairs(raw, strict)
-            .where("x_coord is null or y_coord is null")
+    """The pairs ``polygon_points`` left out, as text.
+
+    Only polygons that hold such a value are unfolded.
+    """
+    odd = _polygons(raw, strict).where(F.exists("_numbers", lambda number: number.isNull()))
+    return (_pairs(odd).where("x_coord is null or y_coord is null")
             .select("annotation_id", "polygon_index", "point_index",
                     F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y")))
 
