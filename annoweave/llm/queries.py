@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import language, mixing
+from annoweave.llm import language, mixing, urls
 from annoweave.llm.common import table
 
 
@@ -20,9 +20,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         own["target"].alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op8_mix_sources": op8_mix_sources,
+    "op9_url_filter": op9_url_filter,
 }
 
 SQL: dict[str, str] = {}
