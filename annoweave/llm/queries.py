@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import language, mixing, urls
+from annoweave.llm import language, mixing, search, urls
 from annoweave.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     own = F.col("sources")[0]
@@ -26,8 +31,24 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_language_id": op5_language_id,
+    "op7_top_k_search": op7_top_k_search,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_top_k_search": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding,
+                  lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id query_id, c.vec_id vec_id,
+                   cast(list_inner_product(q.v, c.v) as bigint) score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+        ranked as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id)
+                           as integer) rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 20""",
+}
