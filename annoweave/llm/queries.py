@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import language, mixing, search, urls
+from annoweave.llm import language, mixing, pii, search, urls
 from annoweave.llm.common import table
 
 
@@ -29,11 +29,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_top_k_search": op7_top_k_search,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {
