@@ -41,7 +41,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"(?<![A-Za-z0-9_+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9_])",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])(?=[0-9_/+-]{0,64}[A-Za-z])[A-Za-z0-9_/+-]{16,}+",
 }
 # A text without this cannot hold the kind.
 _NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]",
@@ -236,8 +236,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts and hash of the base spans, and all spans as text."""
-    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(BASE)]
+    def of(place: int) -> Column:
+        return F.size(F.filter("base", lambda c: c["kind"] == place)).cast("long")
+
+    counts = [of(place).alias(f"n_{kind}") for place, kind in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
                         _written(F.concat("base", "added")).alias("spans"))
 
