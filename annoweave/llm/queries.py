@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import fingerprints, language, mixing, pii, search, urls
+from annoweave.llm import fingerprints, language, mixing, pii, search, similar, urls
 from annoweave.llm.common import table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.join_similar(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_fingerprints": op3_fingerprints,
     "op5_language_id": op5_language_id,
     "op7_top_k_search": op7_top_k_search,
