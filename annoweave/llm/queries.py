@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import fingerprints, language, mixing, pii, search, similar, urls
+from annoweave.llm import fingerprints, language, lines, mixing, pii, search, similar, urls
 from annoweave.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars_kept"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = search.integer_vectors(table(spark, sf_dir, "embeddings"))
     return search.top_k(vectors.where("vec_id % 20 = 0"), vectors)
@@ -45,6 +51,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_fingerprints": op3_fingerprints,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_top_k_search": op7_top_k_search,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
@@ -52,6 +59,31 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op6_line_dedup": r"""
+        with l as (
+            select doc_id, unnest(string_split(text, chr(10))) line,
+                   generate_subscripts(string_split(text, chr(10)), 1) pos
+            from documents where text is not null),
+        n as (
+            select *, lead(line, 1) over w l1, lead(line, 2) over w l2,
+                   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 long_line
+            from l window w as (partition by doc_id order by pos)),
+        r as (
+            select *, row_number() over (partition by line order by doc_id, pos) > 1 later,
+                   l2 is not null and row_number() over (partition by line, l1, l2
+                                                         order by doc_id, pos) > 1 run
+            from n),
+        d as (
+            select *, later and long_line or run or coalesce(lag(run, 1) over w, false)
+                   or coalesce(lag(run, 2) over w, false) gone
+            from r window w as (partition by doc_id order by pos)),
+        t as (
+            select doc_id, count(*) n_lines, count(*) filter (gone) n_deleted,
+                   coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') kept
+            from d group by doc_id)
+        select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_deleted, 0) n_deleted,
+               length(kept) n_chars_kept, sha256(kept) text_sha256
+        from documents left join t using (doc_id)""",
     "op7_top_k_search": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v
