@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import fingerprints, language, lines, mixing, pii, search, similar, urls
+from annoweave.llm import counts, encode, fingerprints, language, lines, mixing, pii, search, similar, urls
 from annoweave.llm.common import table
+from annoweave.llm.pieces import Model, read_model
+
+#: The vocabulary file of op1 and op4, read on the driver and broadcast.
+MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def model() -> Model:
+    return read_model(MODEL_PATH)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    coded = encode.encode(docs, model(), ("doc_id", "text_sha256"))
+    back = encode.decode(coded, model(), ("doc_id", "text_sha256", "ids"))
+    same = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
+    return back.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+                       same.alias("round_trip"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +36,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), model())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -48,8 +71,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_fingerprints": op3_fingerprints,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_top_k_search": op7_top_k_search,
