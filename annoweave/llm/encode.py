@@ -6,9 +6,9 @@ the rest only. For a unigram model the state of a prefix is its best score and l
 equal scores the longest last piece wins). For a BPE model it is the last token, the one that merging
 would leave there. Documents are then put together from their words.
 
-For a BPE model the results are those of the public library for the same file; for a unigram model they
-are the segmentation that its n-best search ranks first. Words in which pieces of equal score
-compete (runs of spaces) are merged plainly. Scores are summed in double precision, word by word.
+Results are those of the public library for the same model file. Words in which pieces of equal score
+compete (runs of spaces) are merged plainly. Scores are summed in double precision, word by word; the
+library sums whole texts in single precision, which can round scores of very different size to a tie.
 
 Defined cases: a null text gives null ids and decodes to null; an empty one gives no ids and decodes to
 the empty text. Decoding gives back any text without U+2581, which stands for a space, and without

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
@@ -42,3 +44,76 @@ def base_digest(text):
     spans = base_spans(text)
     counts = tuple(sum(k == place for _, k, _ in spans) for place in range(4))
     return counts + (hashlib.sha256(written(spans).encode()).hexdigest(),)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, width):
+    words = WORD.findall((text or "").translate(LOWER))
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)}
+
+
+def roots(nodes, links):
+    """Smallest node connected to each node."""
+    up = {n: n for n in nodes}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {n: top(n) for n in nodes}
+
+
+def similar(rows, width, percent):
+    """(doc_id, n_shingles, component_id) of every row, all pairs compared."""
+    sets = [(d, shingles(t, width)) for d, t in rows]
+    named = [(d, s) for d, s in sets if d is not None and s]
+    links = []
+    for i, (a, x) in enumerate(named):
+        for b, y in named[:i]:
+            common = len(x & y)
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                links.append((a, b))
+    found = roots({d for d, _ in sets if d is not None}, links)
+    same = {}
+    for d, s in named:
+        same[frozenset(s)] = min(found[d], same.get(frozenset(s), found[d]))
+    return [(d, len(s), found[d] if d is not None else same.get(frozenset(s))) for d, s in sets]
+
+
+def line_dedup(rows, min_lines, min_words):
+    """Text of each (doc_id, text) without later copies, by document order."""
+    seen_lines, seen_runs, out = set(), set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        if t is None:
+            out[d, t] = None
+            continue
+        lines, gone = t.split("\n"), set()
+        for i, line in enumerate(lines):
+            if line in seen_lines and len(WORD.findall(line)) >= min_words:
+                gone.add(i)
+            seen_lines.add(line)
+            run = tuple(lines[i:i + min_lines])
+            if len(run) == min_lines:
+                if run in seen_runs:
+                    gone.update(range(i, i + min_lines))
+                seen_runs.add(run)
+        out[d, t] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def top_k(vectors, queries, k):
+    out = []
+    for q, v in queries:
+        scored = sorted(((-sum(a * b for a, b in zip(v, w)), c) for c, w in vectors
+                         if c != q and len(v) == len(w)))
+        out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored[:k])]
+    return sorted(out)
