@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 
 from annoweave.operators.triples import Vocabulary, example_classes, triple_summary
-from annoweave.plans.load import CHECKED, UNCHECKED, load_documents, load_lines
+from annoweave.plans.load import (
+    CHECKED, REJECTS, UNCHECKED, load_documents, load_lines, read_rejects, rejects_report)
 from annoweave.plans.ontology import generate_from_file
 from annoweave.plans.report import comparison_report, dataset_report
 from annoweave.session import build_session, path_exists, size_shuffles
-from annoweave.sinks.tables import FILE_FORMATS, folder_bytes
+from annoweave.sinks.tables import FILE_FORMATS, export_csv, folder_bytes
 from annoweave.sinks.triples import LINE_FORMATS
 from annoweave.sources.tables import read_tables
 
@@ -21,9 +22,10 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("input")
     load.add_argument("output")
     load.add_argument("--format", choices=(*FILE_FORMATS, "catalog"), default="parquet")
-    load.add_argument("--sample-size", type=int, default=1000)
-    load.add_argument("--enable-sampling", action=argparse.BooleanOptionalAction, default=True)
-    load.add_argument("--small-dataset-mode", action=argparse.BooleanOptionalAction, default=False)
+    load.add_argument("--sample-size", type=int, help="keep a sample of so many rows; all rows without it")
+    load.add_argument("--small-dataset-mode", action="store_true", help="keep a very small sample")
+    load.add_argument("--all-images", action="store_true", help="sample annotations only")
+    load.add_argument("--strict", action="store_true", help="end on unreadable input instead of reporting it")
     load.add_argument("--unchecked", action="store_true", help="take rows as they come")
     load.add_argument("--lines", action="store_true",
                       help="the input is a folder of <member>.jsonl instead of documents")
@@ -35,12 +37,16 @@ def _parser() -> argparse.ArgumentParser:
     owl.add_argument("--base", default=Vocabulary.base)
     owl.add_argument("--dataset", default=Vocabulary.dataset)
     owl.add_argument("--see-also", default=Vocabulary.see_also)
+    owl.add_argument("--lenient", action="store_true", help="leave out categories that cannot be used")
+    export = commands.add_parser("export", help="write a stored dataset as CSV")
+    export.add_argument("root")
+    export.add_argument("output")
     report = commands.add_parser("report", help="statistics of a stored dataset")
     report.add_argument("root")
     both = commands.add_parser("compare", help="compare a dataset with its sample")
     both.add_argument("full")
     both.add_argument("sample")
-    for command in (report, both):
+    for command in (report, both, export):
         command.add_argument("--format", choices=FILE_FORMATS, default="parquet")
     return parser
 
@@ -60,16 +66,24 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "load":
         base = UNCHECKED if args.unchecked else CHECKED
         options = type(base)(**{**vars(base), "sample_size": args.sample_size,
-                                "enable_sampling": args.enable_sampling,
-                                "small_dataset_mode": args.small_dataset_mode})
+                                "small_dataset_mode": args.small_dataset_mode,
+                                "all_images": args.all_images, "fail_on_rejects": args.strict})
         load = load_lines if args.lines else load_documents
         tables = load(spark, args.input, args.output, options, fmt=args.format,
                       staging=args.staging)
         _show({"statistics": dataset_report(tables)["statistics"]})
+        if args.format != "catalog":
+            names = REJECTS if not args.unchecked else REJECTS[:4]
+            _show({"left out": rejects_report(spark, args.output, names)})
+            if not args.unchecked:
+                _show({"placeholder licenses": read_rejects(spark, args.output, "licenses")})
     elif args.command == "ontology":
         words = Vocabulary(base=args.base, dataset=args.dataset, see_also=args.see_also)
-        triples = generate_from_file(spark, args.input, args.output, args.format, words)
+        triples = generate_from_file(spark, args.input, args.output, args.format, words,
+                                     strict=not args.lenient)
         _show({"summary": triple_summary(triples), "classes": example_classes(triples)})
+    elif args.command == "export":
+        export_csv(read_tables(spark, args.root, args.format), args.output)
     elif args.command == "report":
         _show(dataset_report(read_tables(spark, args.root, args.format)))
     else:

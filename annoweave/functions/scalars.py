@@ -98,3 +98,14 @@ def _strict_number(item: Column, kind: str) -> Column:
 def may_hold_text(value: Column | str) -> Column:
     """Whether the types found in a variant include text, or a mix that may."""
     return F.schema_of_variant(unextracted(value)).rlike("STRING|VARIANT")
+
+
+def whole_number(text: Column | str, kind: str = "bigint") -> Column:
+    """Text of a number as an integer type; NULL if it is no number, not whole, or too large."""
+    exact = _col(text).try_cast("decimal(38,9)")
+    return F.when(exact == F.floor(exact), exact.try_cast(kind))
+
+
+def whole_numbers(numbers: Column) -> Column:
+    """An array of decimals as BIGINTs, NULL in place of those that are not whole."""
+    return F.transform(numbers, lambda n: F.when(n == F.floor(n), n.try_cast("bigint")))

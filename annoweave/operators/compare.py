@@ -68,10 +68,10 @@ def compare_columns(spark: SparkSession, full: Mapping[str, DataFrame],
               "sample_list string, error string")
 
 
-def compare_previews(full: DataFrame, sample: DataFrame, key: str, rows: int = 3) -> DataFrame:
-    """The first rows of both sides, marked by side."""
+def compare_previews(full: DataFrame, sample: DataFrame, *key: str, rows: int = 3) -> DataFrame:
+    """The first rows of both sides by key, marked by side."""
     def first(df: DataFrame, side: str) -> DataFrame:
-        return df.orderBy(key).limit(rows).select(F.lit(side).alias("side"), "*")
+        return df.orderBy(*key).limit(rows).select(F.lit(side).alias("side"), "*")
     return first(full, "full").unionByName(first(sample, "sample"))
 
 

@@ -12,10 +12,9 @@ from annoweave.operators.joins import keep_unmatched
 from annoweave.schemas import PRIMARY_KEYS, REFERENCES, Reference
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str = "id", *,
-            row_id: str = "id") -> DataFrame:
+def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str = "id") -> DataFrame:
     """Child rows that name no parent row."""
-    return keep_unmatched(child, parent, child_key, parent_key, row_id=row_id)
+    return keep_unmatched(child, parent, child_key, parent_key)
 
 
 def orphan_keys(child: DataFrame, parent: DataFrame, child_key: str,

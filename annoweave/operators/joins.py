@@ -1,92 +1,48 @@
-"""Joins that broadcast only what was counted, and salt hot keys otherwise."""
+"""Joins on key lists: settled once, broadcast when few, split by adaptive execution otherwise.
+
+The keys are computed once (settled and counted), so neither side is evaluated twice. Beyond the
+broadcast bound both sides are sorted and merged; adaptive execution splits the tasks of hot and of NULL
+keys on the left side and repeats the few key rows they meet.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annoweave.session import settle
+
 # A key list up to this many rows is broadcast; beyond it both sides shuffle.
 BROADCAST_ROWS = 500_000
-# Keys holding at least this share of the rows are spread over SALTS partitions.
-HOT_SHARE = 0.005
-SALTS = 64
-_TRACKED_KEYS = 2_000
-
-
-def fits_broadcast(df: DataFrame, at_most: int | None = None) -> bool:
-    """Whether ``df`` is small enough to ship to every executor.
-
-    ``at_most`` is a bound the caller can prove; without one the rows are counted.
-    """
-    rows = df.count() if at_most is None else at_most
-    return rows <= BROADCAST_ROWS
-
-
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Non-null keys that hold a large share of the rows, from one sketch pass.
-
-    The list has at most ``1 / HOT_SHARE`` keys. It only steers how rows are
-    spread: a join gives the same rows whichever keys are in it.
-    """
-    limit = int(1 / HOT_SHARE)
-    sketch = F.expr(f"approx_top_k(`{key}`, {limit}, {_TRACKED_KEYS})")
-    found = (df.where(F.col(key).isNotNull())
-               .agg(sketch.alias("top"), F.count(F.lit(1)).alias("rows")).first())
-    least = max(1.0, (found["rows"] or 0) * HOT_SHARE)
-    return [entry["item"] for entry in found["top"] or [] if entry["count"] >= least]
-
-
-def _is_hot(key: Column, hot: list) -> Column:
-    return key.isNull() | key.isin(hot) if hot else key.isNull()
-
-
-def _spread(df: DataFrame, key: str, hot: list, row_id: str) -> DataFrame:
-    """Add a salt: hot and null keys get one of SALTS values, the others zero."""
-    salt = F.pmod(F.xxhash64(F.col(row_id)), F.lit(SALTS)).cast("int")
-    return df.withColumn("_salt", F.when(_is_hot(F.col(key), hot), salt).otherwise(F.lit(0)))
 
 
-def _copies(df: DataFrame, key: str, hot: list) -> DataFrame:
-    """Repeat the rows of hot keys once per salt value."""
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salts = F.when(_is_hot(F.col(key), hot), every).otherwise(F.array(F.lit(0)))
-    return df.withColumn("_salt", F.explode(salts))
+def _side(df: DataFrame, at_most: int | None) -> DataFrame:
+    """``df``, to be broadcast if it is small: by a bound the caller can prove, or by count."""
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        return F.broadcast(df)
+    settled = settle(df)
+    return F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
 
 
-def _keep(left: DataFrame, right: DataFrame, left_key: str, right_key: str, row_id: str,
-          how: str, at_most: int | None) -> DataFrame:
-    keys = right.select(F.col(right_key).alias("_key"))
-    if fits_broadcast(keys, at_most):
-        return left.join(F.broadcast(keys), F.col(left_key) == F.col("_key"), how)
-    hot = hot_keys(left, left_key)
-    # distinct() ends hash-partitioned by (_key, _salt), so the join adds no
-    # second exchange on this side and repeated keys collapse before the shuffle.
-    spread_keys = _copies(keys, "_key", hot).distinct().withColumnRenamed("_salt", "_key_salt")
-    match = (F.col(left_key) == F.col("_key")) & (F.col("_salt") == F.col("_key_salt"))
-    return _spread(left, left_key, hot, row_id).join(spread_keys, match, how).drop("_salt")
+def _keys(right: DataFrame, right_key: str, at_most: int | None) -> DataFrame:
+    return _side(right.select(F.col(right_key).alias("_lookup")).where("_lookup is not null").distinct(), at_most)
 
 
 def keep_matching(left: DataFrame, right: DataFrame, left_key: str, right_key: str = "id", *,
-                  row_id: str = "id", at_most: int | None = None) -> DataFrame:
+                  at_most: int | None = None) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right`` (left semi join)."""
-    return _keep(left, right, left_key, right_key, row_id, "left_semi", at_most)
+    keys = _keys(right, right_key, at_most)
+    return left.join(keys, F.col(left_key) == F.col("_lookup"), "left_semi")
 
 
 def keep_unmatched(left: DataFrame, right: DataFrame, left_key: str, right_key: str = "id", *,
-                   row_id: str = "id", at_most: int | None = None) -> DataFrame:
-    """Rows of ``left`` whose key does not occur in ``right`` (left anti join)."""
-    return _keep(left, right, left_key, right_key, row_id, "left_anti", at_most)
+                   at_most: int | None = None) -> DataFrame:
+    """Rows of ``left`` whose key does not occur in ``right`` (left anti join); NULL occurs nowhere."""
+    keys = _keys(right, right_key, at_most)
+    return left.join(keys, F.col(left_key) == F.col("_lookup"), "left_anti")
 
 
-def attach(left: DataFrame, lookup: DataFrame, key: str, *, row_id: str,
-           at_most: int | None = None) -> DataFrame:
+def attach(left: DataFrame, lookup: DataFrame, key: str, *, at_most: int | None = None) -> DataFrame:
     """Add the columns of ``lookup`` (one row per key, NULL included) to matching rows."""
-    side = lookup.withColumnRenamed(key, "_key")
-    if fits_broadcast(side, at_most):
-        joined = left.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("_key")))
-        return joined.drop("_key")
-    hot = hot_keys(left, key)
-    side = _copies(side, "_key", hot).withColumnRenamed("_salt", "_key_salt")
-    match = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_key_salt"))
-    joined = _spread(left, key, hot, row_id).join(side, match)
-    return joined.drop("_key", "_salt", "_key_salt")
+    side = _side(lookup.withColumnRenamed(key, "_lookup"), at_most)
+    return left.join(side, F.col(key).eqNullSafe(F.col("_lookup"))).drop("_lookup")

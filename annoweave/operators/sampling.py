@@ -1,118 +1,153 @@
 """Seeded sampling: uniform, proportional by stratum, and reference-keeping.
 
-Rows are drawn by the order of a hash of their id, so a sample depends only on
-the seed and the ids, never on partitioning. Selecting "the n lowest hashes" does
-not need a global sort: hashes are uniform, so the n-th lowest of m lies near
-n/m. Rows clearly below that point are taken where they are, rows clearly above
-are dropped where they are, and only the thin band around it is ranked. The band
-is checked against exact counts; should it miss, ranking falls back to all rows,
-so the result is exact in every case.
-
-Ids are expected to be unique, as the table keys declare.
+Rows are drawn by the order of a hash of seed and id; rows that share an id follow each other by a hash
+of the whole row. So a sample depends on the seed and the rows only, never on partitioning or size, and
+it always has exactly as many rows as asked for.
+
+"The n lowest draws of each stratum" needs no sort: rows are counted by the first digits of their draw,
+which names the digit at which a stratum's quota runs out, and the rows of that digit alone are counted
+again by further digits. The rows below the end are then taken where they are, in one scan.
+
+An id that is NULL is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
-from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from annoweave.functions.draws import draw, mark
-from annoweave.operators.joins import BROADCAST_ROWS, attach, keep_matching, keep_unmatched
+from annoweave.functions.draws import draw
+from annoweave.operators.joins import attach, keep_matching, keep_unmatched
+from annoweave.schemas import TABLES
 from annoweave.session import settle
 
-# The documented gate and target sizes.
+# The documented gate and the small-mode sizes.
 GATE_ROWS = 10_000
-DEFAULT_TARGET = 1_000
 SMALL_IMAGES = 100
 SMALL_ANNOTATIONS = 200
-SMALL_SEGMENTED = 200
 
-# Half-width of the ranked band, in standard deviations of the n-th lowest hash.
-BAND_WIDTH = 6.0
-_BAND_FLOOR = 16.0
-_SPREAD = 512
+_DRAW = 12   # hex digits of the id's draw in a key; as many of the row's hash follow
+_STEP = 3    # digits looked at per count
+_FEW = 1000  # rows of a digit that are ranked as they are
 
 
 @dataclass(frozen=True)
 class Targets:
     """How many rows to keep of each kind."""
 
-    images: int = DEFAULT_TARGET
-    annotations: int = DEFAULT_TARGET
-    segmented: int = DEFAULT_TARGET
+    images: int
+    annotations: int
+
+    def __post_init__(self):
+        if self.images <= 0 or self.annotations <= 0:
+            raise ValueError("a sample needs a positive size")
 
     @classmethod
     def of(cls, sample_size: int | None = None, small: bool = False) -> Targets:
-        """Small mode overrides ``sample_size``; zero and None mean the default."""
+        """The same size for both, or the small mode's sizes; one of them must be asked for."""
         if small:
-            return cls(SMALL_IMAGES, SMALL_ANNOTATIONS, SMALL_SEGMENTED)
-        size = sample_size or DEFAULT_TARGET
-        return cls(size, size, size)
-
+            return cls(SMALL_IMAGES, SMALL_ANNOTATIONS)
+        if sample_size is None:
+            raise ValueError("a sample needs a size")
+        return cls(sample_size, sample_size)
 
-def needs_sampling(images: DataFrame, annotations: DataFrame, *, enabled: bool = True,
-                   gate: int = GATE_ROWS) -> bool:
-    """Whether either table is strictly larger than the gate."""
-    return enabled and (annotations.count() > gate or images.count() > gate)
 
+def gate_report(images: DataFrame, annotations: DataFrame, gate: int = GATE_ROWS) -> DataFrame:
+    """Both counts, and whether either is strictly larger than the gate.
 
-def gate_report(images: DataFrame, annotations: DataFrame, targets: Targets, *,
-                enabled: bool = True, gate: int = GATE_ROWS) -> DataFrame:
-    """The gate's decision as one row, with both counts and the sample sizes in force."""
+    A report only: whether a load samples is for its caller to say.
+    """
     counts = (images.agg(F.count(F.lit(1)).alias("images"), F.lit(0).cast("bigint").alias("annotations"))
               .unionByName(annotations.agg(F.lit(0).cast("bigint").alias("images"),
                                            F.count(F.lit(1)).alias("annotations")))
               .agg(F.sum("images").alias("images"), F.sum("annotations").alias("annotations")))
-    large = (F.col("images") > gate) | (F.col("annotations") > gate)
-    return counts.select("*", (F.lit(enabled) & large).alias("sampled"),
-                         F.lit(targets.images).alias("target_images"),
-                         F.lit(targets.annotations).alias("target_annotations"),
-                         F.lit(targets.segmented).alias("target_segmented"))
+    return counts.select("*", ((F.col("images") > gate) | (F.col("annotations") > gate)).alias("large"))
 
 
-def _ranked(near: DataFrame, sure: Column, need: Column, row_id: str, groups: list[str]) -> DataFrame:
-    """Keep the sure rows, and the ``need`` lowest draws of the band of each group.
+def _key(df: DataFrame, row_id: str, seed: int) -> Column:
+    """Hex text that puts the rows in their drawn order."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.VariantType, T.MapType))]
+    row = F.lpad(F.lower(F.hex(F.xxhash64(*plain).bitwiseAND(16 ** _DRAW - 1))), _DRAW, "0")
+    return F.concat(F.substring(draw(row_id, seed), 1, _DRAW), row)
+
+
+def _settled_keys(df: DataFrame, row_id: str, seed: int, *columns: str) -> DataFrame:
+    """The drawn keys of all rows with the given columns; NULL ids are refused."""
+    keys = settle(df.select(F.col(row_id).isNull().alias("_no_id"), _key(df, row_id, seed).alias("_key"),
+                            *[F.col(c) for c in dict.fromkeys(columns)]))
+    if not keys.where("_no_id").isEmpty():
+        raise ValueError(f"rows without {row_id} cannot be drawn")
+    return keys.drop("_no_id")
 
-    Sure rows are hashed apart by id, so no window partition grows with the sample.
-    """
-    apart = F.pmod(F.xxhash64(F.col(row_id)), F.lit(_SPREAD)) + 1
-    zone = F.when(sure, apart).otherwise(F.lit(0))
-    order = Window.partitionBy(*groups, "_zone").orderBy("_draw", row_id)
-    return (near.withColumn("_zone", zone)
-                .withColumn("_rank", F.row_number().over(order))
-                .where((F.col("_zone") > 0) | (F.col("_rank") <= need)))
 
+def _ends(keys: DataFrame, takes: DataFrame, stratum: str, strata: int) -> DataFrame:
+    """The last key each stratum takes: stratum, ``_end``, and how many rows of that very key.
 
-def uniform_sample(df: DataFrame, size: int, *, row_id: str = "id", seed: int = 42,
-                   total: int | None = None) -> DataFrame:
+    ``takes`` has the strata with 0 < take < size. Every count but the first looks at one digit of each
+    stratum only.
+    """
+    ends = takes.select(stratum, F.lit("").alias("_end"), F.col("take").alias("_left"))
+    for width in range(_STEP, 2 * _DRAW + 1, _STEP):
+        inside = attach(keys, ends, stratum, at_most=strata).where(F.substring("_key", 1, width - _STEP) == F.col("_end"))
+        counts = inside.groupBy(stratum, "_left", F.substring("_key", 1, width).alias("_digit")).agg(
+            F.count(F.lit(1)).alias("_rows"))
+        upto = F.sum("_rows").over(Window.partitionBy(stratum).orderBy("_digit"))
+        ends = settle(counts.withColumn("_upto", upto)
+                      .where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_rows") < F.col("_left")))
+                      .select(stratum, F.col("_digit").alias("_end"), "_rows",
+                              (F.col("_left") - F.col("_upto") + F.col("_rows")).alias("_left")))
+        if (ends.agg(F.max("_rows")).first()[0] or 0) <= _FEW:
+            break
+        ends = ends.drop("_rows")
+    few = attach(keys, ends.drop("_rows"), stratum, at_most=strata).where(F.col("_key").startswith(F.col("_end")))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_key"))
+    ranked = few.withColumn("_rank", rank)
+    by_key = ranked.groupBy(stratum, "_key").agg(
+        F.count_if(F.col("_rank") <= F.col("_left")).alias("_wanted"), F.count(F.lit(1)).alias("_there"))
+    last = F.max_by(F.struct(F.col("_key").alias("_end"), "_wanted", "_there"), "_key")
+    return settle(by_key.where("_wanted > 0").groupBy(stratum).agg(last.alias("_last")).select(stratum, "_last.*"))
+
+
+def _marked(df: DataFrame, quotas: DataFrame, stratum: str, row_id: str, seed: int,
+            keys: DataFrame) -> DataFrame:
+    """``df`` with ``_in``: whether a row is among the ``take`` lowest draws of its stratum."""
+    part = settle(quotas.select(stratum, "size", "take"))
+    strata = part.count()
+    ends = _ends(keys, part.where("take > 0 and take < size"), stratum, strata)
+    rules = _beside(part, ends, stratum)
+    drawn = df.withColumn("_key", _key(df, row_id, seed))
+    if stratum not in df.columns:  # all rows are one stratum
+        drawn = drawn.withColumn(stratum, F.lit(0))
+    drawn = attach(drawn, rules, stratum, at_most=strata)
+    whole = (F.col("take") >= F.col("size")) | (F.coalesce(F.col("_key") <= F.col("_end"), F.lit(False)))
+    # Equal rows at the very end of a quota: only so many of them.
+    if ends.where("_wanted < _there").isEmpty():
+        return drawn.select(*df.columns, whole.alias("_in"))
+    tied = F.coalesce((F.col("_key") == F.col("_end")) & (F.col("_wanted") < F.col("_there")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(stratum, "_key").orderBy("_wanted"))
+    equal = drawn.where(tied).withColumn("_rank", rank).select(
+        *df.columns, (F.col("_rank") <= F.col("_wanted")).alias("_in"))
+    return drawn.where(~tied).select(*df.columns, whole.alias("_in")).unionByName(equal)
+
+
+def _beside(part: DataFrame, ends: DataFrame, stratum: str) -> DataFrame:
+    """The ends of the strata that have one, beside all strata."""
+    side = ends.withColumnRenamed(stratum, "_stratum")
+    return part.join(side, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+
+
+def uniform_sample(df: DataFrame, size: int, *, row_id: str = "id", seed: int = 42) -> DataFrame:
     """Exactly ``min(size, rows)`` rows: those with the lowest draws."""
-    total = df.count() if total is None else total
-    if total <= size:
-        return df
     if size <= 0:
         return df.limit(0)
-    slack = BAND_WIDTH * sqrt(size) + _BAND_FLOOR
-    low, high = mark((size - slack) / total), mark((size + slack) / total)
-    drawn = df.withColumn("_draw", draw(row_id, seed))
-    if size <= BROADCAST_ROWS:
-        # Little more than the sample is kept by one scan of the ids alone.
-        near = settle(drawn.select(row_id, "_draw").where(F.col("_draw") < high))
-        if near.count() < size:
-            near = drawn.select(row_id, "_draw")
-        picks = near.orderBy("_draw", row_id).limit(size)
-        return keep_matching(df, picks, row_id, row_id, row_id=row_id, at_most=size)
-    seen = drawn.agg(F.count_if(F.col("_draw") < low).alias("below"),
-                     F.count_if(F.col("_draw") < high).alias("inside")).first()
-    below = seen["below"]
-    if not below <= size <= seen["inside"]:
-        low, high, below = mark(0.0), mark(1.0), 0
-    kept = _ranked(drawn.where(F.col("_draw") < high), F.col("_draw") < low,
-                   F.lit(size - below), row_id, [])
-    return kept.select(*df.columns)
+    keys = _settled_keys(df, row_id, seed).withColumn("_all", F.lit(0))
+    quotas = keys.groupBy("_all").agg(F.count(F.lit(1)).alias("size")).withColumn(
+        "take", F.least(F.col("size"), F.lit(size)))
+    return _marked(df, quotas, "_all", row_id, seed, keys).where("_in").select(*df.columns)
 
 
 def strata_sizes(df: DataFrame, stratum: str, order: str) -> DataFrame:
@@ -120,44 +155,40 @@ def strata_sizes(df: DataFrame, stratum: str, order: str) -> DataFrame:
     return df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first"))
 
 
-def allocate(strata: DataFrame, stratum: str, size: int, total: int, count: int) -> DataFrame:
-    """Proportional quotas, at least one each, granted in order of first appearance.
+def running_total(df: DataFrame, order: Collection[str], value: str) -> DataFrame:
+    """``df`` with ``_before``, the sum of ``value`` over the rows before each in the given order.
 
-    Every grant before the budget runs out is at least one, so only the first
-    ``size`` strata can get any. The running total is over those; the others, if
-    there are so many, get zero.
+    Rows are dealt to ranges and summed there; one number per range says what lies before it.
     """
-    share = F.expr(f"greatest(1, cast(size as decimal(20,0)) * {size} div {total})")
-    before = Window.orderBy("first", stratum).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("share").over(before), F.lit(0))
-    grant = F.greatest(F.lit(0), F.least(F.col("share"), F.lit(size) - spent)).cast("bigint")
-    if count <= size:
-        return strata.withColumn("share", share).withColumn("take", grant).drop("share")
-    first = strata.orderBy("first", stratum).limit(size).withColumn("share", share)
-    grants = first.select(F.col(stratum).alias("_key"), grant.alias("_grant"))
-    return (strata.join(grants, F.col(stratum).eqNullSafe(F.col("_key")), "left")
-                  .withColumn("take", F.coalesce("_grant", F.lit(0))).drop("_key", "_grant"))
-
-
-def _settled_strata(df: DataFrame, stratum: str, order: str) -> tuple[DataFrame, int, int]:
-    """The strata, how many there are, and how many rows they hold."""
-    strata = settle(strata_sizes(df, stratum, order))
-    found = strata.agg(F.count(F.lit(1)), F.sum("size")).first()
-    return strata, found[0], found[1] or 0
+    dealt = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.join(F.broadcast(parts), "_part")
+            .withColumn("_before", F.col("_ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .drop("_part", "_ahead"))
+
+
+def allocate(strata: DataFrame, stratum: str, size: int, total: int) -> DataFrame:
+    """Proportional quotas, at least one each, granted in order of first appearance."""
+    share = F.expr(f"cast(greatest(1, cast(size as decimal(20,0)) * {size} div {max(total, 1)}) as bigint)")
+    shared = running_total(strata.withColumn("share", share), ("first", stratum), "share")
+    grant = F.greatest(F.lit(0), F.least(F.col("share"), F.lit(size) - F.col("_before"))).cast("bigint")
+    return shared.withColumn("take", grant).drop("share", "_before")
+
+
+def _quotas(keys: DataFrame, stratum: str, order: str, size: int) -> DataFrame:
+    strata = settle(strata_sizes(keys, stratum, order))
+    total = strata.agg(F.sum("size")).first()[0] or 0
+    if total <= size:
+        return strata.withColumn("take", F.col("size"))
+    return settle(allocate(strata, stratum, size, total))
 
 
 def stratum_quotas(df: DataFrame, size: int, *, stratum: str, order: str) -> DataFrame:
     """The quota report: every stratum with its size and its allocated rows."""
-    strata, count, total = _settled_strata(df, stratum, order)
-    if total <= size:
-        return strata.select(stratum, "size", F.col("size").alias("take"))
-    return allocate(strata, stratum, size, total, count).select(stratum, "size", "take")
-
-
-def _edge(take: Column, rows: Column, width: float, floor: float, side: int) -> Column:
-    """Lower (side -1) or upper (side 1) end of the band around the take-th lowest draw."""
-    edge = (take + side * (F.sqrt(take) * width + floor)) / rows
-    return F.when(take <= 0, 0.0).when(take >= rows, 1.0).otherwise(edge)
+    return _quotas(df, stratum, order, size).select(stratum, "size", "take")
 
 
 def stratified_sample(df: DataFrame, size: int, *, stratum: str, row_id: str = "id",
@@ -167,110 +198,36 @@ def stratified_sample(df: DataFrame, size: int, *, stratum: str, row_id: str = "
     Each stratum gets ``max(1, floor(rows_in_stratum * size / rows))`` while the
     budget lasts, in order of first appearance (by ``order``, the id by default).
     Slots left over go to the lowest draws, under a second seed, of what remains.
-
-    Three scans, none of which shuffles the table: sizes, candidates (about
-    ``size`` ids), and the final selection.
     """
-    strata, count, total = _settled_strata(df, stratum, order or row_id)
-    if total <= size:
-        return df
     if size <= 0:
         return df.limit(0)
-    quotas = settle(allocate(strata, stratum, size, total, count))
-    granted, served = quotas.agg(F.sum("take"), F.count_if(F.col("take") > 0)).first()
-    chosen = None
-    for width, floor in ((BAND_WIDTH, _BAND_FLOOR), (float("inf"), 0.0)):
-        chosen = _choose(df, quotas, count, served, stratum, row_id, seed,
-                         size - granted, total - granted, width, floor)
-        if chosen is not None:
-            break
-    edges, picks = chosen
-    if size <= BROADCAST_ROWS:
-        return keep_matching(df, picks, row_id, row_id, row_id=row_id, at_most=size)
-    # A sample too large to broadcast: rows surely in it are recognised by their
-    # own draw, so the table is not shuffled to find them.
-    drawn = df.withColumn("_draw", draw(row_id, seed))
-    sure = (attach(drawn, edges, stratum, row_id=row_id, at_most=count)
-            .where("_draw < _sure").select(*df.columns))
-    others = keep_matching(df, picks.where("not _certain"), row_id, row_id, row_id=row_id)
-    return sure.unionByName(others)
-
-
-def _choose(df: DataFrame, quotas: DataFrame, count: int, served: int, stratum: str, row_id: str,
-            seed: int, spare: int, unpicked: int, width: float, floor: float):
-    """The edges of each stratum's band and the chosen ids, or None if a band missed.
-
-    One scan keeps the ids whose draw is low enough for their stratum, or whose
-    second draw is low enough for the spare slots; all else works on those.
-    """
-    take, rows = F.col("take"), F.col("size")
-    whole = width == float("inf")
-    bands = quotas.select(
-        stratum, "take",
-        mark(F.lit(0.0) if whole else _edge(take, rows, width, floor, -1)).alias("_sure"),
-        mark(F.lit(1.0) if whole else _edge(take, rows, width, floor, 1)).alias("_reach"))
-    wanted = F.col("_draw") < F.col("_reach")
-    drawn = (df.select(*dict.fromkeys((row_id, stratum)))
-             .withColumn("_draw", draw(row_id, seed)))
-    if spare > 0:
-        slack = 0.0 if whole else width * sqrt(spare) + floor
-        spare_reach = mark(1.0 if whole else (spare + slack) / unpicked)
-        drawn = drawn.withColumn("_spare", draw(row_id, seed + 1))
-        wanted = wanted | (F.col("_spare") < spare_reach)
-    near = settle(attach(drawn, bands, stratum, row_id=row_id, at_most=count).where(wanted))
-    edges = settle(near.where("_draw < _reach").groupBy(stratum, "take", "_sure")
-                   .agg(F.count_if(F.expr("_draw < _sure")).alias("below"),
-                        F.count(F.lit(1)).alias("inside")))
-    hits = edges.agg(F.count_if(F.expr("below <= take and take <= inside"))).first()[0]
-    if hits < served:
-        return None
-    needs = edges.select(stratum, (F.col("take") - F.col("below")).alias("_need"))
-    in_band = attach(near.where("_draw < _reach"), needs, stratum, row_id=row_id, at_most=served)
-    picked = (_ranked(in_band, F.expr("_draw < _sure"), F.col("_need"), row_id, [stratum])
-              .select(row_id, (F.col("_zone") > 0).alias("_certain"), F.lit(False).alias("_extra")))
+    keys = _settled_keys(df, row_id, seed, stratum, order or row_id)
+    quotas = _quotas(keys, stratum, order or row_id, size)
+    granted, total = quotas.agg(F.coalesce(F.sum("take"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    marked = _marked(df, quotas, stratum, row_id, seed, keys)
+    chosen = marked.where("_in").select(*df.columns)
+    spare = min(size, total) - granted
     if spare <= 0:
-        return edges.select(stratum, "_sure"), settle(picked)
-    picked = settle(picked)
-    rest = keep_unmatched(near.where(F.col("_spare") < spare_reach).select(row_id, "_spare"),
-                          picked, row_id, row_id, row_id=row_id)
-    extra = rest.orderBy("_spare", row_id).limit(spare)
-    extra = extra.select(row_id, F.lit(False).alias("_certain"), F.lit(True).alias("_extra"))
-    picks = settle(picked.unionByName(extra))
-    complete = picks.agg(F.count_if(F.col("_extra"))).first()[0] == spare
-    return (edges.select(stratum, "_sure"), picks) if complete else None
+        return chosen
+    rest = marked.where(~F.col("_in")).select(*df.columns)
+    return chosen.unionByName(uniform_sample(rest, spare, row_id=row_id, seed=seed + 1))
 
 
 def unsampled(df: DataFrame, sample: DataFrame, *, row_id: str = "id",
               at_most: int | None = None) -> DataFrame:
-    """The rows of ``df`` that are not in ``sample``."""
-    return keep_unmatched(df, sample, row_id, row_id, row_id=row_id, at_most=at_most)
+    """The rows of ``df`` whose id is not in ``sample``."""
+    return keep_unmatched(df, sample, row_id, row_id, at_most=at_most)
 
 
 def sample_children(children: DataFrame, parents: DataFrame, size: int, *, parent_key: str,
                     parent_id: str = "id", row_id: str = "id", stratum: str | None = None,
                     order: str | None = None, seed: int = 42,
                     at_most_parents: int | None = None) -> DataFrame:
-    """Sample the children of the given parents, by stratum or uniformly.
-
-    The related ids are settled first: counting, drawing and ranking then read
-    that narrow table instead of the whole child table again.
-    """
-    columns = [c for c in dict.fromkeys((row_id, stratum, order)) if c]
-    related = settle(keep_matching(children.select(*dict.fromkeys((*columns, parent_key))),
-                                   parents, parent_key, parent_id, row_id=row_id,
-                                   at_most=at_most_parents).select(*columns))
+    """Sample the children of the given parents, by stratum or uniformly."""
+    related = keep_matching(children, parents, parent_key, parent_id, at_most=at_most_parents)
     if stratum is None:
-        chosen = uniform_sample(related, size, row_id=row_id, seed=seed)
-    else:
-        chosen = stratified_sample(related, size, stratum=stratum, row_id=row_id,
-                                   order=order, seed=seed)
-    return keep_matching(children, settle(chosen.select(row_id)), row_id, row_id,
-                         row_id=row_id, at_most=size)
-
-
-def first_rows(df: DataFrame, order: str, size: int) -> DataFrame:
-    """The first ``size`` rows by input order (distributed top-k)."""
-    return df.orderBy(order).limit(size)
+        return uniform_sample(related, size, row_id=row_id, seed=seed)
+    return stratified_sample(related, size, stratum=stratum, row_id=row_id, order=order, seed=seed)
 
 
 @dataclass(frozen=True)
@@ -286,53 +243,47 @@ class Keys:
     annotation_order: str | None = None
 
 
+def _drawn(df: DataFrame, size: int, by_stratum: bool, stratum: str, row_id: str, order: str | None,
+           seed: int) -> DataFrame:
+    if by_stratum:
+        return stratified_sample(df, size, stratum=stratum, row_id=row_id, order=order, seed=seed)
+    return uniform_sample(df, size, row_id=row_id, seed=seed)
+
+
 def referential_sample(images: DataFrame, annotations: DataFrame, targets: Targets, *,
                        keys: Keys = Keys(), method: str = "stratified", seed: int = 42,
-                       parent_gate: int | None = None) -> tuple[DataFrame, DataFrame]:
+                       all_images: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sampled images, and sampled annotations of those images only.
 
-    ``method`` is ``stratified`` or ``uniform``. With ``parent_gate``, a table of
-    at most that many images is kept whole and annotations are sampled directly.
+    ``method`` is ``stratified`` or ``uniform``. With ``all_images`` the images are kept whole and
+    annotations are sampled directly.
     """
     if method not in ("stratified", "uniform"):
         raise ValueError(f"unknown sampling method: {method}")
     by_stratum = method == "stratified"
-    if parent_gate is not None and images.count() <= parent_gate:
-        return images, sample_directly(annotations, targets.annotations, keys, by_stratum, seed)
-    if by_stratum:
-        kept = stratified_sample(images, targets.images, stratum=keys.image_stratum,
-                                 row_id=keys.image_id, order=keys.image_order, seed=seed)
-    else:
-        kept = uniform_sample(images, targets.images, row_id=keys.image_id, seed=seed)
-    parents = settle(kept.select(keys.image_id))
-    children = sample_children(
-        annotations, parents, targets.annotations, parent_key=keys.annotation_image,
-        parent_id=keys.image_id, row_id=keys.annotation_id,
-        stratum=keys.annotation_stratum if by_stratum else None,
-        order=keys.annotation_order, seed=seed, at_most_parents=targets.images)
-    return kept, children
-
-
-def sample_directly(annotations: DataFrame, size: int, keys: Keys = Keys(),
-                    by_stratum: bool = True, seed: int = 42) -> DataFrame:
-    """Sample annotations without going through images."""
-    if by_stratum:
-        return stratified_sample(annotations, size, stratum=keys.annotation_stratum,
-                                 row_id=keys.annotation_id, order=keys.annotation_order, seed=seed)
-    return uniform_sample(annotations, size, row_id=keys.annotation_id, seed=seed)
+    related, kept = annotations, images
+    if not all_images:
+        kept = _drawn(images, targets.images, by_stratum, keys.image_stratum, keys.image_id,
+                      keys.image_order, seed)
+        parents = settle(kept.select(keys.image_id))
+        related = keep_matching(annotations, parents, keys.annotation_image, keys.image_id)
+    return kept, _drawn(related, targets.annotations, by_stratum, keys.annotation_stratum,
+                        keys.annotation_id, keys.annotation_order, seed)
 
 
-def sample_dataset(tables: Mapping[str, DataFrame], targets: Targets, **options) -> dict[str, DataFrame]:
-    """The eight tables cut down to a referential sample.
+def sample_dataset(tables: Mapping[str, DataFrame], targets: Targets, *,
+                   wanted: Collection[str] = TABLES, **options) -> dict[str, DataFrame]:
+    """The ``wanted`` tables of a referential sample.
 
     The metadata tables stay whole; links and points follow the sampled annotations.
     """
     images, annotations = referential_sample(tables["images"], tables["annotations"],
                                              targets, **options)
-    picked = settle(annotations.select("id"))
-    def follow(name: str) -> DataFrame:
-        return keep_matching(tables[name], picked, "annotation_id", "id", row_id="annotation_id",
-                             at_most=targets.annotations)
-    return {**tables, "images": images, "annotations": annotations,
-            "annotation_attributes": follow("annotation_attributes"),
-            "segmentations": follow("segmentations")}
+    cut = {name: tables[name] for name in wanted if name in tables}
+    cut.update({n: df for n, df in (("images", images), ("annotations", annotations)) if n in cut})
+    followers = [n for n in ("annotation_attributes", "segmentations") if n in cut]
+    if followers:
+        picked = settle(annotations.select("id"))
+        for name in followers:
+            cut[name] = keep_matching(tables[name], picked, "annotation_id", "id")
+    return cut

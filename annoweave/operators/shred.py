@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from annoweave.functions.scalars import (
     flag, may_hold_text, unextracted, variant_list, variant_numbers, variant_polygons,
-    zero_to_null)
-from annoweave.operators.joins import keep_matching
+    whole_numbers, zero_to_null)
+from annoweave.operators.joins import keep_matching, keep_unmatched
 
 _TAXON = ("id", "name", "supercategory", "level", "taxonomy_id")
 
@@ -28,7 +28,7 @@ def info_table(raw: DataFrame) -> DataFrame:
 
 def licenses_table(raw: DataFrame, drop_zero: bool = True) -> DataFrame:
     """Licenses; id zero, as number or text, is a placeholder and is dropped."""
-    typed = raw.select(F.expr("try_cast(id as bigint)").alias("id"), "name", "url")
+    typed = raw.select("id", "name", "url")
     return typed.where(~F.col("id").eqNullSafe(0)) if drop_zero else typed
 
 
@@ -42,16 +42,15 @@ def attributes_table(raw: DataFrame) -> DataFrame:
 
 def images_table(raw: DataFrame, null_zero: bool = True) -> DataFrame:
     """Images; the placeholder license zero becomes NULL."""
-    license_id = F.expr("try_cast(license as bigint)")
     return raw.select(
         "id", "width", "height", "file_name",
-        (zero_to_null(license_id) if null_zero else license_id).alias("license"),
+        (zero_to_null("license") if null_zero else F.col("license")).alias("license"),
         "time_captured", "original_url", flag("isstatic").alias("isstatic"), "kaggle_id")
 
 
 def zero_license_count(raw: DataFrame) -> DataFrame:
     """How many images carry the placeholder license."""
-    return raw.agg(F.count_if(F.expr("try_cast(license as bigint) = 0")).alias("nullified"))
+    return raw.agg(F.count_if(F.col("license") == 0).alias("nullified"))
 
 
 def _box_numbers(raw: DataFrame) -> Column:
@@ -85,11 +84,20 @@ def rejected_boxes(raw: DataFrame) -> DataFrame:
     return raw.where(~_box_is_usable(raw)).select("id", F.col("bbox").cast("string").alias("bbox"))
 
 
-def kept_annotations(raw: DataFrame, images: DataFrame, categories: DataFrame, *,
-                     at_most_images: int | None = None) -> DataFrame:
+def kept_annotations(raw: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
     """Raw annotations whose image and category both exist."""
     found = keep_matching(raw, categories, "category_id", "id")
-    return keep_matching(found, images, "image_id", "id", at_most=at_most_images)
+    return keep_matching(found, images, "image_id", "id")
+
+
+def orphaned_annotations(raw: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
+    """The complement: annotations that name no image or no category, and which they name."""
+    known = [side.select(F.col("id").alias(f"_{name}")).where("id is not null").distinct()
+             for name, side in (("image", images), ("category", categories))]
+    marked = (raw.select("id", "image_id", "category_id")
+              .join(known[0], F.col("image_id") == F.col("_image"), "left")
+              .join(known[1], F.col("category_id") == F.col("_category"), "left"))
+    return marked.where("_image is null or _category is null").select("id", "image_id", "category_id")
 
 
 def annotations_table(raw: DataFrame) -> DataFrame:
@@ -104,11 +112,12 @@ def annotations_table(raw: DataFrame) -> DataFrame:
 def annotation_links(raw: DataFrame, numbers_only: bool = True) -> DataFrame:
     """One row per attribute id of an annotation; no list gives no rows.
 
-    Ids written as text do not name an attribute unless ``numbers_only`` is off.
+    Ids written as text do not name an attribute unless ``numbers_only`` is off, and numbers that are not
+    whole never do.
     """
     listed = F.col("attribute_ids")
     if _is_variant(raw, "attribute_ids"):
-        listed = variant_numbers("attribute_ids", "bigint", numbers_only)
+        listed = whole_numbers(variant_numbers("attribute_ids", "decimal(38,9)", numbers_only))
     # Converted in a projection of its own, which the Parquet scan can do. The outer
     # form leaves out the size test that would convert the list twice.
     lists = raw.select(F.col("id").alias("annotation_id"), listed.alias("_listed"))
@@ -118,7 +127,12 @@ def annotation_links(raw: DataFrame, numbers_only: bool = True) -> DataFrame:
 
 def known_links(links: DataFrame, attributes: DataFrame) -> DataFrame:
     """Links whose attribute exists."""
-    return keep_matching(links, attributes, "attribute_id", "id", row_id="annotation_id")
+    return keep_matching(links, attributes, "attribute_id", "id")
+
+
+def orphaned_links(links: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Links that name no attribute."""
+    return keep_unmatched(links, attributes, "attribute_id", "id")
 
 
 def _polygons(raw: DataFrame, strict: bool) -> DataFrame:
@@ -176,14 +190,3 @@ def rejected_points(raw: DataFrame, strict: bool = True) -> DataFrame:
     return (_pairs(odd).where("x_coord is null or y_coord is null")
             .select("annotation_id", "polygon_index", "point_index",
                     F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y")))
-
-
-def subset_by_reference(licenses: DataFrame, images: DataFrame, categories: DataFrame,
-                        annotations: DataFrame, size: int, order: str) -> dict[str, DataFrame]:
-    """The first ``size`` licenses and categories, and the images and annotations under them."""
-    first_licenses = licenses.orderBy(order).limit(size)
-    first_categories = categories.orderBy(order).limit(size)
-    kept_images = keep_matching(images, first_licenses, "license", "id", at_most=size)
-    in_category = keep_matching(annotations, first_categories, "category_id", "id", at_most=size)
-    return {"licenses": first_licenses, "categories": first_categories, "images": kept_images,
-            "annotations": keep_matching(in_category, kept_images, "image_id", "id")}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.functions.scalars import local_name, term_uri
+from annoweave.session import settle
 
 # Public W3C namespaces.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -170,10 +171,11 @@ def triple_summary(triples: DataFrame) -> DataFrame:
 
 def example_classes(triples: DataFrame, limit: int = 5) -> DataFrame:
     """The first classes by URI, and how many more there are."""
-    classes = triples.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == CLASS))
-    shown = classes.select(local_name("subject").alias("class"), "subject")
+    # Settled, so that the triple set is built once for the rows and the count.
+    classes = settle(triples.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == CLASS))
+                     .select(local_name("subject").alias("class"), "subject"))
     more = classes.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
-    first = shown.orderBy("subject").limit(limit).select("class", F.lit(None).cast("bigint").alias("more"))
+    first = classes.orderBy("subject").limit(limit).select("class", F.lit(None).cast("bigint").alias("more"))
     return first.unionByName(more.select(F.lit("... and more").alias("class"), "more"))
 
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from annoweave.operators import shred
 from annoweave.operators.compare import compare_methods
-from annoweave.operators.sampling import (
-    GATE_ROWS, Keys, Targets, first_rows, needs_sampling, referential_sample)
+from annoweave.operators.sampling import Keys, Targets, referential_sample
 from annoweave.session import scratch_path
 from annoweave.sinks.tables import folder_bytes, remove_folder, save_tables, write_tables
 from annoweave.sources.documents import Raw, read_documents, read_member_files
@@ -22,37 +22,47 @@ _KEYS = Keys(image_order="_order", annotation_order="_order")
 
 @dataclass(frozen=True)
 class LoadOptions:
-    """What to check, how to read coordinates, and whether and how to sample."""
+    """What to check, how to read coordinates, and whether and how to sample.
+
+    A load writes every good row unless a sample is asked for, by ``sample_size`` or the small mode.
+    """
 
     enforce: bool = True          # keep only rows whose references exist; drop license 0
     strict: bool = True           # coordinates must be JSON numbers, not numeric text
-    enable_sampling: bool = True
-    sample_size: int | None = 1000
+    sample_size: int | None = None
     small_dataset_mode: bool = False
     method: str = "stratified"
-    parent_gate: int | None = None
-    gate: int = GATE_ROWS
+    all_images: bool = False      # when sampling: keep every image and sample annotations alone
+    fail_on_rejects: bool = False  # unreadable documents, lines or values end the load
     seed: int = 42
 
     @property
-    def targets(self) -> Targets:
+    def targets(self) -> Targets | None:
+        if self.sample_size is None and not self.small_dataset_mode:
+            return None
         return Targets.of(self.sample_size, self.small_dataset_mode)
 
 
 # The two behaviours a load can have: references enforced and strata kept, or
 # rows taken as they come and sampled uniformly.
 CHECKED = LoadOptions()
-UNCHECKED = LoadOptions(enforce=False, strict=False, method="uniform", parent_gate=GATE_ROWS)
+UNCHECKED = LoadOptions(enforce=False, strict=False, method="uniform")
+
+# Kinds of rows left out; the last two only when references are enforced.
+REJECTS = ("damaged", "unconverted", "boxes", "points", "annotations", "links")
 
 
 @dataclass(frozen=True)
 class Shredded:
-    """The eight tables, and what was left out of them."""
+    """The eight tables, and what was left out of them or changed on the way.
+
+    ``rejects`` has ``damaged`` (documents and lines), ``unconverted`` (rows with a value of the wrong
+    kind), ``boxes``, ``points``, and, when references are enforced, ``annotations`` and ``links``
+    without a parent and ``licenses``, the number of placeholder licenses that became NULL.
+    """
 
     tables: Tables
-    rejected_boxes: DataFrame
-    rejected_points: DataFrame
-    sampled: bool
+    rejects: Tables
 
 
 Stage = Callable[[str, DataFrame], DataFrame]
@@ -60,29 +70,27 @@ Stage = Callable[[str, DataFrame], DataFrame]
 
 def shred_members(raw: Raw, options: LoadOptions = CHECKED,
                   stage: Stage = lambda name, df: df) -> Shredded:
-    """Sample if needed, check references, and split the members into tables.
+    """Sample if asked, check references, and split the members into tables.
 
     ``stage`` may store an intermediate and return it as read back: images and
     annotations are staged once parsed, and annotations again once checked, so
     parsing and reference joins happen once for all the tables made from them.
     """
     images, found = stage("images", raw["images"]), stage("annotations", raw["annotations"])
-    targets = options.targets
-    sampled = needs_sampling(images, found, enabled=options.enable_sampling, gate=options.gate)
-    if sampled:
-        images, found = referential_sample(images, found, targets, keys=_KEYS, seed=options.seed,
-                                           method=options.method, parent_gate=options.parent_gate)
+    rejects = {"damaged": raw.damaged, "unconverted": raw.unconverted, "boxes": shred.rejected_boxes(found)}
+    if options.targets is not None:
+        images, found = referential_sample(images, found, options.targets, keys=_KEYS, seed=options.seed,
+                                           method=options.method, all_images=options.all_images)
     kept = shred.boxed(found)
     if options.enforce:
-        kept = stage("kept", shred.kept_annotations(
-            kept, images, raw["categories"],
-            at_most_images=targets.images if sampled and options.parent_gate is None else None))
+        boxed, kept = kept, stage("kept", shred.kept_annotations(kept, images, raw["categories"]))
+        rejects["annotations"] = shred.orphaned_annotations(boxed, images, raw["categories"])
+        rejects["licenses"] = shred.zero_license_count(images)
     links = shred.annotation_links(kept, numbers_only=options.enforce)
     if options.enforce:
+        rejects["links"] = shred.orphaned_links(links, raw["attributes"])
         links = shred.known_links(links, raw["attributes"])
-    outlined = kept
-    if sampled and targets.segmented < targets.annotations:
-        outlined = first_rows(kept, "_order", targets.segmented)
+    rejects["points"] = shred.rejected_points(kept, options.strict)
     tables = {
         "info": shred.info_table(raw["info"]),
         "licenses": shred.licenses_table(raw["licenses"], drop_zero=options.enforce),
@@ -91,10 +99,39 @@ def shred_members(raw: Raw, options: LoadOptions = CHECKED,
         "images": shred.images_table(images, null_zero=options.enforce),
         "annotations": shred.annotations_table(kept),
         "annotation_attributes": links,
-        "segmentations": shred.polygon_points(outlined, options.strict),
+        "segmentations": shred.polygon_points(kept, options.strict),
     }
-    return Shredded(tables, shred.rejected_boxes(found),
-                    shred.rejected_points(outlined, options.strict), sampled)
+    return Shredded(tables, rejects)
+
+
+def _write_rejects(spark: SparkSession, rejects: Tables, root: str, fmt: str) -> None:
+    for name, df in rejects.items():
+        writer = df.write.mode("overwrite")
+        if fmt == "catalog":
+            writer.saveAsTable(f"`{root}`.`rejected_{name}`")
+        else:
+            writer.parquet(f"{root.rstrip('/')}/rejects/{name}")
+
+
+def read_rejects(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One reject table of a load into files. They are Parquet, whatever the tables are."""
+    return spark.read.parquet(f"{root.rstrip('/')}/rejects/{name}")
+
+
+def rejects_report(spark: SparkSession, root: str, names: tuple[str, ...] = REJECTS) -> DataFrame:
+    """Rows left out of a load into files, by kind."""
+    counts = [read_rejects(spark, root, n).agg(F.count(F.lit(1)).alias("rows"))
+              .select(F.lit(n).alias("kind"), "rows") for n in names]
+    report = counts[0]
+    for part in counts[1:]:
+        report = report.unionByName(part)
+    return report
+
+
+def _refuse(raw: Raw) -> None:
+    for kind, df in (("damaged", raw.damaged), ("unconverted", raw.unconverted)):
+        if first := df.take(3):
+            raise ValueError(f"{kind} input: {[r.asDict() for r in first]}"[:2000])
 
 
 def _load(spark: SparkSession, read: Callable[[Stage], Raw], root: str, options: LoadOptions,
@@ -105,21 +142,20 @@ def _load(spark: SparkSession, read: Callable[[Stage], Raw], root: str, options:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    result = shred_members(read(stage), options, stage)
-    rejects = {"boxes": result.rejected_boxes, "points": result.rejected_points}
-    if fmt == "catalog":
-        create_tables(spark, root)
-        save_tables(result.tables, root)
-    else:
-        write_tables(result.tables, root, fmt)
-    for name, df in rejects.items():
-        writer = df.write.mode("overwrite")
+    try:
+        raw = read(stage)
+        if options.fail_on_rejects:
+            _refuse(raw)
+        result = shred_members(raw, options, stage)
         if fmt == "catalog":
-            writer.saveAsTable(f"`{root}`.`rejected_{name}`")
+            create_tables(spark, root)
+            save_tables(result.tables, root)
         else:
-            writer.format(fmt).save(f"{root.rstrip('/')}/rejects/{name}")
-    if staging is None:
-        remove_folder(spark, folder)
+            write_tables(result.tables, root, fmt)
+        _write_rejects(spark, result.rejects, root, fmt)
+    finally:
+        if staging is None:
+            remove_folder(spark, folder)
     return catalog_tables(spark, root) if fmt == "catalog" else read_tables(spark, root, fmt)
 
 
@@ -142,13 +178,13 @@ def load_lines(spark: SparkSession, folder: str, root: str, options: LoadOptions
 
 
 def compare_loads(spark: SparkSession, path: str | list[str], root: str, *,
-                  sampling: bool = False) -> DataFrame:
+                  sample_size: int | None = None) -> DataFrame:
     """Load the same documents both ways and report the difference in time and size."""
     rows = []
     for name, options in (("checked", CHECKED), ("unchecked", UNCHECKED)):
         started = time.monotonic()
         target = f"{root.rstrip('/')}/{name}"
-        load_documents(spark, path, target, replace(options, enable_sampling=sampling))
+        load_documents(spark, path, target, replace(options, sample_size=sample_size))
         rows.append((name, time.monotonic() - started, folder_bytes(spark, target)))
     metrics = spark.createDataFrame(rows, "method string, seconds double, bytes bigint")
     return compare_methods(metrics, "method", "checked", "unchecked", "seconds", "bytes")

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annoweave.operators import compare, integrity, reports
+from annoweave.schemas import PRIMARY_KEYS, TABLES
 from annoweave.sources.tables import Tables, existing_tables
 
-# The key each table is previewed by.
-_PREVIEW_KEYS = {"info": "year", "annotation_attributes": "annotation_id",
-                 "segmentations": "annotation_id"}
-
-
 def dataset_report(tables: Tables) -> dict[str, DataFrame]:
     """Counts, the two usage rankings, the image summary and the audits."""
     categories = reports.usage_counts(tables["categories"], tables["annotations"], "id",
@@ -35,9 +31,9 @@ def comparison_report(spark: SparkSession, full_root: str, sample_root: str,
     full, sample = (existing_tables(spark, root, fmt) for root in (full_root, sample_root))
     report = {"counts": compare.compare_counts(full, sample),
               "columns": compare.compare_columns(spark, full, sample)}
-    for name in full.keys() & sample.keys():
-        key = _PREVIEW_KEYS.get(name, "id")
-        report[f"preview_{name}"] = compare.compare_previews(full[name], sample[name], key)
+    for name in (n for n in TABLES if n in full and n in sample):
+        keys = PRIMARY_KEYS.get(name, ("year", "version", "url"))
+        report[f"preview_{name}"] = compare.compare_previews(full[name], sample[name], *keys)
     if all({"images", "annotations"} <= t.keys() for t in (full, sample)):
         report["density"] = compare.compare_density(full, sample)
     if all({"annotations", "segmentations"} <= t.keys() for t in (full, sample)):

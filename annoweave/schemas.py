@@ -55,24 +55,34 @@ REFERENCES = (
     Reference("segmentations", "annotation_id", "annotations"),
 )
 
-# Element layout of each JSON member. License ids and flags arrive as numbers,
-# text or booleans, so they are read as text; nested values whose shape is not
-# guaranteed are read as VARIANT, which keeps every JSON type apart.
-_TAXON = "id: BIGINT, name: STRING, supercategory: STRING, level: INT, taxonomy_id: STRING"
+# Element layout of each JSON member as it is read. Scalars are read as text, whatever their JSON
+# type, and converted afterwards, so that nothing becomes NULL unseen; nested values whose shape is
+# not guaranteed are read as VARIANT, which keeps every JSON type apart.
+_TAXON = "id: STRING, name: STRING, supercategory: STRING, level: STRING, taxonomy_id: STRING"
 MEMBER_DDL = {
-    "info": "STRUCT<year: INT, version: STRING, description: STRING, contributor: STRING, "
+    "info": "STRUCT<year: STRING, version: STRING, description: STRING, contributor: STRING, "
             "url: STRING, date_created: STRING>",
     "licenses": "ARRAY<STRUCT<id: STRING, name: STRING, url: STRING>>",
     "categories": f"ARRAY<STRUCT<{_TAXON}>>",
     "attributes": f"ARRAY<STRUCT<{_TAXON}>>",
-    "images": "ARRAY<STRUCT<id: BIGINT, width: INT, height: INT, file_name: STRING, "
+    "images": "ARRAY<STRUCT<id: STRING, width: STRING, height: STRING, file_name: STRING, "
               "license: STRING, time_captured: STRING, original_url: STRING, "
               "isstatic: STRING, kaggle_id: STRING>>",
-    "annotations": "ARRAY<STRUCT<id: BIGINT, image_id: BIGINT, category_id: BIGINT, "
-                   "bbox: VARIANT, area: DOUBLE, iscrowd: STRING, "
+    "annotations": "ARRAY<STRUCT<id: STRING, image_id: STRING, category_id: STRING, "
+                   "bbox: VARIANT, area: STRING, iscrowd: STRING, "
                    "attribute_ids: VARIANT, segmentation: VARIANT>>",
 }
 
+# What the text of these scalars must convert to. Flags keep their text; see ``flag``.
+MEMBER_TYPES = {
+    "info": {"year": "int"},
+    "licenses": {"id": "bigint"},
+    "categories": {"id": "bigint", "level": "int"},
+    "attributes": {"id": "bigint", "level": "int"},
+    "images": {"id": "bigint", "width": "int", "height": "int", "license": "bigint"},
+    "annotations": {"id": "bigint", "image_id": "bigint", "category_id": "bigint", "area": "double"},
+}
+
 MEMBERS = tuple(MEMBER_DDL)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,34 +43,47 @@ def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int =
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder.
+    Only a local-mode session without that setting, whose executors share the driver's disk, gets a
+    folder of its own; it is removed with the session's process.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="annoweave-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/annoweave-{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path below the shared folder, removed by ``clear_scratch``."""
+    path = f"{shared_folder(spark).rstrip('/')}/annoweave-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+    """Compute ``df`` once: write it as Parquet below the shared folder and read it back.
 
-    Meant for summaries and id lists that several later steps read: the files
-    live in the shared folder, so a lost executor does not lose them.
+    Cuts the lineage like a reliable checkpoint, so a lost executor does not lose it; later steps
+    read only the columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete this process's scratch files, once no result needs them; says how many paths."""
+    done = 0
+    while _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return done
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

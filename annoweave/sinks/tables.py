@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from annoweave.schemas import table_schema
+from annoweave.sources.tables import CSV_OPTIONS
 
 FILE_FORMATS = ("parquet", "csv", "json", "orc")
 
@@ -28,7 +29,7 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet
     for name, df in tables.items():
         writer = _declared(name, df).write.mode(mode)
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(**CSV_OPTIONS)
         writer.format(fmt).save(f"{root.rstrip('/')}/{name}")
 
 
@@ -40,7 +41,7 @@ def export_csv(tables: Mapping[str, DataFrame], root: str) -> None:
 def save_tables(tables: Mapping[str, DataFrame], database: str, mode: str = "overwrite") -> None:
     """Write the tables into a catalog database; ``overwrite`` replaces the rows."""
     for name, df in tables.items():
-        _declared(name, df).write.insertInto(f"{database}.{name}", overwrite=mode == "overwrite")
+        _declared(name, df).write.insertInto(f"`{database}`.`{name}`", overwrite=mode == "overwrite")
 
 
 def remove_folder(spark: SparkSession, path: str) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.operators.triples import (
@@ -37,15 +37,42 @@ def _element(predicate: str, tag: str) -> Column:
     return F.when(here, element).alias(tag)
 
 
-def _write_xml(triples: DataFrame, path: str, words: Vocabulary) -> None:
+def _tags(words: Vocabulary) -> dict[str, str]:
     tags = {RDF_TYPE: "rdf:type", LABEL: "rdfs:label", COMMENT: "rdfs:comment",
             SUBCLASS: "rdfs:subClassOf", RANGE: "rdfs:range", SEE_ALSO: "rdfs:seeAlso",
             VERSION: "owl:versionInfo"}
-    tags |= {words.term(name): f"{words.prefix}:{name}" for name, _, _ in words.properties}
+    return tags | {words.term(name): f"{words.prefix}:{name}" for name, _, _ in words.properties}
+
+
+def _write_xml(triples: DataFrame, path: str, words: Vocabulary) -> None:
+    """A predicate without an element name is an error: nothing is left out."""
+    tags = _tags(words)
     spaces = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, words.prefix: words.base}
     declared = " ".join(f'xmlns:{k}="{v}"' for k, v in spaces.items())
-    described = triples.select(F.col("subject").alias("_rdf:about"),
+    unknown = F.raise_error(F.concat(F.lit("no XML element for predicate "), F.col("predicate")))
+    subject = F.when(F.col("predicate").isin(list(tags)), F.col("subject")).otherwise(unknown.cast("string"))
+    described = triples.select(subject.alias("_rdf:about"),
                                *[_element(p, tag) for p, tag in tags.items()])
     (described.write.mode("overwrite").format("xml")
      .option("rootTag", f"rdf:RDF {declared}").option("rowTag", "rdf:Description")
      .option("validateName", False).save(path))
+
+
+def read_xml(spark: SparkSession, path: str, words: Vocabulary = Vocabulary()) -> DataFrame:
+    """The statements of a folder that ``write_triples`` wrote as XML."""
+    tags = _tags(words)
+    element = "struct<`_rdf:resource`: string, `_rdf:datatype`: string, _VALUE: string>"
+    schema = "`_rdf:about` string, " + ", ".join(f"`{tag}` {element}" for tag in tags.values())
+    rows = spark.read.format("xml").option("rowTag", "rdf:Description").schema(schema).load(path)
+
+    def statement(predicate: str, tag: str) -> Column:
+        e = F.col(f"`{tag}`")
+        iri = e["_rdf:resource"]
+        return F.when(e.isNotNull(), F.struct(
+            F.lit(predicate).alias("predicate"), F.coalesce(iri, e["_VALUE"]).alias("object"),
+            F.when(iri.isNotNull(), "iri").otherwise("literal").alias("object_kind"),
+            e["_rdf:datatype"].alias("datatype")))
+
+    found = rows.select(F.col("`_rdf:about`").alias("subject"),
+                        F.explode(F.array(*[statement(p, tag) for p, tag in tags.items()])).alias("s"))
+    return found.where("s is not null").select("subject", "s.*")

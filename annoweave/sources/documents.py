@@ -5,6 +5,9 @@ A document holds ``info`` and the arrays ``licenses``, ``categories``,
 that names it alone, so the parser skips the rest of the text. Every row carries
 ``_order``, its position in the input, which defines "first appearance".
 
+Nothing is lost on reading: rows with a value that does not convert to its type, and documents and
+lines that are not valid JSON, are kept apart in ``Raw``.
+
 One document is one record: no parallelism inside a file. For large data, shard
 into many documents, or use one JSON-lines file set per member (splittable).
 """
@@ -12,14 +15,44 @@ into many documents, or use one JSON-lines file set per member (splittable).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from annoweave.schemas import MEMBERS, element_schema, member_schema
+from annoweave.functions.scalars import whole_number
+from annoweave.schemas import MEMBER_TYPES, MEMBERS, element_schema, member_schema
 from annoweave.session import path_exists
 
-Raw = dict[str, DataFrame]
+_CORRUPT = "_corrupt_record"
+
+
+class Raw(dict):
+    """The rows of each member with their types, and what could not be read.
+
+    ``unconverted`` has the rows with a value of the wrong kind (member, fields, row), ``damaged``
+    the documents or lines that are not JSON of the expected form (source, text).
+    """
+
+    def __init__(self, members: dict[str, DataFrame], damaged: DataFrame):
+        split = {name: typed(df, name) for name, df in members.items()}
+        super().__init__({name: good for name, (good, _) in split.items()})
+        self.unconverted = reduce(DataFrame.unionByName, [bad for _, bad in split.values()])
+        self.damaged = damaged
+
+
+def typed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as read from text to rows with the member's types, and those that do not convert."""
+    converted = {c: F.col(c).try_cast("double") if kind == "double" else whole_number(c, kind)
+                 for c, kind in MEMBER_TYPES[name].items()}
+    lost = [F.when(F.col(c).isNotNull() & value.isNull(), F.lit(c)) for c, value in converted.items()]
+    odd = F.coalesce(*lost).isNotNull()
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    good = rows.where(~odd).select([converted[c].alias(c) if c in converted else F.col(c) for c in rows.columns])
+    bad = rows.where(odd).select(F.lit(name).alias("member"), F.concat_ws(",", *lost).alias("fields"),
+                                 F.to_json(F.struct(*plain)).alias("row"))
+    return good, bad
 
 
 def _unfold(docs: DataFrame, name: str, doc_key: str) -> DataFrame:
@@ -32,6 +65,10 @@ def _unfold(docs: DataFrame, name: str, doc_key: str) -> DataFrame:
                 .select(F.struct(doc_key, "_pos").alias("_order"), "_item.*"))
 
 
+def _checked_schema(*names: str) -> T.StructType:
+    return member_schema(*names).add(_CORRUPT, "string")
+
+
 def read_documents(spark: SparkSession, path: str | list[str],
                    stage: Callable[[str, DataFrame], DataFrame] | None = None) -> Raw:
     """All members of the JSON documents at ``path``; a missing path raises.
@@ -41,55 +78,74 @@ def read_documents(spark: SparkSession, path: str | list[str],
     with one column per member, of which later reads take only the one they need.
     """
     def parsed(*names: str) -> DataFrame:
-        return (spark.read.schema(member_schema(*names)).option("multiLine", True).json(path)
-                .select(F.col("_metadata.file_path").alias("_file"), *names))
-    if stage is None:
-        return {name: _unfold(parsed(name), name, "_file") for name in MEMBERS}
-    docs = stage("documents", parsed(*MEMBERS))
-    return {name: _unfold(docs.select("_file", name), name, "_file") for name in MEMBERS}
+        return (spark.read.schema(_checked_schema(*names)).option("multiLine", True)
+                .option("columnNameOfCorruptRecord", _CORRUPT).json(path)
+                .select(F.col("_metadata.file_path").alias("_file"), *names, _CORRUPT))
+    docs = stage("documents", parsed(*MEMBERS)) if stage else None
+
+    def member(name: str) -> DataFrame:
+        return (docs if docs is not None else parsed(name)).select("_file", name)
 
+    whole = docs if docs is not None else parsed(*MEMBERS)
+    damaged = whole.where(_is_damaged("info.year")).select(
+        F.col("_file").alias("source"), F.col(_CORRUPT).alias("text"))
+    return Raw({name: _unfold(member(name), name, "_file") for name in MEMBERS}, damaged)
 
-def documents_from_text(docs: DataFrame, text: str, doc_key: str) -> Raw:
+
+def documents_from_text(docs: DataFrame, text: str, doc_key: str, member: str | None = None) -> Raw:
     """The same members from a column of JSON text, one document per row.
 
-    A text that does not spell the member's name, plainly or by escapes, is not parsed.
+    A text that does not spell a member's name, plainly or by escapes, is not parsed for it. A column
+    ``member`` may name the only member a document has, which lets others skip its source.
     """
-    raw = {}
+    members, broken = {}, []
     for name in MEMBERS:
-        schema = member_schema(name).simpleString()
+        own = docs.where(F.col(member) == name) if member else docs
         spelled = F.contains(F.col(text), F.lit(f'"{name}"')) | F.contains(F.col(text), F.lit("\\u"))
-        parsed = docs.select(doc_key, F.when(spelled, F.from_json(text, schema)).alias("_doc"))
-        raw[name] = _unfold(parsed.select(doc_key, f"_doc.{name}"), name, doc_key)
-    return raw
+        schema = _checked_schema(name).simpleString()
+        parsed = own.select(doc_key, text, F.when(spelled, F.from_json(
+            text, schema, {"columnNameOfCorruptRecord": _CORRUPT})).alias("_doc"))
+        members[name] = _unfold(parsed.select(doc_key, f"_doc.{name}"), name, doc_key)
+        broken.append(parsed.where(F.col(f"_doc.{_CORRUPT}").isNotNull())
+                      .select(F.col(doc_key).alias("source"), F.col(text).alias("text")))
+    return Raw(members, reduce(DataFrame.unionByName, broken).distinct())
 
 
-def read_member_lines(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
-    """One member from JSON lines. Blank lines are skipped; large files are split."""
-    lines = spark.read.schema(element_schema(name)).json(path)
+def _is_damaged(other: str) -> Column:
+    """Whether the parser kept the text as damaged; a scan that asks for nothing else is refused."""
+    return F.coalesce(F.col(_CORRUPT), F.col(other)) == F.col(_CORRUPT)
+
+
+def _lines(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
+    lines = (spark.read.schema(element_schema(name).add(_CORRUPT, "string"))
+             .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
     order = F.struct(F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_line"))
     return lines.select(order.alias("_order"), "*")
 
 
+def _damaged_lines(lines: DataFrame, name: str) -> DataFrame:
+    return lines.where(_is_damaged(element_schema(name).names[0])).select(
+        F.col("_order._file").alias("source"), F.col(_CORRUPT).alias("text"))
+
+
+def read_member_lines(spark: SparkSession, name: str, path: str | list[str]) -> Raw:
+    """One member from JSON lines. Blank lines are skipped; large files are split."""
+    lines = _lines(spark, name, path)
+    return Raw({name: lines.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)}, _damaged_lines(lines, name))
+
+
 def read_member_files(spark: SparkSession, folder: str) -> Raw:
     """All members from ``<member>.jsonl`` below ``folder``; an absent member is empty."""
-    raw = {}
+    members, broken = {}, [spark.createDataFrame([], "source string, text string")]
     for name in MEMBERS:
         path = f"{folder.rstrip('/')}/{name}.jsonl"
         if path_exists(spark, path):
-            raw[name] = read_member_lines(spark, name, path)
+            lines = _lines(spark, name, path)
+            members[name] = lines.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+            broken.append(_damaged_lines(lines, name))
         else:
-            raw[name] = spark.createDataFrame([], element_schema(name)).select(
+            members[name] = spark.createDataFrame([], element_schema(name)).select(
                 F.struct(F.lit(0).alias("_line")).alias("_order"), "*")
-    return raw
-
-
-def damaged_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files that are not valid JSON documents; the readers yield no rows for them."""
-    schema = member_schema("info").add("_corrupt_record", "string")
-    docs = (spark.read.schema(schema).option("multiLine", True)
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    # A document that parses but holds a value of another type is not damaged.
-    return (docs.where("_corrupt_record is not null and info is null")
-                .select(F.col("_metadata.file_path").alias("file")))
+    return Raw(members, reduce(DataFrame.unionByName, broken))

@@ -9,12 +9,17 @@ from annoweave.session import path_exists
 
 Tables = dict[str, DataFrame]
 
+# Quotes are doubled inside quoted values; line breaks in them are part of the value. NULL and empty
+# text are both an empty field, and are read as NULL.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
     """One stored table with its declared schema."""
     reader = spark.read.schema(table_schema(name))
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST")
     return reader.format(fmt).load(f"{root.rstrip('/')}/{name}")
 
 

@@ -6,13 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.schemas import element_schema
+from annoweave.sources.documents import typed
+
+
+def _as_found(spark: SparkSession, path: str) -> DataFrame:
+    schema = element_schema("categories").add("_corrupt_record", "string")
+    return spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
-    """Categories from ``*.jsonl`` (one object per line) or from a JSON array."""
-    whole_file = not path.endswith(".jsonl")
-    return (spark.read.schema(element_schema("categories"))
-            .option("multiLine", whole_file).json(path))
+    """Categories from ``*.jsonl`` (one object per line) or from a JSON array.
+
+    Lines that are not JSON and values of the wrong kind are in ``unreadable_categories``.
+    """
+    found = _as_found(spark, path).where("_corrupt_record is null").drop("_corrupt_record")
+    return typed(found, "categories")[0]
+
+
+def unreadable_categories(spark: SparkSession, path: str) -> DataFrame:
+    """What ``read_categories`` leaves out, as text."""
+    found = _as_found(spark, path)
+    odd = typed(found.where("_corrupt_record is null").drop("_corrupt_record"), "categories")[1]
+    return (found.where("coalesce(_corrupt_record, id) = _corrupt_record").select(F.col("_corrupt_record").alias("row"))
+            .unionByName(odd.select("row")))
 
 
 def complete_categories(categories: DataFrame) -> DataFrame:

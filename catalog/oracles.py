@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from annoweave.operators import triples
 from catalog.queries import (
-    CHILDREN_KEPT, FEW_STRATA_KEPT, IMAGES_KEPT, MANY_STRATA_KEPT, WORDS)
+    CHILDREN_KEPT, FEW_STRATA_KEPT, IMAGES_KEPT, MANY_STRATA_KEPT, REPEATED_KEPT, WORDS)
 from catalog.roles import CATEGORY_RANGE, NO_IMAGE
 
 # The eight tables as common table expressions.
@@ -92,6 +92,10 @@ def _count_all(tables: dict[str, str]) -> str:
                               for n, sql in tables.items())
 
 
+def _unchanged() -> str:
+    return f'select "table", rows, cast(0 as bigint) as different from ({_count_all(TABLES)})'
+
+
 # --- sampling ---------------------------------------------------------------------------------
 
 def _draw(seed: int, row_id: str) -> str:
@@ -286,28 +290,6 @@ def _statistics() -> str:
     return "select " + ", ".join(counts)
 
 
-def _subset() -> str:
-    return f"""with l as (select * from ({LICENSES}) order by id limit 5),
-        c as (select * from ({CATEGORIES}) order by id limit 5),
-        i as (select * from ({IMAGES}) where license in (select id from l)),
-        a as (select * from ({ANNOTATIONS}) where image_id in (select id from i)
-              and category_id in (select id from c))
-        select 'licenses' as "table", id from l union all select 'categories', id from c
-        union all select 'images', id from i union all select 'annotations', id from a"""
-
-
-def _columns() -> str:
-    images = ("id, width, height, file_name, license, time_captured, original_url, isstatic, kaggle_id")
-    rows = [("info", 6, 0, "year, version, description, contributor, url, date_created", "", True),
-            ("licenses", 3, 3, "id, name, url", "id, name, url", False),
-            ("images", 9, 8, images, images.removesuffix(", kaggle_id"), False)]
-    return " union all ".join(
-        f"select '{n}' as \"table\", cast({a} as integer) as full_columns, "
-        f"cast({b} as integer) as sample_columns, '{x}' as full_list, '{y}' as sample_list, "
-        f"{repr('table not found') if absent else 'cast(null as varchar)'} as error"
-        for n, a, b, x, y, absent in rows)
-
-
 def _preview() -> str:
     pick = "select {0} as side, id, license, width from ({1}) order by id limit 3"
     return (f"with {DATASET_SAMPLE} select * from ({pick.format(repr('full'), IMAGES)}) union all "
@@ -368,19 +350,12 @@ ORACLES: dict[str, str] = {
     "kept_links": f"select * from ({_document_links(KEPT, False)}) where attribute_id in "
                   "(select s_suppkey from supplier)",
     "kept_points": _document_points(KEPT, True),
-    "orphan_annotations": "select o_orderkey as id, o_custkey as image_id from orders where not exists "
-                          "(select 1 from customer where c_custkey = o_custkey and c_custkey % 3 <> 0)",
     "reference_audit": _audit(),
     "key_audit": _keys(),
     "duplicate_keys": 'select l_orderkey, l_linenumber, count(*) as "count" from lineitem '
                       "group by 1, 2 having count(*) > 1",
-    "subset_by_reference": _subset(),
     "missing_categories": f"select distinct category_id as id from ({ANNOTATIONS}) where category_id "
                           "not in (select p_partkey from part)",
-    "sampling_gate": """select (select count(*) from customer) as images,
-        (select count(*) from orders) as annotations,
-        (select count(*) from customer) > 10000 or (select count(*) from orders) > 10000 as sampled,
-        1000 as target_images, 1000 as target_annotations, 1000 as target_segmented""",
     "sample_quota": f"with {_quota('q', 'customer', 'c_custkey', 'c_mktsegment', IMAGES_KEPT)} "
                     "select s as c_mktsegment, n as size, k as take from q_a",
     "stratified_sample": _customers(CUSTOMER_SAMPLE, "in (select id from imgs)"),
@@ -406,19 +381,10 @@ ORACLES: dict[str, str] = {
         + _uniform("anns", "kids", "o_orderkey", CHILDREN_KEPT), "anns"),
     "unsampled_rows": _customers(_uniform("imgs", "customer", "c_custkey", IMAGES_KEPT),
                                  "not in (select id from imgs)"),
-    "first_segmented": f"select * from ({POINTS}) where annotation_id in "
-                       "(select vec_id from embeddings order by vec_id limit 200)",
     "referential_sample": f"with {DATASET_SAMPLE} select 'images' as \"table\", id from imgs "
                           "union all select 'annotations', id from anns",
     "referential_sample_uniform": f"with {UNIFORM_DATASET_SAMPLE} select 'images' as \"table\", id "
                                   "from imgs union all select 'annotations', id from anns",
-    "referential_sample_gated": f"""with {UNIFORM_DATASET_SAMPLE},
-        {_uniform("direct", "annotations", "id", CHILDREN_KEPT)},
-        gate as (select count(*) > 10000 as closed from images)
-        select 'images' as "table", id from images where not (select closed from gate)
-        union all select 'annotations', id from direct where not (select closed from gate)
-        union all select 'images', id from imgs where (select closed from gate)
-        union all select 'annotations', id from anns where (select closed from gate)""",
     "clean_names": f"""select id, {_clean('name')} as cleaned,
         concat('{BASE}category_', {_clean('name')}) as uri, {_clean('name')} as "local"
         from ({TAXONOMY})""",
@@ -448,7 +414,6 @@ ORACLES: dict[str, str] = {
         DATASET_SAMPLE, ["annotations_joined", "annotations_with_points", "total_points"],
         _coverage(ANNOTATIONS, POINTS),
         _coverage(SAMPLED_TABLES["annotations"], SAMPLED_TABLES["segmentations"])),
-    "compare_columns": _columns(),
     "compare_previews": _preview(),
     "compare_methods": _methods(),
     "guarded_ratios": """select n_nationkey,
@@ -456,10 +421,48 @@ ORACLES: dict[str, str] = {
         case when n_regionkey = 0 then null
              else (n_nationkey - n_regionkey) / n_regionkey * 100 end as change from nation""",
     "parquet_tables": _count_all(TABLES),
-    "csv_tables": IMAGES,
     "member_lines": f"{DOCUMENT_ANNOTATION} where {USABLE}",
     "document_files": f"{DOCUMENT_LICENSES} where n_nationkey <> 0",
     "category_files": ONTOLOGY,
     "triple_files": LINES,
-    "triple_xml": f"select subject, count(*) as statements from ({ONTOLOGY}) group by subject",
+    "sampling_gate": """select (select count(*) from customer) as images,
+        (select count(*) from orders) as annotations,
+        (select count(*) from customer) > 10000 or (select count(*) from orders) > 10000 as "large" """,
+    "orphan_annotations": f"""select id, category_id from ({ANNOTATIONS}) where category_id not in
+        (select p_partkey from part)""",
+    "orphaned_annotations": f"""select id, image_id, category_id from
+        ({DOCUMENT_ANNOTATION} where {USABLE} and not ({KEPT}))""",
+    "orphaned_links": f"select * from ({_document_links(USABLE, False)}) where attribute_id not in "
+                      "(select s_suppkey from supplier)",
+    "referential_sample_all_images": f"""with annotations as ({ANNOTATIONS}),
+        {_uniform("direct", "annotations", "id", CHILDREN_KEPT)}
+        select 'images' as "table", c_custkey as id from customer
+        union all select 'annotations', id from direct""",
+    "uniform_sample_repeated_ids": f"""select l_orderkey, count(*) as rows from
+        (select l_orderkey from lineitem order by {_draw(42, "l_orderkey")} limit {REPEATED_KEPT})
+        group by l_orderkey""",
+    "stratified_sample_repeated_ids": f"select cast({REPEATED_KEPT} as bigint) as rows, "
+                                      f"cast(0 as bigint) as foreign_rows from "
+                                      f"(select count(*) n from lineitem) where n >= {REPEATED_KEPT}",
+    "appended_tables": f'select "table", 2 * rows as rows from ({_count_all(TABLES)})',
+    "csv_tables": _unchanged(),
+    "json_tables": _unchanged(),
+    "orc_tables": _unchanged(),
+    "default_load": _count_all({
+        "info": "select 1", "licenses": f"{DOCUMENT_LICENSES} where n_nationkey <> 0",
+        "categories": CATEGORIES, "attributes": ATTRIBUTES, "images": DOCUMENT_IMAGES,
+        "annotations": f"select 1 from orders where {KEPT}",
+        "annotation_attributes": f"select 1 from ({_document_links(KEPT, False)}) where attribute_id in "
+                                 "(select s_suppkey from supplier)",
+        "segmentations": _document_points(KEPT, True)}),
+    "odd_line_images": """select c_custkey as id,
+        cast(case when c_custkey % 10 = 3 then 640 else c_nationkey end as integer) as width,
+        cast(case when c_custkey % 10 = 3 then 480 end as integer) as height
+        from customer where c_custkey % 10 not in (1, 2, 4, 5)""",
+    "odd_line_account": """select 'read' as kind, count(*) as rows from customer
+          where c_custkey % 10 not in (1, 2, 4, 5)
+        union all select 'unconverted', count(*) from customer where c_custkey % 10 in (2, 4, 5)
+        union all select 'damaged', count(*) from customer where c_custkey % 10 = 1""",
+    "category_arrays": ONTOLOGY,
+    "triple_xml": ONTOLOGY,
 }

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.functions.scalars import clean_name, local_name, percent_change, ratio, term_uri
 from annoweave.operators import compare, integrity, reports, sampling, shred, triples
+from annoweave.plans.load import CHECKED, shred_members
+from annoweave.schemas import TABLES
 from annoweave.session import scratch_path, settle
-from annoweave.sinks.tables import export_csv, write_tables
-from annoweave.sinks.triples import write_triples
+from annoweave.sinks.tables import write_tables
+from annoweave.sinks.triples import read_xml, write_triples
 from annoweave.sources.documents import read_documents, read_member_lines
 from annoweave.sources.tables import ids, preview, read_tables
 from annoweave.sources.taxonomy import complete_categories, read_categories
@@ -26,6 +29,7 @@ IMAGES_KEPT = 203
 CHILDREN_KEPT = 500
 FEW_STRATA_KEPT = 3
 MANY_STRATA_KEPT = 700
+REPEATED_KEPT = 1003
 WORDS = triples.Vocabulary()
 
 
@@ -202,6 +206,18 @@ def kept_links(spark, sf):
     return shred.known_links(links, _raw(spark, sf)["attributes"])
 
 
+@query
+def orphaned_annotations(spark, sf):
+    raw = _raw(spark, sf)
+    return shred.orphaned_annotations(shred.boxed(raw["annotations"]), raw["images"], raw["categories"])
+
+
+@query
+def orphaned_links(spark, sf):
+    links = shred.annotation_links(_usable(spark, sf))
+    return shred.orphaned_links(links, _raw(spark, sf)["attributes"])
+
+
 @query
 def kept_points(spark, sf):
     return shred.polygon_points(_kept(spark, sf))
@@ -210,8 +226,7 @@ def kept_points(spark, sf):
 @query
 def orphan_annotations(spark, sf):
     t = roles.tables(spark, sf)
-    known = t["images"].where("id % 3 <> 0")
-    return integrity.orphans(t["annotations"], known, "image_id").select("id", "image_id")
+    return integrity.orphans(t["annotations"], t["categories"], "category_id").select("id", "category_id")
 
 
 @query
@@ -229,15 +244,6 @@ def duplicate_keys(spark, sf):
     return integrity.duplicate_keys(given(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query
-def subset_by_reference(spark, sf):
-    t = roles.tables(spark, sf)
-    kept = shred.subset_by_reference(t["licenses"], t["images"], t["categories"],
-                                     t["annotations"], 5, "id")
-    parts = [df.select(F.lit(name).alias("table"), "id") for name, df in kept.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
 @query
 def missing_categories(spark, sf):
     t = roles.tables(spark, sf)
@@ -262,7 +268,7 @@ def _sampled_customers(spark, sf):
 
 @query
 def sampling_gate(spark, sf):
-    return sampling.gate_report(_customers(spark, sf), _orders(spark, sf), sampling.Targets.of())
+    return sampling.gate_report(_customers(spark, sf), _orders(spark, sf))
 
 
 @query
@@ -336,24 +342,23 @@ def unsampled_rows(spark, sf):
                               at_most=IMAGES_KEPT)
 
 
-@query
-def first_segmented(spark, sf):
-    """Points of the first annotations only, by input order."""
-    first = sampling.first_rows(roles.polygons(spark, sf), "id", sampling.SMALL_SEGMENTED)
-    return shred.polygon_points(first)
+TARGETS = sampling.Targets(IMAGES_KEPT, CHILDREN_KEPT)
 
 
-def _sample_tables(spark, sf):
+def _with_sample(spark, sf, *wanted):
+    """The roles and a sample of the wanted tables, which is stored once."""
     t = roles.tables(spark, sf)
-    targets = sampling.Targets(IMAGES_KEPT, CHILDREN_KEPT, CHILDREN_KEPT)
-    return t, sampling.sample_dataset(t, targets)
+    cut = sampling.sample_dataset(t, TARGETS, wanted=wanted)
+    sample = {n: settle(df) if n not in ("info", "licenses", "categories", "attributes") else df
+              for n, df in cut.items()}
+    return t, sample
 
 
 @query
 def referential_sample(spark, sf):
     t = roles.tables(spark, sf)
     images, annotations = sampling.referential_sample(
-        t["images"], t["annotations"], sampling.Targets(IMAGES_KEPT, CHILDREN_KEPT, CHILDREN_KEPT))
+        t["images"], t["annotations"], TARGETS)
     return (images.select(F.lit("images").alias("table"), "id")
             .unionByName(annotations.select(F.lit("annotations").alias("table"), "id")))
 
@@ -362,23 +367,40 @@ def referential_sample(spark, sf):
 def referential_sample_uniform(spark, sf):
     t = roles.tables(spark, sf)
     images, annotations = sampling.referential_sample(
-        t["images"], t["annotations"], sampling.Targets(IMAGES_KEPT, CHILDREN_KEPT, CHILDREN_KEPT),
+        t["images"], t["annotations"], TARGETS,
         method="uniform")
     return (images.select(F.lit("images").alias("table"), "id")
             .unionByName(annotations.select(F.lit("annotations").alias("table"), "id")))
 
 
 @query
-def referential_sample_gated(spark, sf):
-    """At most 10,000 images are kept whole and annotations are sampled directly."""
+def referential_sample_all_images(spark, sf):
+    """Every image is kept and annotations are sampled directly."""
     t = roles.tables(spark, sf)
     images, annotations = sampling.referential_sample(
-        t["images"], t["annotations"], sampling.Targets(IMAGES_KEPT, CHILDREN_KEPT, CHILDREN_KEPT),
-        method="uniform", parent_gate=sampling.GATE_ROWS)
+        t["images"], t["annotations"], TARGETS, method="uniform", all_images=True)
     return (images.select(F.lit("images").alias("table"), "id")
             .unionByName(annotations.select(F.lit("annotations").alias("table"), "id")))
 
 
+@query
+def uniform_sample_repeated_ids(spark, sf):
+    """Line items drawn by their order, which many share: rows taken of each order."""
+    lines = given(spark, sf, "lineitem")
+    sample = sampling.uniform_sample(lines, REPEATED_KEPT, row_id="l_orderkey")
+    return sample.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def stratified_sample_repeated_ids(spark, sf):
+    """Samples of rows that share ids: rows taken, and how many of them the table does not hold."""
+    lines = given(spark, sf, "lineitem")
+    sample = sampling.stratified_sample(lines, REPEATED_KEPT, stratum="l_returnflag", row_id="l_orderkey")
+    sample = settle(sample)
+    foreign = sample.exceptAll(lines).agg(F.count(F.lit(1)).alias("foreign_rows"))
+    return sample.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(foreign))
+
+
 # --- taxonomy -----------------------------------------------------------------------------------
 
 @query
@@ -428,32 +450,24 @@ def triple_lines(spark, sf):
 
 @query
 def compare_counts(spark, sf):
-    return compare.compare_counts(*_sample_tables(spark, sf))
+    return compare.compare_counts(*_with_sample(spark, sf, *TABLES))
 
 
 @query
 def compare_density(spark, sf):
-    return compare.compare_density(*_sample_tables(spark, sf))
+    return compare.compare_density(*_with_sample(spark, sf, "images", "annotations"))
 
 
 @query
 def compare_coverage(spark, sf):
-    return compare.compare_coverage(*_sample_tables(spark, sf))
-
-
-@query
-def compare_columns(spark, sf):
-    """Column lists of the customer roles against those of a narrower copy."""
-    t = roles.tables(spark, sf)
-    narrow = {"images": t["images"].drop("kaggle_id"), "licenses": t["licenses"]}
-    return compare.compare_columns(spark, {n: t[n] for n in ("images", "licenses", "info")}, narrow)
+    return compare.compare_coverage(*_with_sample(spark, sf, "annotations", "segmentations"))
 
 
 @query
 def compare_previews(spark, sf):
-    t, sample = _sample_tables(spark, sf)
-    return compare.compare_previews(t["images"].select("id", "license", "width"),
-                                    sample["images"].select("id", "license", "width"), "id")
+    images = roles.tables(spark, sf)["images"].select("id", "license", "width")
+    sample = sampling.stratified_sample(images, IMAGES_KEPT, stratum="license")
+    return compare.compare_previews(images, sample, "id")
 
 
 @query
@@ -482,29 +496,120 @@ def parquet_tables(spark, sf):
     return reports.table_counts(read_tables(spark, root))
 
 
+@query
+def appended_tables(spark, sf):
+    """Counts of the eight tables after writing them and appending them again."""
+    root = scratch_path(spark, "appended")
+    write_tables(roles.tables(spark, sf), root)
+    write_tables(roles.tables(spark, sf), root, mode="append")
+    return reports.table_counts(read_tables(spark, root))
+
+
+def _odd_texts(spark, sf):
+    """The eight tables, with quotes, commas and line breaks in their texts."""
+    t = roles.tables(spark, sf)
+    odd = F.concat(F.lit('"a", '), "name", F.lit('\n\r\n \\"" ,'))
+    for name in ("licenses", "categories", "attributes"):
+        t[name] = t[name].withColumn("name", F.when(F.col("id") % 3 != 0, odd).otherwise(F.col("name")))
+    t["images"] = t["images"].withColumn("file_name", F.when(F.col("id") % 2 == 0, F.concat(
+        F.lit(" "), "file_name", F.lit("\n"))))
+    return t
+
+
+def _round_trip(spark, sf, fmt):
+    """Rows of each table, and how many differ after writing and reading it."""
+    root = scratch_path(spark, fmt)
+    t = _odd_texts(spark, sf)
+    write_tables(t, root, fmt)
+    back = read_tables(spark, root, fmt)
+    parts = []
+    for name in TABLES:
+        there = t[name].select(*[F.col(f.name).cast(f.dataType) for f in back[name].schema])
+        marks = (there.select("*", F.lit(1).alias("_was"), F.lit(0).alias("_is"))
+                 .unionByName(back[name].select("*", F.lit(0).alias("_was"), F.lit(1).alias("_is")))
+                 .groupBy(*there.columns).agg(F.sum("_was").alias("_was"), F.sum("_is").alias("_is")))
+        parts.append(marks.agg(F.coalesce(F.sum("_was"), F.lit(0)).alias("rows"),
+                               F.coalesce(F.sum(F.abs(F.col("_was") - F.col("_is"))), F.lit(0)).alias("different"))
+                     .select(F.lit(name).alias("table"), "rows", "different"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def csv_tables(spark, sf):
-    """The images, by way of a CSV export of all eight tables."""
-    root = scratch_path(spark, "csv")
-    export_csv(roles.tables(spark, sf), root)
-    return read_tables(spark, root, "csv")["images"]
+    return _round_trip(spark, sf, "csv")
+
+
+@query
+def json_tables(spark, sf):
+    return _round_trip(spark, sf, "json")
+
+
+@query
+def orc_tables(spark, sf):
+    return _round_trip(spark, sf, "orc")
+
+
+@query
+def default_load(spark, sf):
+    """Rows of the eight tables after a load with default options: every good row."""
+    root = scratch_path(spark, "load")
+    staging = scratch_path(spark, "load-staging")
+
+    def stage(name, df):
+        df.write.parquet(f"{staging}/{name}")
+        return spark.read.parquet(f"{staging}/{name}")
+
+    write_tables(shred_members(_raw(spark, sf), CHECKED, stage).tables, root)
+    return reports.table_counts(read_tables(spark, root))
 
 
 @query
 def member_lines(spark, sf):
     """Annotations written as JSON lines and read back through the line reader."""
     path = scratch_path(spark, "lines")
-    text = roles.document_text(spark, sf).where("doc like 'annotations/%'")
+    text = roles.document_text(spark, sf).where("member = 'annotations'")
     element = F.regexp_extract("text", r'^\{"annotations":\[(.*)\]\}$', 1)
     text.select(element.alias("value")).write.text(path)
-    return shred.annotations_table(read_member_lines(spark, "annotations", path))
+    return shred.annotations_table(read_member_lines(spark, "annotations", path)["annotations"])
+
+
+def _odd_lines(spark, sf):
+    path = scratch_path(spark, "odd-lines")
+    roles.odd_lines(spark, sf).select("line").write.text(path)
+    return read_member_lines(spark, "images", path)
+
+
+@query
+def odd_line_images(spark, sf):
+    """Images from lines some of which hold other types or are no JSON: those that convert."""
+    return _odd_lines(spark, sf)["images"].select("id", "width", "height")
+
+
+@query
+def odd_line_account(spark, sf):
+    """The same lines: how many were read, refused for a value, and refused as damaged."""
+    raw = _odd_lines(spark, sf)
+    parts = [("read", raw["images"]), ("unconverted", raw.unconverted), ("damaged", raw.damaged)]
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("kind"), "rows") for name, df in parts])
+
+
+@query
+def category_arrays(spark, sf):
+    """Triples from categories written as JSON arrays, several files of one array each."""
+    path = scratch_path(spark, "arrays")
+    rows = roles.taxonomy(spark, sf)
+    (rows.groupBy(F.floor(F.col("id") / 500).alias("file"))
+     .agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+     .write.partitionBy("file").text(path))
+    return triples.ontology(complete_categories(read_categories(spark, f"{path}/file=*")), WORDS)
 
 
 @query
 def document_files(spark, sf):
     """Licenses written as one JSON document per file and read back as documents."""
     path = scratch_path(spark, "documents")
-    licenses = roles.document_text(spark, sf).where("doc like 'licenses/%'")
+    licenses = roles.document_text(spark, sf).where("member = 'licenses'").select("doc", "text")
     licenses.write.partitionBy("doc").text(path)
     raw = read_documents(spark, f"{path}/doc=*")
     return shred.licenses_table(raw["licenses"])
@@ -528,9 +633,7 @@ def triple_files(spark, sf):
 
 @query
 def triple_xml(spark, sf):
-    """Statements per subject in the RDF/XML files written for the taxonomy."""
+    """Every statement in the RDF/XML files written for the taxonomy."""
     path = scratch_path(spark, "xml")
     write_triples(triples.ontology(roles.taxonomy(spark, sf), WORDS), path, "xml", WORDS)
-    rows = (spark.read.format("xml").option("rowTag", "rdf:Description")
-            .schema("`_rdf:about` string").load(path))
-    return rows.groupBy(F.col("_rdf:about").alias("subject")).agg(F.count(F.lit(1)).alias("statements"))
+    return read_xml(spark, path, WORDS)

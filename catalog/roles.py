@@ -82,7 +82,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents_of(df: DataFrame, member: str, key: str, body: str) -> DataFrame:
     """One document per row: ``member`` with a single element."""
-    return df.selectExpr(f"concat('{member}/', cast({key} as string)) doc",
+    return df.selectExpr(f"'{member}' member", f"concat('{member}/', cast({key} as string)) doc",
                          f"concat('{{\"{member}\":[', {body}, ']}}') text")
 
 
@@ -123,21 +123,14 @@ def _taxon_text(key: str, name: str, group: str, level: str, code: str) -> str:
             f"'level', {level}, 'taxonomy_id', {code}))")
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer partitions than cores before its rows become documents.
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of five tables as a JSON document: columns ``member``, ``doc`` and ``text``.
 
-    Small tables are one row group, hence one task. A table of any size has more
-    partitions than that and is left alone.
+    A filter on ``member`` leaves one table of the union to be read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of five tables as a JSON document: columns ``doc`` and ``text``."""
     def table(name: str) -> DataFrame:
         return given(spark, sf_dir, name)
-    orders = _spread(table("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    orders = table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     # License ids appear as numbers and as text, the placeholder zero included.
     def license_text(key: str, odd: str) -> str:
         return f"if({odd} % 2 = 1, cast({key} as string), concat('\"', {key}, '\"'))"
@@ -158,7 +151,7 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "',\"kaggle_id\":\"', c_mktsegment, '\"}')"),
         _documents_of(orders, "annotations", "o_orderkey", _annotation_text()),
         table("orders").selectExpr("max(o_orderdate) last_day", "min(o_orderdate) first_day").selectExpr(
-            "'info' doc", "concat('{\"info\":{\"year\":', year(last_day), ',\"version\":\"1.0\","
+            "'info' member", "'info' doc", "concat('{\"info\":{\"year\":', year(last_day), ',\"version\":\"1.0\","
             "\"date_created\":\"', date_format(first_day, 'yyyy-MM-dd'), '\"}}') text"),
     ]
     whole = parts[0]
@@ -168,4 +161,15 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Raw:
-    return documents_from_text(document_text(spark, sf_dir), "text", "doc")
+    return documents_from_text(document_text(spark, sf_dir), "text", "doc", "member")
+
+
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON lines of images, some with values of another type and some not JSON at all."""
+    return given(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", """case when c_custkey % 10 = 1 then concat('{"id":', c_custkey, ',"width":')
+            when c_custkey % 10 = 2 then concat('{"id":', c_custkey, ',"width":800.5}')
+            when c_custkey % 10 = 3 then concat('{"id":"', c_custkey, '","width":"640","height":480.0}')
+            when c_custkey % 10 = 4 then concat('{"id":"n', c_custkey, '","width":1}')
+            when c_custkey % 10 = 5 then concat('{"id":', c_custkey, ',"license":true}')
+            else concat('{"id":', c_custkey, ',"width":', c_nationkey, '}') end line""")

@@ -1,16 +1,17 @@
 import json
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 
 from annoweave.__main__ import main
 from annoweave.operators import integrity, reports
 from annoweave.plans.load import (
-    CHECKED, UNCHECKED, LoadOptions, compare_loads, load_documents, load_lines, shred_members)
+    CHECKED, UNCHECKED, compare_loads, load_documents, load_lines, read_rejects, rejects_report)
 from annoweave.plans.report import comparison_report, dataset_report
 from annoweave.schemas import TABLES, table_schema
+from annoweave.session import clear_scratch, shared_folder
 from annoweave.sinks.tables import export_csv, save_tables, write_tables
-from annoweave.sources.synthetic import annotated_set
 from annoweave.sources.tables import catalog_tables, create_tables, existing_tables, read_tables
 from conftest import annotation, dataset, image
 
@@ -23,7 +24,7 @@ def test_single_row_load_and_export(spark, document, tmp_path):
     content = dataset([image(1)], [annotation(1, 1)])
     tables = load_documents(spark, document(content), str(tmp_path / "out"))
     assert counts(tables) == {"info": 1, "licenses": 2, "categories": 3, "attributes": 3, "images": 1,
-                              "annotations": 1, "annotation_attributes": 1, "segmentations": 4}
+                              "annotations": 1, "annotation_attributes": 1, "segmentations": 3}
     for name in TABLES:
         assert [(f.name, f.dataType) for f in tables[name].schema] == [
             (f.name, f.dataType) for f in table_schema(name)]
@@ -37,7 +38,7 @@ def test_single_row_load_and_export(spark, document, tmp_path):
 def test_formats(spark, document, tmp_path, fmt):
     content = dataset([image(1), image(2, 0)], [annotation(1, 1), annotation(2, 2, 2)])
     tables = load_documents(spark, document(content), str(tmp_path / "out"), fmt=fmt)
-    assert counts(tables)["segmentations"] == 8
+    assert counts(tables)["segmentations"] == 6
     assert sorted((r.id, r.license) for r in tables["images"].collect()) == [(1, 1), (2, None)]
     with pytest.raises(ValueError):
         write_tables(tables, str(tmp_path / "x"), "excel")
@@ -51,9 +52,9 @@ def test_checked_and_unchecked(spark, document, tmp_path):
     checked = load_documents(spark, path, str(tmp_path / "a"), CHECKED)
     unchecked = load_documents(spark, path, str(tmp_path / "b"), UNCHECKED)
     assert counts(checked) == {"info": 1, "licenses": 1, "categories": 3, "attributes": 3, "images": 1,
-                               "annotations": 2, "annotation_attributes": 2, "segmentations": 5}
+                               "annotations": 2, "annotation_attributes": 2, "segmentations": 4}
     assert counts(unchecked) == {"info": 1, "licenses": 2, "categories": 3, "attributes": 3, "images": 1,
-                                 "annotations": 3, "annotation_attributes": 4, "segmentations": 10}
+                                 "annotations": 3, "annotation_attributes": 4, "segmentations": 8}
     assert checked["images"].first().license is None and unchecked["images"].first().license == 0
     assert sum(r.violations for r in integrity.reference_audit(checked).collect()) == 0
     assert spark.read.parquet(str(tmp_path / "a/rejects/points")).count() == 1
@@ -112,12 +113,12 @@ def test_sampled_load_of_a_large_document(spark, document, tmp_path):
     content = dataset([image(i + 1, 1 + i % 2) for i in range(12_000)],
                       [annotation(i + 1, i % 12_000 + 1, 1 + i % 2, [1 + i % 2]) for i in range(15_000)])
     path = document(content)
-    whole = load_documents(spark, path, str(tmp_path / "full"), replace(CHECKED, enable_sampling=False))
-    assert counts(whole)["images"] == 12_000 and counts(whole)["segmentations"] == 60_000
-    part = load_documents(spark, path, str(tmp_path / "part"))
+    whole = load_documents(spark, path, str(tmp_path / "full"))  # every row, whatever the size
+    assert counts(whole)["images"] == 12_000 and counts(whole)["segmentations"] == 45_000
+    part = load_documents(spark, path, str(tmp_path / "part"), replace(CHECKED, sample_size=1000))
     found = counts(part)
     assert found["images"] == 1000 and 800 <= found["annotations"] <= 1000
-    assert found["segmentations"] == 4 * found["annotations"] == 4 * found["annotation_attributes"]
+    assert found["segmentations"] == 3 * found["annotations"] == 3 * found["annotation_attributes"]
     assert sorted(r[0] for r in part["images"].groupBy("license").count().select("count").collect()) == [500, 500]
     for name in ("licenses", "categories", "attributes"):
         assert sorted(part[name].collect()) == sorted(whole[name].collect())
@@ -131,36 +132,49 @@ def test_sampled_load_of_a_large_document(spark, document, tmp_path):
     assert report["coverage"].count() == 3 and report["preview_info"].count() == 2
 
 
-@pytest.mark.parametrize("options", [CHECKED, UNCHECKED])
-@pytest.mark.parametrize("images,annotations,sampled", [
-    (10_000, 10_000, False), (11_000, 12_000, True), (9_000, 10_001, True)])
-def test_gate(spark, options, images, annotations, sampled):
-    result = shred_members(annotated_set(spark, images, annotations), options)
-    assert result.sampled is sampled
-    kept, found = (result.tables[n].count() for n in ("images", "annotations"))
-    if not sampled:
-        assert (kept, found) == (images, annotations)
-    elif options is UNCHECKED and images <= 10_000:
-        assert (kept, found) == (images, 1000)
-    else:
-        assert kept == 1000 and 0 < found <= 1000
-
-
-def test_fewer_outlined_annotations_than_sampled(spark):
-    class Odd(LoadOptions):
-        @property
-        def targets(self):
-            return replace(super().targets, segmented=10)
-    result = shred_members(annotated_set(spark, 200, 300), Odd(gate=100, sample_size=100))
-    assert result.tables["annotations"].count() > 10
-    assert result.tables["segmentations"].count() == 40
+def test_what_is_left_out_is_told(spark, document, tmp_path):
+    odd = [annotation(2, 99), {**annotation(3, 1), "area": "wide"}, {**annotation(4, 1), "bbox": [1]},
+           annotation(5, 1, 1, [1, 77])]
+    path = document(dataset([image(1, 0)], [annotation(1, 1), *odd]))
+    out = str(tmp_path / "out")
+    load_documents(spark, path, out)
+    assert {r.kind: r.rows for r in rejects_report(spark, out).collect()} == {
+        "damaged": 0, "unconverted": 1, "boxes": 1, "points": 0, "annotations": 1, "links": 1}
+    assert read_rejects(spark, out, "licenses").first()[0] == 1
+    assert read_rejects(spark, out, "annotations").first().image_id == 99
+    strict = replace(CHECKED, fail_on_rejects=True)
+    with pytest.raises(ValueError, match="wide"):
+        load_documents(spark, path, str(tmp_path / "strict"), strict)
+    (tmp_path / "torn.json").write_text('{"images": [')
+    with pytest.raises(ValueError, match="damaged"):
+        load_documents(spark, str(tmp_path / "torn.json"), str(tmp_path / "strict"), strict)
+    load_documents(spark, document(dataset([image(1)], [annotation(1, 1)]), "good.json"),
+                   str(tmp_path / "strict"), strict)
+
+
+def test_all_images_and_a_sample_of_annotations(spark, document, tmp_path):
+    path = document(dataset([image(i) for i in range(50)], [annotation(i, i % 50) for i in range(300)]))
+    options = replace(UNCHECKED, sample_size=20, all_images=True)
+    found = counts(load_documents(spark, path, str(tmp_path / "out"), options))
+    assert (found["images"], found["annotations"], found["segmentations"]) == (50, 20, 60)
+
+
+def test_no_scratch_is_left(spark, document, tmp_path):
+    clear_scratch(spark)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("annoweave-*"))
+    path = document(dataset([image(1)], [annotation(1, 1)]))
+    tables = load_documents(spark, path, str(tmp_path / "out"))
+    clear_scratch(spark)
+    assert set(folder.glob("annoweave-*")) <= before
+    assert counts(tables)["images"] == 1
 
 
 def test_catalog(spark, document):
     path = document(dataset([image(1)], [annotation(1, 1)]))
     tables = load_documents(spark, path, "wardrobe", fmt="catalog")
     try:
-        assert counts(tables)["segmentations"] == 4
+        assert counts(tables)["segmentations"] == 3
         assert spark.table("wardrobe.rejected_points").count() == 0
         create_tables(spark, "wardrobe")
         save_tables({"images": catalog_tables(spark, "wardrobe")["images"].limit(0).unionByName(
@@ -199,11 +213,12 @@ def test_absent_tables_are_reported(spark, document, tmp_path):
 def test_command_line(spark, document, tmp_path, capsys):
     path = document(dataset([image(1)], [annotation(1, 1)]))
     out = str(tmp_path / "out")
-    main(["load", path, out, "--no-enable-sampling"])
+    main(["load", path, out])
+    main(["export", out, str(tmp_path / "csv")])
     main(["report", out])
     main(["compare", out, out])
     categories = tmp_path / "c.json"
     categories.write_text(json.dumps(dataset([], [])["categories"]))
     main(["ontology", str(categories), str(tmp_path / "owl"), "--dataset", "Wardrobe"])
     shown = capsys.readouterr().out
-    assert "top_categories" in shown and "density" in shown and "summary" in shown
+    assert "top_categories" in shown and "density" in shown and "summary" in shown and "left out" in shown

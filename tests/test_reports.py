@@ -2,7 +2,6 @@ import pytest
 
 from annoweave.functions.scalars import percent_change, ratio
 from annoweave.operators import compare, integrity, reports
-from annoweave.sources.synthetic import annotated_set, demo_tables
 from annoweave.sources.tables import ids, preview
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ def tiny(spark):
                                         "id long, width int, height int, license long"),
         "annotations": spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1)],
                                              "id long, image_id long, category_id long"),
-        "categories": spark.createDataFrame([(1, "shirt", "u"), (2, "pants", "l"), (3, "dress", "u")],
+        "categories": spark.createDataFrame([(1, "tug", "w"), (2, "buoy", "m"), (3, "ferry", "w")],
                                             "id long, name string, supercategory string"),
         "segmentations": spark.createDataFrame([(1, 0, 0), (1, 0, 1), (7, 0, 0)],
                                                "annotation_id long, polygon_index int, point_index int"),
@@ -72,8 +71,7 @@ def test_audits(tiny, rows):
     keys = {r["table"]: r.violations for r in integrity.key_audit(
         {**tiny, "images": tiny["images"].union(tiny["images"])}).collect()}
     assert keys["images"] == 3 and keys["annotations"] == 0
-    assert integrity.orphans(tiny["segmentations"], tiny["annotations"], "annotation_id",
-                             row_id="annotation_id").count() == 1
+    assert integrity.orphans(tiny["segmentations"], tiny["annotations"], "annotation_id").count() == 1
     assert integrity.missing_from(tiny["annotations"].select(F.col("image_id").alias("id")),
                                   tiny["images"], "id").count() == 0
 
@@ -94,7 +92,7 @@ def test_comparison(tiny, spark, rows):
     density = {r.metric: (r.full, r["sample"]) for r in compare.compare_density(tiny, part).collect()}
     assert density["unique_images"] == (3.0, 2.0)
     assert density["annotations_per_image"] == (1.0, 0.0)
-    shown = compare.compare_previews(tiny["images"], part["images"], "id", 1).collect()
+    shown = compare.compare_previews(tiny["images"], part["images"], "id", rows=1).collect()
     assert [(r.side, r.id) for r in shown] == [("full", 1), ("sample", 1)]
     metrics = spark.createDataFrame([("a", 2.0, 10), ("b", 3.0, 5)], "method string, seconds double, bytes long")
     diff = {r.measure: r.percent_change for r in
@@ -105,26 +103,3 @@ def test_comparison(tiny, spark, rows):
 def test_ids_and_preview(tiny, rows):
     assert rows(ids(tiny["annotations"], "image_id")) == [(1,), (2,)]
     assert [r.id for r in preview(tiny["images"], "id", 2).collect()] == [1, 2]
-
-
-@pytest.mark.parametrize("images,annotations,links,polygons,uses", [
-    (1000, 2500, 7500, 1666, [2500, 2500, 1667, 833, 0]), (100, 250, 750, 166, [250, 250, 167, 83, 0])])
-def test_demo_set(spark, images, annotations, links, polygons, uses):
-    t = demo_tables(spark, images)
-    assert [t[n].count() for n in ("annotations", "annotation_attributes", "segmentations")] == [
-        annotations, links, polygons]
-    by_category = t["annotations"].groupBy("category_id").count().orderBy("category_id").collect()
-    assert [r["count"] for r in by_category] == [annotations // 5] * 5
-    usage = reports.usage_counts(t["attributes"], t["annotation_attributes"], "id", "attribute_id")
-    assert [r["count"] for r in usage.orderBy("id").collect()] == uses
-    for name in ("annotations", "annotation_attributes", "segmentations"):
-        r = t[name].agg(F.min("id"), F.max("id"), F.count_distinct("id"), F.count("*")).first()
-        assert r[0] == 1 and r[1] == r[2] == r[3]
-    per_image = t["annotations"].groupBy("image_id").count().collect()
-    assert all(r["count"] == 2 + r.image_id % 2 for r in per_image) and len(per_image) == images
-
-
-def test_annotated_set(spark):
-    raw = annotated_set(spark, 30, 40)
-    assert raw["images"].count() == 30 and raw["annotations"].count() == 40
-    assert raw["annotations"].agg(F.max("image_id"), F.max("category_id")).first()[:] == (30, 3)

@@ -52,22 +52,43 @@ def test_same_rows_as_the_loop(spark, count, strata, hot, size):
 
 
 @pytest.mark.parametrize("size", [1, 60, 250])
-def test_missed_band_falls_back_to_full_ranking(spark, monkeypatch, size):
-    monkeypatch.setattr(sampling, "BAND_WIDTH", 0.0)
-    monkeypatch.setattr(sampling, "_BAND_FLOOR", -1.0)
+def test_ranking_few_rows_at_a_time_changes_nothing(spark, monkeypatch, size):
     pairs = _pairs(300, 6, 0.3, 5)
+    monkeypatch.setattr(sampling, "_FEW", 1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
     assert _sample(spark, pairs, size) == by_hand(pairs, size)
     df = spark.createDataFrame(pairs, "id long, s long")
     want = sorted(sorted((i for i, _ in pairs), key=lambda i: _hash(42, i))[:size])
     assert sorted(r.id for r in sampling.uniform_sample(df, size).collect()) == want
 
 
-@pytest.mark.parametrize("size", [40, 250])
-def test_sample_too_large_to_broadcast(spark, monkeypatch, size):
-    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 5)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
-    pairs = _pairs(300, 20, 0.35, 6)
-    assert _sample(spark, pairs, size) == by_hand(pairs, size)
+@pytest.mark.parametrize("few", [1000, 1])
+@pytest.mark.parametrize("size", [100, 301, 2999])
+def test_repeated_ids_and_equal_rows(spark, monkeypatch, few, size):
+    monkeypatch.setattr(sampling, "_FEW", few)
+    df = spark.range(3000).selectExpr("id % 1000 id", "id % 7 s", "id div 1500 half")
+    for out in (sampling.uniform_sample(df, size), sampling.stratified_sample(df, size, stratum="s")):
+        assert out.count() == size and out.exceptAll(df).count() == 0
+    same = spark.range(500).selectExpr("cast(1 as long) id", "cast(null as long) s")
+    assert sampling.uniform_sample(same, 77).count() == 77
+    assert sampling.stratified_sample(same, 77, stratum="s").count() == 77
+
+
+def test_rows_without_id_are_refused(spark):
+    df = spark.createDataFrame([(1, 1), (None, 1)], "id long, s long")
+    with pytest.raises(ValueError):
+        sampling.uniform_sample(df, 1)
+    with pytest.raises(ValueError):
+        sampling.stratified_sample(df, 1, stratum="s")
+
+
+def test_running_total(spark):
+    df = spark.range(500).selectExpr("id * 7 % 500 a", "id % 11 n").repartition(5)
+    found = {r.a: r._before for r in sampling.running_total(df, ["a"], "n").collect()}
+    ahead, want = 0, {}
+    for a, n in sorted((r.a, r.n) for r in df.collect()):
+        want[a], ahead = ahead, ahead + n
+    assert found == want
 
 
 def test_partitioning_does_not_matter_but_the_seed_does(spark):
@@ -99,19 +120,20 @@ def test_quota_report_lists_every_stratum(spark):
     assert sum(t for _, t in quotas.values()) <= 10 and any(t == 0 for _, t in quotas.values())
 
 
-def test_gate_is_strict(spark):
+def test_gate_report_is_strict(spark):
     at, over = spark.range(10_000), spark.range(10_001)
-    assert not sampling.needs_sampling(at, at)
-    assert sampling.needs_sampling(over, at) and sampling.needs_sampling(at, over)
-    assert not sampling.needs_sampling(over, over, enabled=False)
-    report = sampling.gate_report(at, over, Targets.of()).first()
-    assert (report.images, report.annotations, report.sampled) == (10_000, 10_001, True)
+    assert not sampling.gate_report(at, at).first().large
+    assert sampling.gate_report(over, at).first().large
+    report = sampling.gate_report(at, over).first()
+    assert (report.images, report.annotations, report.large) == (10_000, 10_001, True)
 
 
 def test_targets():
-    assert Targets.of(None) == Targets.of(0) == Targets(1000, 1000, 1000)
-    assert Targets.of(500) == Targets(500, 500, 500)
-    assert Targets.of(500, small=True) == Targets(100, 200, 200)
+    assert Targets.of(500) == Targets(500, 500)
+    assert Targets.of(500, small=True) == Targets.of(small=True) == Targets(100, 200)
+    for size in (None, 0, -1):
+        with pytest.raises(ValueError):
+            Targets.of(size)
 
 
 @pytest.mark.parametrize("method", ["stratified", "uniform"])
@@ -137,11 +159,11 @@ def test_child_sampling_matches_the_loop(spark):
     assert sorted(r.id for r in out.collect()) == by_hand(related, 100)
 
 
-def test_parent_gate_keeps_all_images(spark):
+def test_all_images_can_be_kept(spark):
     images = spark.range(500).withColumn("license", F.lit(1))
     anns = spark.range(3000).select("id", (F.col("id") % 500).alias("image_id"),
                                     (F.col("id") % 4).alias("category_id"))
-    kept, children = sampling.referential_sample(images, anns, Targets.of(200), parent_gate=10_000)
+    kept, children = sampling.referential_sample(images, anns, Targets.of(200), all_images=True)
     assert kept.count() == 500 and children.count() == 200
     with pytest.raises(ValueError):
         sampling.referential_sample(images, anns, Targets.of(200), method="other")
@@ -153,7 +175,3 @@ def test_unsampled_is_the_complement(spark):
     rest = sampling.unsampled(df, sample, at_most=40)
     assert rest.count() == 260 and rest.intersect(sample).count() == 0
 
-
-def test_first_rows(spark):
-    df = spark.range(100).select("id", (-F.col("id")).alias("pos"))
-    assert [r.id for r in sampling.first_rows(df, "pos", 3).collect()] == [99, 98, 97]

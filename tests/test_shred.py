@@ -5,7 +5,7 @@ from pyspark.sql.utils import AnalysisException
 
 from annoweave.operators import shred
 from annoweave.sources.documents import (
-    damaged_documents, documents_from_text, read_documents, read_member_lines)
+    documents_from_text, read_documents, read_member_files, read_member_lines)
 from conftest import annotation, dataset, image
 
 GEOMETRY = [
@@ -101,7 +101,7 @@ def test_lines_and_text_match_documents(spark, rows, document, tmp_path):
     lines = tmp_path / "annotations.jsonl"
     lines.write_text("\n\n".join(json.dumps(a) for a in found) + "\n")
     whole = read_documents(spark, document({"annotations": found}))["annotations"]
-    by_line = read_member_lines(spark, "annotations", str(lines))
+    by_line = read_member_lines(spark, "annotations", str(lines))["annotations"]
     text = spark.createDataFrame([("d", json.dumps({"annotations": found}))], "doc string, text string")
     from_text = documents_from_text(text, "text", "doc")["annotations"]
     expected = rows(shred.annotations_table(whole))
@@ -115,9 +115,46 @@ def test_lines_and_text_match_documents(spark, rows, document, tmp_path):
 def test_damaged_document_is_reported(spark, tmp_path):
     (tmp_path / "good.json").write_text(json.dumps({"images": [image(1)]}))
     (tmp_path / "bad.json").write_text('{"images": [')
-    found = [r.file for r in damaged_documents(spark, str(tmp_path)).collect()]
-    assert len(found) == 1 and found[0].endswith("bad.json")
-    assert read_documents(spark, str(tmp_path))["images"].count() == 1
+    raw = read_documents(spark, str(tmp_path))
+    assert [r.source.rsplit("/")[-1] for r in raw.damaged.collect()] == ["bad.json"]
+    assert raw["images"].count() == 1
+    text = spark.createDataFrame([("a", '{"images": ['), ("b", json.dumps({"images": [image(1)]}))], "doc string, text string")
+    raw = documents_from_text(text, "text", "doc")
+    assert [r.source for r in raw.damaged.collect()] == ["a"] and raw["images"].count() == 1
+
+
+def test_values_of_other_types_are_converted_or_reported(spark, rows, document):
+    found = [{"id": 1, "width": 800.5, "height": 2}, {"id": "3", "width": "640", "height": 480.0, "license": "0"},
+             {"id": 4, "width": None}, {"id": "x"}, {"id": 5, "license": True}, {"id": 1e3, "height": 3_000_000_000},
+             {"id": 9_007_199_254_740_993}]
+    anns = [{"id": 1, "image_id": "2", "area": "12.5", "category_id": 3}, {"id": 2, "area": "wide"}]
+    levels = [{"id": 1, "level": "2"}, {"id": 2, "level": 1.5}]
+    raw = read_documents(spark, document({"images": found, "annotations": anns, "categories": levels}))
+    assert rows(raw["images"], "id", "width", "height", "license") == [
+        (3, 640, 480, 0), (4, None, None, None), (9_007_199_254_740_993, None, None, None)]
+    assert rows(raw["annotations"], "id", "image_id", "area") == [(1, 2, 12.5)]
+    assert rows(raw["categories"], "id", "level") == [(1, 2)]
+    assert sorted((r.member, r.fields) for r in raw.unconverted.collect()) == [
+        ("annotations", "area"), ("categories", "level"), ("images", "height"), ("images", "id"),
+        ("images", "license"), ("images", "width")]
+
+
+def test_damaged_lines_are_reported(spark, tmp_path):
+    (tmp_path / "images.jsonl").write_text('{"id": 1}\n{"id": 2,\n\n[1, 2\n{"id": 3}\n')
+    raw = read_member_files(spark, str(tmp_path))
+    assert sorted(r.id for r in raw["images"].collect()) == [1, 3]
+    assert sorted(r.text for r in raw.damaged.collect()) == ["[1, 2", '{"id": 2,']
+
+
+def test_orphans_are_reported(spark, rows, document):
+    content = dataset([image(1)], [annotation(1, 1), annotation(2, 9), annotation(3, 1, 9),
+                                   {**annotation(4, 1), "image_id": None}, annotation(5, 1, 1, [1, 1.5, 99])])
+    raw = read_documents(spark, document(content))
+    lost = shred.orphaned_annotations(raw["annotations"], raw["images"], raw["categories"])
+    assert rows(lost, "id") == [(2,), (3,), (4,)]
+    links = shred.annotation_links(raw["annotations"].where("id = 5"))
+    assert rows(links) == [(5, 1), (5, 99)]
+    assert rows(shred.orphaned_links(links, raw["attributes"])) == [(5, 99)]
 
 
 def test_tiny_typed_set(spark, rows, document):
@@ -131,15 +168,3 @@ def test_tiny_typed_set(spark, rows, document):
     assert shred.annotation_links(kept).count() == 0
     assert shred.polygon_points(kept).count() == 0
 
-
-def test_subset_by_reference(spark, rows):
-    licenses = spark.createDataFrame([(i,) for i in range(4)], "id long")
-    categories = spark.createDataFrame([(i,) for i in range(4)], "id long")
-    images = spark.createDataFrame([(i, i % 4) for i in range(20)], "id long, license long")
-    anns = spark.createDataFrame([(i, i % 20, i % 4) for i in range(60)],
-                                 "id long, image_id long, category_id long")
-    kept = shred.subset_by_reference(licenses, images, categories, anns, 2, "id")
-    assert rows(kept["licenses"]) == [(0,), (1,)]
-    assert {r.license for r in kept["images"].collect()} == {0, 1}
-    want = [(i,) for i in range(60) if i % 4 < 2 and (i % 20) % 4 < 2]
-    assert sorted(rows(kept["annotations"], "id")) == want

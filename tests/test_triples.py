@@ -6,14 +6,15 @@ import pytest
 
 from annoweave.functions.scalars import clean_name, local_name
 from annoweave.operators import triples
-from annoweave.plans.ontology import generate_from_file
-from annoweave.sinks.triples import write_triples
+from annoweave.plans.ontology import generate_from_file, left_out
+from annoweave.sinks.triples import read_xml, write_triples
 from annoweave.sources.taxonomy import incomplete_categories, read_categories
 from conftest import taxon
+from pyspark.sql import functions as F
 
-SAMPLE = [taxon(0, "shirt, blouse", "upperbody", 2, "combo000000"),
-          taxon(1, "top, t-shirt, sweatshirt", "upperbody", 2, "combo000001"),
-          taxon(6, "pants", "lowerbody", 2, "obj000013_00")]
+SAMPLE = [taxon(4, "tug, push-boat", "working boats", 3, "t-04"),
+          taxon(5, "ferry - car_ferry", "working boats", 3, "t-05"),
+          taxon(8, "buoy", "marks", 4, "m-08")]
 WORDS = triples.Vocabulary(base="http://example.com/o/", dataset="Wardrobe", see_also="http://example.com/w")
 
 
@@ -25,8 +26,8 @@ def sample(spark):
 
 
 def test_clean_name(spark):
-    cases = {"shirt, blouse": "shirt_blouse", "top, t-shirt, sweatshirt": "top_t_shirt_sweatshirt",
-             "pants": "pants", " -A,,b__c- ": "a_b_c", "x/y (z)": "x/y_(z)", "": "", "---": ""}
+    cases = {"tug, push-boat": "tug_push_boat", "Ferry - car_ferry": "ferry_car_ferry", "buoy": "buoy",
+             " -A,,b__c- ": "a_b_c", "x/y (z)": "x/y_(z)", "": "", "---": ""}
     df = spark.createDataFrame([(k,) for k in cases], "name string")
     assert {r.name: r.c for r in df.select("name", clean_name("name").alias("c")).collect()} == cases
 
@@ -46,15 +47,15 @@ def test_golden_counts(spark, sample):
 def test_statements_of_a_category(spark, sample):
     found = {(r.predicate, r.object, r.object_kind, r.datatype)
              for r in triples.ontology(sample, WORDS).collect()
-             if r.subject == "http://example.com/o/category_shirt_blouse"}
+             if r.subject == "http://example.com/o/category_tug_push_boat"}
     assert found == {
         (triples.RDF_TYPE, triples.CLASS, "iri", None),
-        (triples.LABEL, "shirt, blouse", "literal", None),
-        (triples.COMMENT, "Clothing category: shirt, blouse", "literal", None),
-        (triples.SUBCLASS, "http://example.com/o/supercategory_upperbody", "iri", None),
-        ("http://example.com/o/hasCategoryId", "0", "literal", triples.INTEGER),
-        ("http://example.com/o/hasTaxonomyId", "combo000000", "literal", None),
-        ("http://example.com/o/hasLevel", "2", "literal", triples.INTEGER)}
+        (triples.LABEL, "tug, push-boat", "literal", None),
+        (triples.COMMENT, "Clothing category: tug, push-boat", "literal", None),
+        (triples.SUBCLASS, "http://example.com/o/supercategory_working_boats", "iri", None),
+        ("http://example.com/o/hasCategoryId", "4", "literal", triples.INTEGER),
+        ("http://example.com/o/hasTaxonomyId", "t-04", "literal", None),
+        ("http://example.com/o/hasLevel", "3", "literal", triples.INTEGER)}
 
 
 def test_header_follows_the_vocabulary(spark):
@@ -132,10 +133,27 @@ def test_unknown_format(spark, sample, tmp_path):
         write_triples(triples.ontology(sample), str(tmp_path / "o"), "owl")
 
 
-def test_incomplete_categories_are_set_aside(spark, tmp_path):
+def test_unknown_predicates_are_refused(spark, sample, tmp_path):
+    odd = triples.ontology(sample, WORDS).limit(1).withColumn("predicate", F.lit(triples.OWL + "equivalentClass"))
+    with pytest.raises(Exception, match="equivalentClass"):
+        write_triples(odd, str(tmp_path / "o"), "xml", WORDS)
+
+
+def test_xml_is_read_back(spark, sample, tmp_path, rows):
+    found = triples.ontology(sample, WORDS)
+    write_triples(found, str(tmp_path / "x"), "xml", WORDS)
+    assert rows(read_xml(spark, str(tmp_path / "x"), WORDS), *found.columns) == rows(found)
+
+
+def test_unusable_categories_stop_or_are_told(spark, tmp_path):
     path = tmp_path / "c.jsonl"
-    path.write_text(json.dumps(SAMPLE[0]) + "\n" + json.dumps({"id": 9, "name": "x"}) + "\n")
+    path.write_text("\n".join([json.dumps(SAMPLE[0]), json.dumps({"id": 9, "name": "x"}), '{"id": 10, "na',
+                               json.dumps({**SAMPLE[1], "level": "high"})]) + "\n")
     categories = read_categories(spark, str(path))
     assert [r.id for r in incomplete_categories(categories).collect()] == [9]
-    found = generate_from_file(spark, str(path), str(tmp_path / "out"), "nt", WORDS)
+    assert sorted(r.reason for r in left_out(spark, str(path)).collect()) == [
+        "incomplete", "unreadable", "unreadable"]
+    with pytest.raises(ValueError):
+        generate_from_file(spark, str(path), str(tmp_path / "out"), "nt", WORDS)
+    found = generate_from_file(spark, str(path), str(tmp_path / "out"), "nt", WORDS, strict=False)
     assert found.count() == 17 + 4 + 7
