@@ -254,7 +254,7 @@ def _other_orders(docs: DataFrame, ids: DataFrame, frequent, width: int, percent
                    for k in range(1, ORDERS)], names)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    chosen = keep_matching(chosen, ids, "doc_id", "doc", row_id="doc_id")
+    chosen = keep_matching(chosen, ids, "doc_id", "doc")
     schema = "doc long, n long, whole array<long>, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))
     return chosen.mapInArrow(work, schema)
 

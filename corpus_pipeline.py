@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document of smallest doc_id of each group connected by near duplicates."""
     groups = similar.join_similar(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     gone = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
-    return keep_unmatched(docs, gone, "doc_id", "doc_id", row_id="doc_id").select(*docs.columns)
+    return keep_unmatched(docs, gone, "doc_id", "doc_id").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
