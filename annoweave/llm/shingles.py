@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_PIECE = 2 << 20  # bytes of text hashed at once; a longer text is hashed alone, but whole
+_PIECE = 1 << 19  # bytes of text hashed at once; a longer text is hashed alone, but whole
 
 # Seeds of the hashes, fixed values.
 _BASE = np.uint64(0x9E3779B97F4A7C15)

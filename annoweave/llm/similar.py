@@ -37,7 +37,8 @@ FREQUENT = 32
 #: shapes the orders; any list gives the same links.
 SHIPPED = 1 << 20
 ORDERS = 3
-_HELD = 1 << 21  # shingles a task gathers before it writes them out
+_ROWS = 512  # documents whose whole sets a task holds at once
+_HELD = 1 << 20  # shingles a task gathers before it writes them out
 _VALUE_BITS = 32
 
 
@@ -247,11 +248,13 @@ def _other_orders(docs: DataFrame, ids: DataFrame, frequent, width: int, percent
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists(sets)]
-                + [lists([_ordered(s, often, shift, k, prefix_length(len(s), percent)) for s in sets])
-                   for k in range(1, ORDERS)], names)
+            for at in range(0, batch.num_rows, _ROWS):
+                piece = batch.slice(at, _ROWS)
+                sets = list(shingle_sets(piece.column(1), width))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), lists(sets)]
+                    + [lists([_ordered(s, often, shift, k, prefix_length(len(s), percent)) for s in sets])
+                       for k in range(1, ORDERS)], names)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     chosen = keep_matching(chosen, ids, "doc_id", "doc")
