@@ -102,13 +102,21 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
             yield out()
 
     ranges = docs.select("text").mapInArrow(gather, "part int, hashes binary")
-    counted = (ranges.repartition("part").sortWithinPartitions("part")
-               .mapInArrow(count, "key long, n long"))
-    top = counted.orderBy(F.desc("n"), "key").limit(SHIPPED).toArrow()
+    counted = stored(ranges.repartition("part").sortWithinPartitions("part")
+                     .mapInArrow(count, "key long, n long"), "similar-frequent")
+    counted = counted.withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
+    # Whole classes, from the most frequent down, as far as the bound allows.
+    sizes = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}
+    least, room = 64, SHIPPED
+    for kind in sorted(sizes, reverse=True):
+        room -= sizes[kind]
+        if room < 0:
+            break
+        least = kind
+    top = counted.where(F.col("class") >= least).select("key", "class").toArrow()
     keys = top.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(keys)
-    classes = np.log2(top.column("n").to_numpy().astype(np.float64)).astype(np.uint8)
-    return keys[order], classes[order]
+    return keys[order], top.column("class").to_numpy().astype(np.uint8)[order]
 
 
 def _ordered(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], shift: int, order: int,
