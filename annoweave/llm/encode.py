@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -30,7 +31,7 @@ from annoweave.llm.pieces import (BPE, BYTE, CONTROL, MARK, UNKNOWN, UNKNOWN_TEX
 from annoweave.llm.words import runs
 
 #: Distinct words of a run: long runs share more.
-RUN = 300_000
+RUN = 200_000
 
 
 def _shared(a: str, b: str) -> int:
@@ -82,19 +83,28 @@ def best_codes(model: Model, words: Iterable[str], coded: dict[str, bytes]) -> I
         yield codes[-1]
 
 
+def beginnings(model: Model) -> frozenset[str]:
+    """Every prefix of every piece: the vocabulary's own trie."""
+    return frozenset(piece[:i] for piece in model.ids for i in range(1, len(piece) + 1))
+
+
 def merged_codes(model: Model, rule: Merged, words: Iterable[str], coded: dict[str, bytes]) -> Iterator[bytes]:
     """Byte-pair merging over sorted distinct words, by the last token of every prefix."""
-    ids, longest, known, follows = model.ids, model.longest, rule.known, rule.follows
-    last, codes = [""], [b""]  # forward states: last token of a prefix and all its tokens
+    ids, known, follows, trie = model.ids, rule.known, rule.follows, model.kept(beginnings)
+    # Forward states: last token of a prefix, all its tokens, and where pieces that may go on began.
+    last, codes, begun = [""], [b""], [[]]
     before = ""
     for word in words:
         if not rule.shared(word):
             yield b"".join(coded[token] for token in merges(model, list(word)))
             continue
         keep = _shared(before, word)
-        del last[keep + 1:], codes[keep + 1:]
+        del last[keep + 1:], codes[keep + 1:], begun[keep + 1:]
         for end in range(keep + 1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            starts = [start for start in begun[end - 1] if word[start:end] in trie]
+            starts.append(end - 1)
+            begun.append(starts)
+            for start in starts:
                 token = word[start:end]
                 if token in ids or start == end - 1:
                     fits = known.get((last[start], token))
@@ -106,22 +116,42 @@ def merged_codes(model: Model, rule: Merged, words: Iterable[str], coded: dict[s
         yield codes[-1]
 
 
-def _kept(docs: DataFrame, keep: Sequence[str], result: str) -> list[str]:
-    return [c for c in keep if c != result]
+def _texts(model: Model) -> list[bytes]:
+    """The bytes each piece stands for, and none for what is no piece."""
+    out = []
+    for piece, kind in zip(model.pieces, model.types):
+        if kind == BYTE:
+            out.append(bytes([int(piece[3:5], 16)]))
+        elif kind == CONTROL:
+            out.append(b"")
+        else:
+            out.append((UNKNOWN_TEXT if kind == UNKNOWN else piece.replace(MARK, " ")).encode())
+    return [*out, b""]
+
+
+def decoded(model: Model, ids: list[int]) -> str:
+    """The text of pieces; ids of no piece must come as the size of the vocabulary."""
+    text = b"".join(map(model.kept(_texts).__getitem__, ids)).decode("utf-8", "replace")
+    return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``ids``, the pieces of each whole text."""
+def encode(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), *, check: bool = False) -> DataFrame:
+    """The columns ``keep`` and ``ids``, the pieces of each whole text.
+
+    With ``check`` there is ``round_trip`` as well: whether decoding the ids gives back the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = _kept(docs, keep, "ids")
+    results = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    results = results[:1 + check]
+    keep = [c for c in keep if c not in [f.name for f in results]]
+    schema = T.StructType([docs.schema[c] for c in keep] + results)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cut, rule, tokens = Cutter(m), Merged(m), _Coded(m)
+        cut, rule, tokens = m.kept(Cutter), m.kept(Merged), m.kept(_Coded)
         for batch in batches:
-            texts = batch.column(0)
-            flat, ends, total = [], [0], 0
-            for words, ids, stops in runs((t.as_py() for t in texts), cut, RUN):
+            done = 0
+            for words, numbers, stops in runs((t.as_py() for t in batch.column(0)), cut, RUN):
                 order = sorted(range(len(words)), key=words.__getitem__)
                 ordered = [words[i] for i in order]
                 found = (merged_codes(m, rule, ordered, tokens) if m.kind == BPE
@@ -129,52 +159,43 @@ def encode(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
                 coded: list = [None] * len(words)
                 for i, code in zip(order, found):
                     coded[i] = code
-                at = 0
-                for stop in stops.tolist():
-                    whole = b"".join(map(coded.__getitem__, ids[at:stop].tolist()))
+                rows = batch.slice(done, len(stops))  # a run's rows go out at once
+                done += len(stops)
+                parts, same, at = [], [], 0
+                for text, stop in zip(rows.column(0), stops.tolist()):
+                    part = np.frombuffer(b"".join(map(coded.__getitem__, numbers[at:stop].tolist())), dtype=np.int32)
                     at = stop
-                    flat.append(whole)
-                    total += len(whole) // 4
-                    ends.append(total)
-            values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*keep, "ids"])
-
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+                    parts.append(part)
+                    if check:
+                        plain = text.as_py()
+                        same.append(plain is None or decoded(m, part.tolist()) == plain)
+                ends = np.cumsum([0] + [len(p) for p in parts])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)),
+                                               mask=rows.column(0).is_null())
+                more = [pa.array(same, pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], ids, *more], schema.names)
+
     text = docs["text"].alias("_whole_text")
     return docs.select(text, *[docs[c] for c in keep]).mapInArrow(work, schema)
 
 
-def _texts(model: Model) -> list[bytes]:
-    """The bytes each piece stands for."""
-    out = []
-    for piece, kind in zip(model.pieces, model.types):
-        if kind == BYTE:
-            out.append(bytes([int(piece[3:5], 16)]))
-        elif kind == CONTROL:
-            out.append(b"")
-        else:
-            out.append((UNKNOWN_TEXT if kind == UNKNOWN else piece.replace(MARK, " ")).encode())
-    return out
-
-
 def decode(rows: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``text``, put together from ``ids``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    keep = _kept(rows, keep, "text")
+    keep = [c for c in keep if c != "text"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known = dict(enumerate(_texts(m)))
         for batch in batches:
+            column = batch.column(0)
+            ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids[(ids < 0) | (ids >= len(m.pieces))] = len(m.pieces)  # stands for nothing
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
             out: list = []
-            for ids in batch.column(0):
-                if not ids.is_valid:
-                    out.append(None)
-                    continue
-                whole = b"".join(known.get(i, b"") for i in ids.values.to_pylist())
-                text = whole.decode("utf-8", "replace")
-                out.append(text[1:] if m.dummy_prefix and text.startswith(" ") else text)
+            at = 0
+            for end, there in zip(ends.tolist(), column.is_valid().to_pylist()):
+                out.append(decoded(m, ids[at:end].tolist()) if there else None)
+                at = end
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], [*keep, "text"])
 
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("text", T.StringType())])

@@ -58,6 +58,7 @@ class Model:
     unknown: int = 0
     longest: int = 1
     tied: frozenset = frozenset()  # scores that several pieces share
+    memo: dict = field(default_factory=dict, repr=False)  # what a worker keeps between its tasks
 
     def __post_init__(self):
         seen: dict[float, int] = {}
@@ -72,6 +73,12 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.tied = frozenset(score for score, n in seen.items() if n > 1)
 
+    def kept(self, make):
+        """``make(self)``, made once for each process that holds the model."""
+        if make not in self.memo:
+            self.memo[make] = make(self)
+        return self.memo[make]
+
     @property
     def unknown_score(self) -> float:
         return min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY

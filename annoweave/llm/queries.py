@@ -21,13 +21,9 @@ def model() -> Model:
 
 def coded(docs: DataFrame) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding the ids gives back the text."""
-    pieces = model()
-    rows = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-    ids = encode.encode(rows, pieces, ("doc_id", "text_sha256"))
-    back = encode.decode(ids, pieces, ("doc_id", "text_sha256", "ids"))
-    same = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
-    return back.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-                       same.alias("round_trip"))
+    ids = encode.encode(docs, model(), check=True)
+    return ids.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+                      "round_trip")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
