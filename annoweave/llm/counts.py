@@ -25,7 +25,7 @@ from annoweave.llm.pieces import BPE, Cutter, Merged, Model, merges
 from annoweave.llm.words import runs, sums
 
 #: Distinct words of a run.
-RUN = 300_000
+RUN = 200_000
 
 
 def automaton(model: Model) -> ahocorasick.Automaton:
@@ -106,7 +106,7 @@ def count_tokens(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cut, rule, matches = Cutter(m), Merged(m), automaton(m)
+        cut, rule, matches = m.kept(Cutter), m.kept(Merged), m.kept(automaton)
         for batch in batches:
             parts = [np.zeros(0, dtype=np.int64)]
             for words, ids, ends in runs((t.as_py() for t in batch.column(0)), cut, RUN):
