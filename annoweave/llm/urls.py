@@ -4,7 +4,9 @@ A rule names a host and the beginning of a path; it fits that host and its subdo
 longest fitting rule decides. Pages no rule fits are judged by their host. Hosts whose pages rules
 allow are trusted seeds, hosts whose pages rules block are distrusted seeds. Personalised PageRank
 carries trust along the links and distrust against them (who links to bad hosts is suspect). A host
-is blocked when its distrust is more than ``THRESHOLD`` times its trust.
+is blocked when its distrust is more than ``THRESHOLD`` times its trust; ranks that differ by less than
+their precision count as equal. Ranks are kept to significant digits, so that neither the number of
+seeds nor the distance from them makes one vanish, and the walks go on until no rank changes.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is allowed; so is a
 host that neither walk reaches. Null or empty pages have no links. Repeated rows are judged one by
@@ -17,15 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoweave.llm.common import stored
-from annoweave.session import settle
+from annoweave.session import discard, scratch_path, settle
 
 #: host, path, verdict
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
-STEPS = 12
+#: Steps in which a walk over few hosts settles. It limits nothing: walks end when their ranks do.
+STEPS = 200
 THRESHOLD = 1.0
-_DIGITS = 12  # kept of a rank after each step, so that the order of sums does not show
+_DIGITS = 12  # significant ones kept of a rank after each step, so that the order of sums does not show
+_SAME = 1e-10  # of a rank; smaller changes are those of its last digits
+_TIE = 1e-9  # of trust; what is left of a walk once its steps change less than _SAME
+_LEAST = 2.3e-308  # a rank that a walk reaches never falls to zero
 _BROADCAST_HOSTS = 200_000
 
 
@@ -66,27 +72,41 @@ def host_links(pages: DataFrame) -> DataFrame:
             .groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank: host, rank.
 
     ``links`` has source, target and n, ``seeds`` host and share (shares sum to one). At each step a
     walker goes on with probability ``damping`` and otherwise restarts; what reaches a host without
     links ends there. A step is a join on the host that gives and a sum on the one that receives;
-    ranks are settled after each step, so a lost executor costs one step.
+    ranks are settled after each step, so a lost executor costs one step. The last step is the one
+    that reaches no new host and changes no rank by more than ``_SAME`` of it.
     """
+    spark = links.sparkSession
     start = settle(seeds.select("host", ((1.0 - damping) * F.col("share")).alias("rank")))
     if links.isEmpty():
         return start
     out = links.groupBy("source").agg(F.sum("n").alias("all_n"))
     parts = settle(links.join(out, "source").select(
         "source", "target", (damping * F.col("n") / F.col("all_n")).alias("part")))
-    ranks = start
-    for _ in range(steps):
+    ranks, last = start, None
+    unknown = F.lit(None).cast("double")
+    digits = F.format_string(f"%.{_DIGITS - 1}e", F.greatest(F.sum("rank"), F.lit(_LEAST))).cast("double")
+    while True:
         moved = (ranks.join(parts, ranks["host"] == parts["source"])
-                 .select(F.col("target").alias("host"), (F.col("rank") * F.col("part")).alias("rank")))
-        ranks = settle(moved.unionByName(start).groupBy("host")
-                       .agg(F.round(F.sum("rank"), _DIGITS).alias("rank")))
-    return ranks
+                 .select(F.col("target").alias("host"), (F.col("rank") * F.col("part")).alias("rank"),
+                         unknown.alias("before")))
+        known = ranks.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+        step = (moved.unionByName(start.withColumn("before", unknown)).unionByName(known).groupBy("host")
+                .agg(digits.alias("rank"), F.max("before").alias("before")))
+        moves = F.col("before").isNull() | (F.abs(F.col("rank") - F.col("before")) > _SAME * F.col("rank"))
+        path = scratch_path(spark, "url-ranks")
+        step.select("host", "rank", moves.alias("moves")).write.parquet(path)
+        ranks = spark.read.schema("host string, rank double, moves boolean").parquet(path)
+        if last is not None:
+            discard(spark, last)
+        last = path
+        if ranks.where("moves").isEmpty():
+            return ranks.select("host", "rank")
 
 
 def _seeds(judged: DataFrame, says: str) -> DataFrame:
@@ -114,7 +134,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     if hosts.count() <= _BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     found = judged.join(hosts, judged["host"] == F.col("_host"), "left")
-    bad = F.coalesce(F.col("distrust") > threshold * F.col("trust"), F.lit(False))
+    bad = F.coalesce(F.col("distrust") > threshold * (1.0 + _TIE) * F.col("trust"), F.lit(False))
     return found.select("page_id", "host", "path", "rule",
                         F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"),
                         F.coalesce("trust", F.lit(0.0)).alias("trust"),

@@ -91,3 +91,27 @@ def test_given_pages(spark):
 
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_ranks_do_not_depend_on_the_number_of_seeds(spark):
+    """Two hops over hosts with a thousand links each, from one page among many."""
+    links = spark.createDataFrame(
+        [("seed.net", "a.net", 1), ("seed.net", "x.net", 999), ("a.net", "b.net", 1), ("a.net", "x.net", 999),
+         ("b.net", "c.net", 1), ("c.net", "b.net", 1), ("c.net", "x.net", 9)], "source string, target string, n long")
+
+    def ranks(share):
+        seeds = spark.createDataFrame([("seed.net", share)], "host string, share double")
+        return {r.host: r.rank for r in urls.propagate(links, seeds).collect()}
+
+    whole, part = ranks(1.0), ranks(1e-8)
+    assert set(whole) == set(part) == {"seed.net", "a.net", "b.net", "c.net", "x.net"}
+    assert whole["b.net"] == pytest.approx(0.15 * 0.00085 ** 2 / (1 - 0.085 * 0.85), rel=1e-8)
+    assert all(part[h] == pytest.approx(1e-8 * whole[h], rel=1e-8) for h in whole)
+
+
+def test_hosts_far_from_a_seed_are_reached(spark):
+    rows = [(0, "http://b.com/de/x", "")] + [
+        (i, f"http://h{i}.net/", link(f"h{i - 1}.net" if i > 1 else "b.com")) for i in range(1, 21)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.verdict for r in found} == {"block"}
+    assert all(r.distrust == pytest.approx(0.15 * 0.85 ** r.page_id, rel=1e-8) for r in found)
