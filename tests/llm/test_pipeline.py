@@ -72,3 +72,23 @@ def test_whole_run(spark):
     found = pipeline.run(spark, SF_SMALL)
     assert found.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
     assert found.where("round_trip").count() == found.count() > 100
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    def text(name, *other):
+        return " ".join(f"{name}{i}" if i not in other else f"other{name}{i}" for i in range(100))
+
+    rows = [(1, text("a")), (None, text("a", 10, 30)), (2, text("a", 10, 30, 50, 70)),  # joined by a row without id
+            (None, text("b")), (None, text("b")), (None, text("b", 50)),
+            (5, text("c")), (5, text("c")), (5, text("c", 50)), (4, text("c", 20)), (4, text("c", 20)),
+            (6, text("d")), (6, text("e")), (None, text("f"))]
+    docs = spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    single = pipeline.near_duplicates(spark, docs, "")
+    found = pipeline.one_of_each(single)
+    assert found.columns == docs.columns
+    left = [(r.doc_id, r.text[0]) for r in found.collect() if not r.text.startswith("other")]
+    assert sorted(left, key=repr) == sorted(
+        [(1, "a"), (None, "b"), (4, "c"), (6, "d"), (6, "e"), (None, "f")], key=repr)
+    mixed = {(r.doc_id, r.text) for r in pipeline.mix_sources(spark, single, "").collect()}
+    assert mixed <= {(r.doc_id, r.text) for r in found.collect()}
