@@ -8,8 +8,10 @@ orders put shingles that occur in many documents last, the most frequent ones at
 
 Documents with equal sets form a class and are compared once, by their smallest id. Where many documents
 share a shingle, each is compared with the one in which it stands first; then those that are not
-connected with that one are compared with the others. Pairs inside a component are not spelled out, and
-no link between components is lost.
+connected with that one are compared with the others. So ``join_similar`` does not spell out the pairs
+inside a component, and loses no link between components. ``exact_links`` and ``count_links`` verify every
+candidate pair of classes instead: their work grows with the pairs of a group, which is the size of their
+result where most of them link.
 
 Defined cases: a null or empty text has no shingles and no links; a null doc_id takes part through
 documents of an equal set only; rows that share a doc_id are one document with the links of each. An
@@ -40,6 +42,8 @@ ORDERS = 3
 _ROWS = 512  # documents whose whole sets a task holds at once
 _HELD = 1 << 20  # shingles a task gathers before it writes them out
 _VALUE_BITS = 32
+#: Rows of a block of a large group; a task of the exact mode pairs two blocks.
+BLOCK = 1024
 
 
 def _range_bits(spark) -> int:
@@ -356,3 +360,67 @@ def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
             .join(classes, F.col("digest") == F.col("_digest"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def _all_candidates(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Every pair of the documents of each shingle that may link, once.
+
+    A group is split into blocks by hash, and every two blocks meet under a key of their own.
+    """
+    sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where(
+        "blocks > 1")
+    dealt = rows.join(sizes, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = stored(dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")),
+                   "similar-blocks")
+    low = dealt.select("token", F.col("own").alias("low"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("high"),
+                       F.col("doc").alias("l_doc"), F.col("n").alias("l_n"), F.col("place").alias("l_place"))
+    high = dealt.select("token", F.explode(F.expr("sequence(0, own)")).alias("low"), F.col("own").alias("high"),
+                        F.col("doc").alias("h_doc"), F.col("n").alias("h_n"), F.col("place").alias("h_place"))
+    left = F.least(F.col("l_n") - F.col("l_place"), F.col("h_n") - F.col("h_place"))
+    good = (((F.col("low") != F.col("high")) | (F.col("l_doc") < F.col("h_doc")))
+            & (percent * F.greatest("l_n", "h_n") <= 100 * F.least("l_n", "h_n"))
+            & (left * (100 + percent) >= percent * (F.col("l_n") + F.col("h_n"))))
+    return (low.join(high, ["token", "low", "high"]).where(good)
+            .select(F.least("l_doc", "h_doc").alias("a"), F.greatest("l_doc", "h_doc").alias("b")).distinct())
+
+
+def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
+                block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links between classes of equal sets, a < b, and the members of the classes.
+
+    Members are one row for each row of ``docs``: doc_id, n_shingles, ``class`` (null without shingles)
+    and ``copies``, the rows of the class. Here every row is a document of its own, also one without
+    an id or with the id of another. The links of documents are those of their classes, and all pairs
+    within a class.
+    """
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"),
+                               F.col("doc_id").cast("long").alias("own_id"), "text"), "similar-keyed")
+    named = keyed.select(F.col("key").alias("doc_id"), "text")
+    frequent = frequent_shingles(named, width)
+    prefixes = stored(_prefixes(named, frequent, width, percent), "similar-prefixes")
+    classes = stored(prefixes.where("digest is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")), "similar-classes")
+    first = prefixes.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
+    rows = (first.select(F.col("doc_id").alias("doc"), "n", F.posexplode("first").alias("place", "token"))
+            .select("token", "doc", "n", F.col("place").cast("long").alias("place")))
+    pairs = stored(_all_candidates(rows, percent, block), "similar-pairs")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "similar-ids")
+    sets = stored(_other_orders(named, ids, frequent, width, percent), "similar-sets")
+    links = stored(_links(pairs, sets, percent), "similar-links")
+    members = (prefixes.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+               .join(classes, "digest", "left")
+               .join(keyed.select(F.col("key").alias("doc_id"), "own_id"), "doc_id")
+               .select(F.col("own_id").alias("doc_id"), "n_shingles", "class", "copies"))
+    return links, stored(members, "similar-members")
+
+
+def count_links(docs: DataFrame, *, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles and n_links, the other documents it links with, of every row of ``docs``."""
+    links, members = exact_links(docs, width=width, percent=percent, block=block)
+    copies = members.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("others"))
+    ends = links.select(F.col("a").alias("own"), F.col("b").alias("class")).unionByName(
+        links.select(F.col("b").alias("own"), F.col("a").alias("class")))
+    sums = ends.join(copies, "class").groupBy("own").agg(F.sum("others").alias("others"))
+    return members.join(sums, F.col("class") == F.col("own"), "left").select(
+        "doc_id", "n_shingles",
+        F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links"))

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 from llm import brute
 import numpy as np
 import pyarrow as pa
@@ -79,3 +81,28 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == brute.roots({n for link in links for n in link}, links)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_exact_mode_counts_every_link(docs):
+    """Near copies in groups of several blocks, classes of copies, rows without an id or with one id."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [brute.shingles(t, 4) for _, t in rows]
+
+    def alike(x, y):
+        return bool(x and y) and 100 * len(x & y) >= 85 * len(x | y)
+
+    want = [(d, len(s), sum(alike(s, t) for t in sets) - bool(s)) for (d, _), s in zip(rows, sets)]
+    got = similar.count_links(docs, width=4, percent=85, block=16)
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert max(n for _, _, n in want) >= 49
+
+
+def test_exact_mode_pairs(docs, nothing):
+    links, members = similar.exact_links(docs, width=4, percent=85, block=16)
+    some = {frozenset(brute.shingles(r.text, 4)) for r in docs.collect()} - {frozenset()}
+    assert members.count() == docs.count()
+    assert members.where("class is not null").select("class").distinct().count() == len(some)
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert all(a < b for a, b in pairs) and len(set(pairs)) == len(pairs)
+    assert len(pairs) == sum(100 * len(x & y) >= 85 * len(x | y) for x, y in combinations(some, 2))
+    assert similar.count_links(nothing).collect() == []
