@@ -7,12 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import counts, encode, fingerprints, language, lines, mixing, pii, search, similar, urls
+from annoweave.llm import (alignment, counts, encode, fingerprints, language, lines, mixing, negatives, pii,
+                           search, similar, urls)
 from annoweave.llm.common import table
 from annoweave.llm.pieces import Model, read_model
 
 #: The vocabulary file of op1 and op4, read on the driver and broadcast.
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: The byte-level vocabulary of op13, next to the one above.
+BYTE_LEVEL_PATH = os.environ.get("BYTE_LEVEL_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def model() -> Model:
@@ -72,6 +75,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.with_moved_labels(negatives.labelled_vectors(table(spark, sf_dir, "embeddings")))
+    return negatives.mine(rows.where("vec_id % 50 = 0"), rows)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.read_encoders(BYTE_LEVEL_PATH, MODEL_PATH))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -83,6 +95,8 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
@@ -125,4 +139,25 @@ SQL: dict[str, str] = {
             select *, cast(row_number() over (partition by query_id order by score desc, vec_id)
                            as integer) rank from scored)
         select query_id, rank, vec_id, score from ranked where rank <= 20""",
+    "op12_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l,
+                   list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+            from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding,
+                  lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select a.vec_id anchor_id, c.vec_id vec_id, a.l = c.l same,
+                   cast(list_inner_product(a.v, c.v) as bigint) score
+            from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0),
+        p as (
+            select anchor_id, vec_id positive_id, score positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        n as (
+            select anchor_id, positive_id, vec_id negative_id, positive_score, score negative_score,
+                   cast(row_number() over (partition by anchor_id, positive_id
+                                           order by score desc, vec_id) as integer) rank
+            from p join scored using (anchor_id)
+            where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+        select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
 }
