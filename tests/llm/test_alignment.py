@@ -1,7 +1,10 @@
 import hashlib
+import json
 from collections import Counter
+from functools import cache
 
 import pytest
+from tokenizers import Tokenizer
 
 from annoweave.llm import alignment, queries
 
@@ -13,12 +16,19 @@ def encoders():
     return alignment.read_encoders(queries.BYTE_LEVEL_PATH, queries.MODEL_PATH)
 
 
+@cache
+def tokenizer():
+    found = Tokenizer.from_file(queries.BYTE_LEVEL_PATH)
+    found.encode_special_tokens = True
+    return found
+
+
 def plain_groups(text, encoders):
     """The groups of a text by walking both token lists byte by byte; none where bytes differ."""
-    a, b, spelled_a, spelled_b, *_ = encoders.ready()
+    _, b, spelled_a, spelled_b, *_ = encoders.ready()
     if not text:
         return []
-    ids = [a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)]
+    ids = [tokenizer().encode(" " + text, add_special_tokens=False).ids, b.encode(text)]
     parts = [[spelled_a[i] for i in ids[0]], [spelled_b[i] for i in ids[1]]]
     if any(b"".join(p) != (" " + text).encode() for p in parts):
         return []
@@ -107,3 +117,19 @@ def test_runs_and_heap():
             (np.array([0]), np.array([7]))]
     assert list(alignment.merged(runs)) == [(0, 7), (1, 1), (5, 12), (9, 23)]
     assert list(alignment.merged([])) == []
+
+
+def test_ranks_only_where_they_describe_the_vocabulary(encoders):
+    whole = json.loads(encoders.byte_level)
+    spelled = encoders.ready()[2]
+    assert alignment._ranked(whole, spelled) is not None
+    model = {**whole["model"], "merges": whole["model"]["merges"][::-1]}
+    assert alignment._ranked({**whole, "model": model}, spelled) is None
+    assert alignment._ranked({**whole, "normalizer": {"type": "NFC"}}, spelled) is None
+
+
+def test_both_libraries_and_very_long_white_space(encoders):
+    texts = [" a" + " " * 20_000 + "b\n", " été 12 \u2003x's <|endoftext|>", " x" * 50]
+    encode_a = encoders.ready()[0]
+    want = [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode_a(texts) == want and encode_a(texts[1:]) == want[1:]
