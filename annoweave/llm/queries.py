@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.llm import (alignment, counts, encode, fingerprints, language, lines, mixing, negatives, pii,
-                           search, similar, urls)
+from annoweave.llm import (alignment, counts, encode, extract, fingerprints, language, lines, mixing, negatives,
+                           pii, search, similar, urls)
 from annoweave.llm.common import table
 from annoweave.llm.pieces import Model, read_model
 
@@ -75,6 +75,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws(" ", "blocks")
+    return extract.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.with_moved_labels(negatives.labelled_vectors(table(spark, sf_dir, "embeddings")))
     return negatives.mine(rows.where("vec_id % 50 = 0"), rows)
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
+    "op11_html_extraction": op11_html_extraction,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_token_alignment": op13_token_alignment,
 }
