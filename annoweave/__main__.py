@@ -29,6 +29,8 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("--unchecked", action="store_true", help="take rows as they come")
     load.add_argument("--lines", action="store_true",
                       help="the input is a folder of <member>.jsonl instead of documents")
+    load.add_argument("--load-id", help="publish the tables together, once, under this name")
+    load.add_argument("--append", action="store_true", help="add to the published tables")
     load.add_argument("--staging", help="keep staged files in this folder")
     owl = commands.add_parser("ontology", help="turn a category file into triples")
     owl.add_argument("input")
@@ -70,10 +72,10 @@ def main(argv: list[str] | None = None) -> None:
                                 "all_images": args.all_images, "fail_on_rejects": args.strict})
         load = load_lines if args.lines else load_documents
         tables = load(spark, args.input, args.output, options, fmt=args.format,
-                      staging=args.staging)
+                      staging=args.staging, load_id=args.load_id, append=args.append)
         _show({"statistics": dataset_report(tables)["statistics"]})
         if args.format != "catalog":
-            names = REJECTS if not args.unchecked else REJECTS[:4]
+            names = REJECTS if not args.unchecked else REJECTS[:5]
             _show({"left out": rejects_report(spark, args.output, names)})
             if not args.unchecked:
                 _show({"placeholder licenses": read_rejects(spark, args.output, "licenses")})

@@ -5,18 +5,25 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.operators import shred
 from annoweave.operators.compare import compare_methods
+from annoweave.operators.constraints import rejected_rows, split_repeats
 from annoweave.operators.sampling import Keys, Targets, referential_sample
+from annoweave.schemas import PRIMARY_KEYS
 from annoweave.session import scratch_path
 from annoweave.sinks.tables import folder_bytes, remove_folder, save_tables, write_tables
+from annoweave.sinks.versions import publish
+from annoweave.sources.chunks import CHUNK_BYTES, largest_file, read_large_documents
 from annoweave.sources.documents import Raw, read_documents, read_member_files
 from annoweave.sources.tables import Tables, catalog_tables, create_tables, read_tables
 
+#: From so many bytes on, a document is read in ranges.
+LARGE_DOCUMENT = 128 << 20
 _KEYS = Keys(image_order="_order", annotation_order="_order")
 
 
@@ -49,7 +56,8 @@ CHECKED = LoadOptions()
 UNCHECKED = LoadOptions(enforce=False, strict=False, method="uniform")
 
 # Kinds of rows left out; the last two only when references are enforced.
-REJECTS = ("damaged", "unconverted", "boxes", "points", "annotations", "links")
+REJECTS = ("damaged", "unconverted", "duplicates", "boxes", "points", "annotations", "links")
+_KEYED = ("licenses", "categories", "attributes", "images", "annotations")
 
 
 @dataclass(frozen=True)
@@ -128,31 +136,52 @@ def rejects_report(spark: SparkSession, root: str, names: tuple[str, ...] = REJE
     return report
 
 
-def _refuse(raw: Raw) -> None:
-    for kind, df in (("damaged", raw.damaged), ("unconverted", raw.unconverted)):
+def first_of_keys(raw: Raw) -> DataFrame:
+    """Keep the first row of each id, in the order of the input; gives the rows that repeat one."""
+    repeated = []
+    for name in _KEYED:
+        raw[name], extra = split_repeats(raw[name], ("id",), "_order")
+        repeated.append(rejected_rows(name, ("id",), extra, "repeated"))
+    return reduce(DataFrame.unionByName, repeated)
+
+
+def _refuse(raw: Raw, repeated: DataFrame) -> None:
+    for kind, df in (("damaged", raw.damaged), ("unconverted", raw.unconverted), ("duplicate", repeated)):
         if first := df.take(3):
             raise ValueError(f"{kind} input: {[r.asDict() for r in first]}"[:2000])
 
 
 def _load(spark: SparkSession, read: Callable[[Stage], Raw], root: str, options: LoadOptions,
-          fmt: str, staging: str | None) -> Tables:
+          fmt: str, staging: str | None, load_id: str | None = None, append: bool = False) -> Tables:
+    if load_id is not None and fmt == "catalog" or append and load_id is None:
+        raise ValueError("a published load needs an id and a folder")
     folder = staging or scratch_path(spark, "staging")
 
     def stage(name: str, df: DataFrame) -> DataFrame:
+        if staging is None and name in _KEYED:
+            return df  # stored already, when its keys were checked
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     try:
         raw = read(stage)
+        repeated = first_of_keys(raw)
         if options.fail_on_rejects:
-            _refuse(raw)
+            _refuse(raw, repeated)
         result = shred_members(raw, options, stage)
-        if fmt == "catalog":
+        links, twice = split_repeats(result.tables["annotation_attributes"], PRIMARY_KEYS["annotation_attributes"])
+        repeated = repeated.unionByName(rejected_rows(
+            "annotation_attributes", PRIMARY_KEYS["annotation_attributes"], twice, "repeated"))
+        tables = {**result.tables, "annotation_attributes": links}
+        if load_id is not None:
+            repeated = repeated.unionByName(publish(spark, tables, root, load_id, append=append, fmt=fmt,
+                                                    fail_on_duplicates=options.fail_on_rejects))
+        elif fmt == "catalog":
             create_tables(spark, root)
-            save_tables(result.tables, root)
+            save_tables(tables, root)
         else:
-            write_tables(result.tables, root, fmt)
-        _write_rejects(spark, result.rejects, root, fmt)
+            write_tables(tables, root, fmt)
+        _write_rejects(spark, {**result.rejects, "duplicates": repeated}, root, fmt)
     finally:
         if staging is None:
             remove_folder(spark, folder)
@@ -161,20 +190,33 @@ def _load(spark: SparkSession, read: Callable[[Stage], Raw], root: str, options:
 
 def load_documents(spark: SparkSession, path: str | list[str], root: str,
                    options: LoadOptions = CHECKED, *, fmt: str = "parquet",
-                   staging: str | None = None) -> Tables:
-    """Read whole JSON documents, write the tables below ``root`` and read them back.
+                   staging: str | None = None, chunk_bytes: int | None = None,
+                   load_id: str | None = None, append: bool = False) -> Tables:
+    """Read JSON documents, write the tables below ``root`` and read them back.
+
+    Documents are read whole, one task each, unless one of them is large or ``chunk_bytes`` is given:
+    then all are read in byte ranges.
 
     ``fmt`` is a file format, or ``catalog`` to treat ``root`` as a database name.
-    What was left out is written next to the tables. Staged intermediates are kept
-    when ``staging`` names a folder for them, and removed otherwise.
+    What was left out is written next to the tables: of rows with one primary key all but the first, among
+    others. Staged intermediates are kept when ``staging`` names a folder for them, and removed otherwise.
+
+    With ``load_id`` the tables appear together once all are written (see ``sinks.versions``): in place of
+    those there, or with ``append`` in addition to them, without rows whose key an earlier load has.
     """
-    return _load(spark, lambda stage: read_documents(spark, path, stage), root, options, fmt, staging)
+    def read(stage: Stage) -> Raw:
+        if chunk_bytes is None and largest_file(spark, path) < LARGE_DOCUMENT:
+            return read_documents(spark, path, stage)
+        return read_large_documents(spark, path, stage, chunk_bytes=chunk_bytes or CHUNK_BYTES)
+
+    return _load(spark, read, root, options, fmt, staging, load_id, append)
 
 
 def load_lines(spark: SparkSession, folder: str, root: str, options: LoadOptions = CHECKED, *,
-               fmt: str = "parquet", staging: str | None = None) -> Tables:
+               fmt: str = "parquet", staging: str | None = None, load_id: str | None = None,
+               append: bool = False) -> Tables:
     """The same for ``<member>.jsonl`` files below ``folder``: the layout for large data."""
-    return _load(spark, lambda stage: read_member_files(spark, folder), root, options, fmt, staging)
+    return _load(spark, lambda stage: read_member_files(spark, folder), root, options, fmt, staging, load_id, append)
 
 
 def compare_loads(spark: SparkSession, path: str | list[str], root: str, *,

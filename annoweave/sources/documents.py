@@ -8,8 +8,8 @@ that names it alone, so the parser skips the rest of the text. Every row carries
 Nothing is lost on reading: rows with a value that does not convert to its type, and documents and
 lines that are not valid JSON, are kept apart in ``Raw``.
 
-One document is one record: no parallelism inside a file. For large data, shard
-into many documents, or use one JSON-lines file set per member (splittable).
+Here one document is one record: no parallelism inside a file. ``chunks`` reads large
+documents in byte ranges, and JSON lines of one member are split as well.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from annoweave.functions.scalars import whole_number
 from annoweave.schemas import MEMBER_TYPES, MEMBERS, element_schema, member_schema
 from annoweave.session import path_exists
 
-_CORRUPT = "_corrupt_record"
+CORRUPT = "_corrupt_record"
 
 
 class Raw(dict):
@@ -66,7 +66,7 @@ def _unfold(docs: DataFrame, name: str, doc_key: str) -> DataFrame:
 
 
 def _checked_schema(*names: str) -> T.StructType:
-    return member_schema(*names).add(_CORRUPT, "string")
+    return member_schema(*names).add(CORRUPT, "string")
 
 
 def read_documents(spark: SparkSession, path: str | list[str],
@@ -79,8 +79,8 @@ def read_documents(spark: SparkSession, path: str | list[str],
     """
     def parsed(*names: str) -> DataFrame:
         return (spark.read.schema(_checked_schema(*names)).option("multiLine", True)
-                .option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-                .select(F.col("_metadata.file_path").alias("_file"), *names, _CORRUPT))
+                .option("columnNameOfCorruptRecord", CORRUPT).json(path)
+                .select(F.col("_metadata.file_path").alias("_file"), *names, CORRUPT))
     docs = stage("documents", parsed(*MEMBERS)) if stage else None
 
     def member(name: str) -> DataFrame:
@@ -88,7 +88,7 @@ def read_documents(spark: SparkSession, path: str | list[str],
 
     whole = docs if docs is not None else parsed(*MEMBERS)
     damaged = whole.where(_is_damaged("info.year")).select(
-        F.col("_file").alias("source"), F.col(_CORRUPT).alias("text"))
+        F.col("_file").alias("source"), F.col(CORRUPT).alias("text"))
     return Raw({name: _unfold(member(name), name, "_file") for name in MEMBERS}, damaged)
 
 
@@ -104,21 +104,21 @@ def documents_from_text(docs: DataFrame, text: str, doc_key: str, member: str |
         spelled = F.contains(F.col(text), F.lit(f'"{name}"')) | F.contains(F.col(text), F.lit("\\u"))
         schema = _checked_schema(name).simpleString()
         parsed = own.select(doc_key, text, F.when(spelled, F.from_json(
-            text, schema, {"columnNameOfCorruptRecord": _CORRUPT})).alias("_doc"))
+            text, schema, {"columnNameOfCorruptRecord": CORRUPT})).alias("_doc"))
         members[name] = _unfold(parsed.select(doc_key, f"_doc.{name}"), name, doc_key)
-        broken.append(parsed.where(F.col(f"_doc.{_CORRUPT}").isNotNull())
+        broken.append(parsed.where(F.col(f"_doc.{CORRUPT}").isNotNull())
                       .select(F.col(doc_key).alias("source"), F.col(text).alias("text")))
     return Raw(members, reduce(DataFrame.unionByName, broken).distinct())
 
 
 def _is_damaged(other: str) -> Column:
     """Whether the parser kept the text as damaged; a scan that asks for nothing else is refused."""
-    return F.coalesce(F.col(_CORRUPT), F.col(other)) == F.col(_CORRUPT)
+    return F.coalesce(F.col(CORRUPT), F.col(other)) == F.col(CORRUPT)
 
 
 def _lines(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
-    lines = (spark.read.schema(element_schema(name).add(_CORRUPT, "string"))
-             .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
+    lines = (spark.read.schema(element_schema(name).add(CORRUPT, "string"))
+             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     order = F.struct(F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_line"))
@@ -127,13 +127,13 @@ def _lines(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
 
 def _damaged_lines(lines: DataFrame, name: str) -> DataFrame:
     return lines.where(_is_damaged(element_schema(name).names[0])).select(
-        F.col("_order._file").alias("source"), F.col(_CORRUPT).alias("text"))
+        F.col("_order._file").alias("source"), F.col(CORRUPT).alias("text"))
 
 
 def read_member_lines(spark: SparkSession, name: str, path: str | list[str]) -> Raw:
     """One member from JSON lines. Blank lines are skipped; large files are split."""
     lines = _lines(spark, name, path)
-    return Raw({name: lines.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)}, _damaged_lines(lines, name))
+    return Raw({name: lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)}, _damaged_lines(lines, name))
 
 
 def read_member_files(spark: SparkSession, folder: str) -> Raw:
@@ -143,7 +143,7 @@ def read_member_files(spark: SparkSession, folder: str) -> Raw:
         path = f"{folder.rstrip('/')}/{name}.jsonl"
         if path_exists(spark, path):
             lines = _lines(spark, name, path)
-            members[name] = lines.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+            members[name] = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
             broken.append(_damaged_lines(lines, name))
         else:
             members[name] = spark.createDataFrame([], element_schema(name)).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annoweave.schemas import TABLE_DDL, TABLES, table_schema
 from annoweave.session import path_exists
+from annoweave.sources.manifests import folders
 
 Tables = dict[str, DataFrame]
 
@@ -16,11 +17,14 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "",
 
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """One stored table with its declared schema."""
+    """One stored table with its declared schema, as last published or as plainly written below ``root``."""
     reader = spark.read.schema(table_schema(name))
     if fmt == "csv":
         reader = reader.options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST")
-    return reader.format(fmt).load(f"{root.rstrip('/')}/{name}")
+    published = folders(spark, root, name)
+    if published == []:
+        return spark.createDataFrame([], table_schema(name))
+    return reader.format(fmt).load(published or f"{root.rstrip('/')}/{name}")
 
 
 def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
@@ -53,5 +57,5 @@ def preview(df: DataFrame, key: str, rows: int = 3) -> DataFrame:
 
 def existing_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     """The stored tables that are there; absent ones are left out."""
-    there = [n for n in TABLES if path_exists(spark, f"{root.rstrip('/')}/{n}")]
+    there = [n for n in TABLES if folders(spark, root, n) or path_exists(spark, f"{root.rstrip('/')}/{n}")]
     return {name: read_table(spark, root, name, fmt) for name in there}

@@ -422,6 +422,23 @@ ORACLES: dict[str, str] = {
              else (n_nationkey - n_regionkey) / n_regionkey * 100 end as change from nation""",
     "parquet_tables": _count_all(TABLES),
     "member_lines": f"{DOCUMENT_ANNOTATION} where {USABLE}",
+    "large_documents": f"{DOCUMENT_ANNOTATION} where {USABLE}",
+    "large_document_load": _count_all({
+        "info": "select 1", "licenses": f"{DOCUMENT_LICENSES} where n_nationkey <> 0",
+        "categories": CATEGORIES, "attributes": ATTRIBUTES, "images": DOCUMENT_IMAGES,
+        "annotations": f"select 1 from orders where {KEPT}",
+        "annotation_attributes": f"select distinct * from ({_document_links(KEPT, False)}) where attribute_id in "
+                                 "(select s_suppkey from supplier)",
+        "segmentations": _document_points(KEPT, True)}),
+    "bloom_matching": """select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in
+        (select o_orderkey from orders where o_orderpriority = '1-URGENT')""",
+    "refused_duplicates": """with k as (
+            select l_orderkey % 3 as part, l_orderkey || ',' || l_suppkey as key, count(*) as n from lineitem group by 1, 2)
+        select key, 'repeated' as reason, n - 1 as rows from k where part <> 1 and n > 1
+        union all select key, 'loaded before', 1 from k where part = 2""",
+    "published_counts": _count_all({**TABLES, **{
+        n: f"select distinct id from ({TABLES[n]})" for n in ("images", "categories", "attributes", "annotations")},
+        "annotation_attributes": "select distinct l_orderkey, l_suppkey from lineitem"}),
     "document_files": f"{DOCUMENT_LICENSES} where n_nationkey <> 0",
     "category_files": ONTOLOGY,
     "triple_files": LINES,

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from annoweave.functions.scalars import clean_name, local_name, percent_change, ratio, term_uri
 from annoweave.operators import compare, integrity, reports, sampling, shred, triples
-from annoweave.plans.load import CHECKED, shred_members
+from annoweave.operators.joins import keep_matching
+from annoweave.plans.load import CHECKED, load_documents, shred_members
 from annoweave.schemas import TABLES
 from annoweave.session import scratch_path, settle
 from annoweave.sinks.tables import write_tables
 from annoweave.sinks.triples import read_xml, write_triples
+from annoweave.sinks.versions import publish
+from annoweave.sources.chunks import read_large_documents
 from annoweave.sources.documents import read_documents, read_member_lines
 from annoweave.sources.tables import ids, preview, read_tables
 from annoweave.sources.taxonomy import complete_categories, read_categories
@@ -31,6 +34,8 @@ FEW_STRATA_KEPT = 3
 MANY_STRATA_KEPT = 700
 REPEATED_KEPT = 1003
 WORDS = triples.Vocabulary()
+# Documents of the large-document queries are read in ranges of this size.
+RANGE_BYTES = 64 << 10
 
 
 def query(fn: Query) -> Query:
@@ -615,6 +620,60 @@ def document_files(spark, sf):
     return shred.licenses_table(raw["licenses"])
 
 
+def _large_documents(spark, sf):
+    """All members in a few large documents, thousands of elements each; gives their folder."""
+    path = scratch_path(spark, "large-documents")
+    roles.large_documents(spark, sf).write.partitionBy("bucket").text(path)
+    return path
+
+
+@query
+def large_documents(spark, sf):
+    """Annotations from large documents, read in byte ranges by several tasks each."""
+    raw = read_large_documents(spark, f"{_large_documents(spark, sf)}/bucket=*", chunk_bytes=RANGE_BYTES)
+    return shred.annotations_table(raw["annotations"])
+
+
+@query
+def large_document_load(spark, sf):
+    """Rows of the eight tables after loading large documents; links that a list repeats are left out."""
+    root = scratch_path(spark, "large-load")
+    return reports.table_counts(load_documents(spark, f"{_large_documents(spark, sf)}/bucket=*", root,
+                                               chunk_bytes=RANGE_BYTES))
+
+
+@query
+def bloom_matching(spark, sf):
+    """Line items of urgent orders: a Bloom filter of the keys first, then the exact join."""
+    orders = settle(given(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey"))
+    lines = given(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return keep_matching(lines, orders, "l_orderkey", "o_orderkey", broadcast_rows=0)
+
+
+@query
+def refused_duplicates(spark, sf):
+    """Line items published in two batches that overlap, keys checked against those stored: rows refused."""
+    root = scratch_path(spark, "published")
+    lines = given(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("annotation_id"), F.col("l_suppkey").alias("attribute_id"))
+    publish(spark, {"annotation_attributes": lines.where("annotation_id % 3 <> 0")}, root, "first")
+    refused = publish(spark, {"annotation_attributes": lines.where("annotation_id % 3 <> 1")}, root, "second", append=True)
+    return refused.groupBy("key", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def published_counts(spark, sf):
+    """Rows of published tables: a load, an append, the same append again, and one that stops half way."""
+    root, t = scratch_path(spark, "published"), roles.tables(spark, sf)
+    keyed = {n: t[n] for n in ("images", "categories", "attributes")}
+    publish(spark, {**t, **{n: df.where("id % 2 = 0") for n, df in keyed.items()}}, root, "base")
+    for _ in range(2):
+        publish(spark, keyed, root, "more", append=True)
+    # A load that has written its rows but not yet published them.
+    write_tables(keyed, f"{root}/_loads/stopped")
+    return reports.table_counts(read_tables(spark, root))
+
+
 @query
 def category_files(spark, sf):
     """Triples from categories written as JSON lines and read back."""

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annoweave.operators.shred import polygon_points
 from annoweave.sources.documents import Raw, documents_from_text
@@ -164,6 +165,37 @@ def documents(spark: SparkSession, sf_dir: str) -> Raw:
     return documents_from_text(document_text(spark, sf_dir), "text", "doc", "member")
 
 
+def large_documents(spark: SparkSession, sf_dir: str, rows_per_document: int = 4000) -> DataFrame:
+    """The elements of ``document_text`` in large documents: columns ``bucket`` and ``value``, lines in order.
+
+    Each document has every member; a line is an element or what stands around it.
+    """
+    text = document_text(spark, sf_dir)
+    order = ("info", "licenses", "categories", "attributes", "images", "annotations")
+    count = max(1, -(-text.count() // rows_per_document))
+    part = F.array_position(F.array(*map(F.lit, order)), F.col("member")).cast("int")
+    inner = F.regexp_extract("text", r'^\{"\w+":\[?(.*?)\]?\}$', 1)
+    rows = text.select(F.when(F.col("member") == "info", 0).otherwise(F.pmod(F.xxhash64("doc"), F.lit(count))).alias("bucket"),
+                       part.alias("part"), F.col("doc").alias("place"), inner.alias("value"))
+    first = Window.partitionBy("bucket", "part").orderBy("place")
+    rows = rows.select("bucket", "part", F.lit(1).alias("step"), "place", F.concat(
+        F.when(F.row_number().over(first) > 1, ",").otherwise(""), "value").alias("value"))
+    around = []
+    for i, name in enumerate(order):
+        if name == "info":
+            around += [(i + 1, 0, "{"), (i + 1, 2, "")]
+        else:
+            around += [(i + 1, 0, f'"{name}":['), (i + 1, 2, "]" if name == order[-1] else "],")]
+    around += [(len(order) + 1, 3, "}")]
+    lines = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(s).alias("step"), F.lit(v).alias("value")) for p, s, v in around])
+    frame = spark.range(count).select(F.col("id").alias("bucket"), F.inline(lines))
+    frame = frame.select("bucket", "part", "step", F.lit("").alias("place"), "value")
+    # The document with the info member names it before its first element.
+    rows = rows.withColumn("value", F.when(F.col("part") == 1, F.concat(F.lit('"info":'), "value", F.lit(","))).otherwise(F.col("value")))
+    return (rows.unionByName(frame).repartition(count, "bucket").sortWithinPartitions("bucket", "part", "step", "place")
+            .select("bucket", "value"))
+
+
 def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as JSON lines of images, some with values of another type and some not JSON at all."""
     return given(spark, sf_dir, "customer").selectExpr(
