@@ -75,8 +75,8 @@ def main(argv: list[str] | None = None) -> None:
                       staging=args.staging, load_id=args.load_id, append=args.append)
         _show({"statistics": dataset_report(tables)["statistics"]})
         if args.format != "catalog":
-            names = REJECTS if not args.unchecked else REJECTS[:5]
-            _show({"left out": rejects_report(spark, args.output, names)})
+            names = REJECTS if not args.unchecked else REJECTS[:4]
+            _show({"left out": rejects_report(spark, args.output, (*names, "duplicates"))})
             if not args.unchecked:
                 _show({"placeholder licenses": read_rejects(spark, args.output, "licenses")})
     elif args.command == "ontology":

@@ -10,7 +10,8 @@ repeated keys are looked up. Rows with a null in their key are no duplicates of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from annoweave.session import settle
 #: Consecutive ids of a bucket, and the number of buckets they are dealt to.
 BUCKET_IDS = 1 << 16
 BUCKETS = 1024
+REJECTED = "`table` string, key string, reason string, row string"
 
 
 def bucket_of(key: str) -> Column:
@@ -38,6 +40,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def with_repeats(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> list[str]:
+    """The names of the tables in which a key occurs more than once, found in one job."""
+    found = [df.where(_complete(keys[name])).groupBy(*keys[name]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+             .select(F.lit(name).alias("name")) for name, df in tables.items()]
+    if not found:
+        return []
+    return sorted(r["name"] for r in reduce(DataFrame.unionByName, found).distinct().collect())
+
+
 def split_repeats(rows: DataFrame, key: Sequence[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The first row of each key, by ``order`` or else as stored, and the later ones.
 

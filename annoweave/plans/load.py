@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from annoweave.operators import shred
 from annoweave.operators.compare import compare_methods
-from annoweave.operators.constraints import rejected_rows, split_repeats
+from annoweave.operators.constraints import REJECTED, rejected_rows, split_repeats, with_repeats
 from annoweave.operators.sampling import Keys, Targets, referential_sample
 from annoweave.schemas import PRIMARY_KEYS
 from annoweave.session import scratch_path
@@ -56,7 +56,7 @@ CHECKED = LoadOptions()
 UNCHECKED = LoadOptions(enforce=False, strict=False, method="uniform")
 
 # Kinds of rows left out; the last two only when references are enforced.
-REJECTS = ("damaged", "unconverted", "duplicates", "boxes", "points", "annotations", "links")
+REJECTS = ("damaged", "unconverted", "boxes", "points", "annotations", "links")
 _KEYED = ("licenses", "categories", "attributes", "images", "annotations")
 
 
@@ -136,13 +136,17 @@ def rejects_report(spark: SparkSession, root: str, names: tuple[str, ...] = REJE
     return report
 
 
-def first_of_keys(raw: Raw) -> DataFrame:
-    """Keep the first row of each id, in the order of the input; gives the rows that repeat one."""
-    repeated = []
-    for name in _KEYED:
-        raw[name], extra = split_repeats(raw[name], ("id",), "_order")
-        repeated.append(rejected_rows(name, ("id",), extra, "repeated"))
-    return reduce(DataFrame.unionByName, repeated)
+def first_of_keys(rows: Tables, keys: Mapping[str, Sequence[str]], order: str | None = None) -> tuple[Tables, DataFrame]:
+    """Keep the first row of each key, in the order of the input if it is known; gives the others as well.
+
+    One job over the keys of all tables finds those with repeats, if any; only their rows are stored and sorted out.
+    """
+    kept, repeated = dict(rows), []
+    for name in with_repeats({n: rows[n] for n in keys}, keys):
+        kept[name], extra = split_repeats(rows[name], keys[name], order)
+        repeated.append(rejected_rows(name, keys[name], extra, "repeated"))
+    spark = next(iter(rows.values())).sparkSession
+    return kept, reduce(DataFrame.unionByName, repeated, spark.createDataFrame([], REJECTED))
 
 
 def _refuse(raw: Raw, repeated: DataFrame) -> None:
@@ -158,21 +162,19 @@ def _load(spark: SparkSession, read: Callable[[Stage], Raw], root: str, options:
     folder = staging or scratch_path(spark, "staging")
 
     def stage(name: str, df: DataFrame) -> DataFrame:
-        if staging is None and name in _KEYED:
-            return df  # stored already, when its keys were checked
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     try:
         raw = read(stage)
-        repeated = first_of_keys(raw)
+        first, repeated = first_of_keys(raw, {name: ("id",) for name in _KEYED}, "_order")
+        raw.update(first)
         if options.fail_on_rejects:
             _refuse(raw, repeated)
         result = shred_members(raw, options, stage)
-        links, twice = split_repeats(result.tables["annotation_attributes"], PRIMARY_KEYS["annotation_attributes"])
-        repeated = repeated.unionByName(rejected_rows(
-            "annotation_attributes", PRIMARY_KEYS["annotation_attributes"], twice, "repeated"))
-        tables = {**result.tables, "annotation_attributes": links}
+        links = "annotation_attributes"
+        tables, twice = first_of_keys(result.tables, {links: PRIMARY_KEYS[links]})
+        repeated = repeated.unionByName(twice)
         if load_id is not None:
             repeated = repeated.unionByName(publish(spark, tables, root, load_id, append=append, fmt=fmt,
                                                     fail_on_duplicates=options.fail_on_rejects))

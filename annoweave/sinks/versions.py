@@ -19,7 +19,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoweave.operators.constraints import rejected_rows, split_known, split_repeats, write_keys
+from annoweave.operators.constraints import (
+    REJECTED, rejected_rows, split_known, split_repeats, with_repeats, write_keys)
 from annoweave.schemas import PRIMARY_KEYS
 from annoweave.session import settle
 from annoweave.sinks.tables import FILE_FORMATS, remove_folder, write_tables
@@ -52,7 +53,7 @@ def publish(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, loa
     """
     if fmt not in FILE_FORMATS:
         raise ValueError(f"unknown file format: {fmt}")
-    refused = spark.createDataFrame([], "`table` string, key string, reason string, row string")
+    refused = spark.createDataFrame([], REJECTED)
     before = manifest(spark, root)
     if load_id in before["loads"]:
         return refused
@@ -62,13 +63,16 @@ def publish(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, loa
     own = f"_loads/{re.sub('[^A-Za-z0-9_.-]', '_', load_id)}-{uuid.uuid4().hex}"
     place = f"{root.rstrip('/')}/{own}"
     accepted = {}
+    repeated = with_repeats({n: df for n, df in tables.items() if n in PRIMARY_KEYS}, PRIMARY_KEYS)
     for name, rows in tables.items():
         key = PRIMARY_KEYS.get(name)
-        if key:
+        if name in repeated:
             rows, twice = split_repeats(rows, key)
-            rows, known = split_known(rows, key, [f"{root.rstrip('/')}/{f}" for f in old["keys"].get(name, [])])
-            refused = refused.unionByName(rejected_rows(name, key, twice, "repeated")).unionByName(
-                rejected_rows(name, key, known, "loaded before"))
+            refused = refused.unionByName(rejected_rows(name, key, twice, "repeated"))
+        earlier = old["keys"].get(name)
+        if earlier:
+            rows, known = split_known(rows, key, [f"{root.rstrip('/')}/{f}" for f in earlier])
+            refused = refused.unionByName(rejected_rows(name, key, known, "loaded before"))
         accepted[name] = rows
     refused = settle(refused)
     if fail_on_duplicates and (first := refused.take(3)):
