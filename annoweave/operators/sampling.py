@@ -8,6 +8,9 @@ it always has exactly as many rows as asked for.
 which names the digit at which a stratum's quota runs out, and the rows of that digit alone are counted
 again by further digits. The rows below the end are then taken where they are, in one scan.
 
+Summaries of at most LOCAL_ROWS rows (strata and their quotas, counts by digit, the draws around an end) are
+worked out as plain rows, which costs one aggregate each; larger ones stay tables. Both give the same sample.
+
 An id that is NULL is an error.
 """
 
@@ -15,12 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping
 from dataclasses import dataclass
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from annoweave.functions.draws import draw
+from annoweave.functions.draws import draw, mark
 from annoweave.operators.joins import attach, keep_matching, keep_unmatched
 from annoweave.schemas import TABLES
 from annoweave.session import settle
@@ -34,6 +40,11 @@ _DRAW = 12   # hex digits of the id's draw in a key; as many of the row's hash f
 _STEP = 3    # digits looked at per count
 _FEW = 1000  # rows of a digit that are ranked as they are
 
+#: A summary up to this many rows is worked out as plain rows.
+LOCAL_ROWS = 100_000
+# Values of these types compare and group as plain rows as they do in a table.
+_PLAIN = (T.IntegralType, T.StringType, T.BooleanType, T.DateType, T.DecimalType)
+
 
 @dataclass(frozen=True)
 class Targets:
@@ -76,21 +87,19 @@ def _key(df: DataFrame, row_id: str, seed: int) -> Column:
 
 
 def _settled_keys(df: DataFrame, row_id: str, seed: int, *columns: str) -> DataFrame:
-    """The drawn keys of all rows with the given columns; NULL ids are refused."""
-    keys = settle(df.select(F.col(row_id).isNull().alias("_no_id"), _key(df, row_id, seed).alias("_key"),
+    """The drawn keys of all rows under the seed and the next one, with the given columns."""
+    return settle(df.select(F.col(row_id).isNull().alias("_no_id"), _key(df, row_id, seed).alias("_key"),
+                            *([_key(df, row_id, seed + 1).alias("_next")] if columns else []),
                             *[F.col(c) for c in dict.fromkeys(columns)]))
-    if not keys.where("_no_id").isEmpty():
-        raise ValueError(f"rows without {row_id} cannot be drawn")
-    return keys.drop("_no_id")
 
 
 def _ends(keys: DataFrame, takes: DataFrame, stratum: str, strata: int) -> DataFrame:
     """The last key each stratum takes: stratum, ``_end``, and how many rows of that very key.
 
-    ``takes`` has the strata with 0 < take < size. Every count but the first looks at one digit of each
+    ``takes`` has the strata with 0 < _take < _size. Every count but the first looks at one digit of each
     stratum only.
     """
-    ends = takes.select(stratum, F.lit("").alias("_end"), F.col("take").alias("_left"))
+    ends = takes.select(stratum, F.lit("").alias("_end"), F.col("_take").alias("_left"))
     for width in range(_STEP, 2 * _DRAW + 1, _STEP):
         inside = attach(keys, ends, stratum, at_most=strata).where(F.substring("_key", 1, width - _STEP) == F.col("_end"))
         counts = inside.groupBy(stratum, "_left", F.substring("_key", 1, width).alias("_digit")).agg(
@@ -115,23 +124,29 @@ def _ends(keys: DataFrame, takes: DataFrame, stratum: str, strata: int) -> DataF
 def _marked(df: DataFrame, quotas: DataFrame, stratum: str, row_id: str, seed: int,
             keys: DataFrame) -> DataFrame:
     """``df`` with ``_in``: whether a row is among the ``take`` lowest draws of its stratum."""
-    part = settle(quotas.select(stratum, "size", "take"))
+    part = settle(quotas.select(stratum, F.col("size").alias("_size"), F.col("take").alias("_take")))
     strata = part.count()
-    ends = _ends(keys, part.where("take > 0 and take < size"), stratum, strata)
+    ends = _ends(keys, part.where("_take > 0 and _take < _size"), stratum, strata)
     rules = _beside(part, ends, stratum)
     drawn = df.withColumn("_key", _key(df, row_id, seed))
     if stratum not in df.columns:  # all rows are one stratum
         drawn = drawn.withColumn(stratum, F.lit(0))
     drawn = attach(drawn, rules, stratum, at_most=strata)
-    whole = (F.col("take") >= F.col("size")) | (F.coalesce(F.col("_key") <= F.col("_end"), F.lit(False)))
-    # Equal rows at the very end of a quota: only so many of them.
-    if ends.where("_wanted < _there").isEmpty():
-        return drawn.select(*df.columns, whole.alias("_in"))
-    tied = F.coalesce((F.col("_key") == F.col("_end")) & (F.col("_wanted") < F.col("_there")), F.lit(False))
+    return _within(drawn, stratum, not ends.where("_wanted < _there").isEmpty()).select(*df.columns, "_in")
+
+
+def _within(drawn: DataFrame, stratum: str, tied: bool) -> DataFrame:
+    """``drawn``, rows beside the rule of their stratum, with ``_in``.
+
+    ``tied``: somewhere a quota ends among equal rows, of which it takes only so many.
+    """
+    whole = (F.col("_take") >= F.col("_size")) | (F.coalesce(F.col("_key") <= F.col("_end"), F.lit(False)))
+    if not tied:
+        return drawn.withColumn("_in", whole)
+    cut = F.coalesce((F.col("_key") == F.col("_end")) & (F.col("_wanted") < F.col("_there")), F.lit(False))
     rank = F.row_number().over(Window.partitionBy(stratum, "_key").orderBy("_wanted"))
-    equal = drawn.where(tied).withColumn("_rank", rank).select(
-        *df.columns, (F.col("_rank") <= F.col("_wanted")).alias("_in"))
-    return drawn.where(~tied).select(*df.columns, whole.alias("_in")).unionByName(equal)
+    equal = drawn.where(cut).withColumn("_rank", rank).withColumn("_in", F.col("_rank") <= F.col("_wanted"))
+    return drawn.where(~cut).withColumn("_in", whole).unionByName(equal.drop("_rank"))
 
 
 def _beside(part: DataFrame, ends: DataFrame, stratum: str) -> DataFrame:
@@ -140,11 +155,162 @@ def _beside(part: DataFrame, ends: DataFrame, stratum: str) -> DataFrame:
     return part.join(side, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
 
 
+def _listed(df: DataFrame) -> list[tuple] | None:
+    """The rows of a summary, or None if there are more than LOCAL_ROWS."""
+    rows = df.limit(LOCAL_ROWS + 1).toArrow()
+    if rows.num_rows > LOCAL_ROWS:
+        return None
+    return list(zip(*(c.to_pylist() for c in rows.columns)))
+
+
+def _plain(keys: DataFrame, *columns: str) -> bool:
+    return all(isinstance(keys.schema[c].dataType, _PLAIN) for c in columns)
+
+
+def _nulls_first(value) -> tuple:
+    return (value is not None, value)
+
+
+@dataclass(frozen=True)
+class _Rule:
+    """What a stratum takes: all rows up to a last key, and of that very key so many of those there are."""
+
+    size: int
+    take: int
+    end: str | None = None
+    wanted: int | None = None
+    there: int | None = None
+
+
+def _granted(sizes: list[tuple], size: int) -> dict:
+    """stratum -> rule without an end, from rows of stratum, size and first position; see ``allocate``."""
+    total, left, rules = sum(n for _, n, _ in sizes), size, {}
+    for stratum, n, _ in sorted(sizes, key=lambda s: (_nulls_first(s[2]), _nulls_first(s[0]))):
+        take = n if total <= size else min(max(1, n * size // total), left)
+        rules[stratum] = _Rule(n, take)
+        left -= take
+    return rules
+
+
+def _local(rows: DataFrame, stratum: str, names: list[str], side: list[tuple]) -> DataFrame:
+    """Plain rows as a table: ``_lookup`` of the stratum's type, then the named keys and numbers."""
+    schema = T.StructType([T.StructField("_lookup", rows.schema[stratum].dataType)]
+                          + [T.StructField(n, T.StringType() if n in ("_end", "_start") else T.LongType())
+                             for n in names])
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*side)) if side else [()] * len(arrow)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return rows.sparkSession.createDataFrame(table, schema)
+
+
+def _beside_local(rows: DataFrame, stratum: str, names: list[str], side: list[tuple]) -> DataFrame:
+    """``rows`` beside the plain rows of their strata; other strata go."""
+    local = F.broadcast(_local(rows, stratum, names, side))
+    return rows.join(local, F.col(stratum).eqNullSafe(F.col("_lookup"))).drop("_lookup")
+
+
+def _local_ends(keys: DataFrame, rules: dict, stratum: str) -> dict | None:
+    """The rules with their ends, or None if some step is too large for plain rows."""
+    open_ = {s: ("", r.take, r.size) for s, r in rules.items() if 0 < r.take < r.size}
+    width = 0
+    while True:
+        near = keys
+        if width:
+            near = _beside_local(keys, stratum, ["_start"], [(s, start) for s, (start, _, _) in open_.items()])
+            near = near.where(F.substring("_key", 1, width) == F.col("_start")).drop("_start")
+        elif len(open_) < len(rules):
+            near = _beside_local(keys, stratum, [], [(s,) for s in open_])
+        last = sum(rows for _, _, rows in open_.values()) <= LOCAL_ROWS
+        if not last:
+            steps = [w for w in range(1, 5) if len(open_) * 16 ** w <= LOCAL_ROWS]
+            if not steps or width + steps[-1] > 2 * _DRAW:
+                return None
+            width += steps[-1]
+        digits = F.col("_key") if last else F.substring("_key", 1, width)
+        found = _listed(near.groupBy(stratum, digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_rows")))
+        if found is None:
+            return None
+        found.sort(key=lambda row: (_nulls_first(row[0]), row[1]))
+        for name, group in groupby(found, key=lambda row: row[0]):
+            _, left, _ = open_[name]
+            for _, start, rows in group:
+                if rows >= left:
+                    open_[name] = (start, left, rows)
+                    break
+                left -= rows
+        if last:
+            return rules | {s: _Rule(rules[s].size, rules[s].take, end, wanted, there)
+                            for s, (end, wanted, there) in open_.items()}
+
+
+def _ruled(drawn: DataFrame, rules: dict, stratum: str) -> DataFrame:
+    side = [(s, r.size, r.take, r.end, r.wanted, r.there) for s, r in rules.items()]
+    marked = _beside_local(drawn, stratum, ["_size", "_take", "_end", "_wanted", "_there"], side)
+    tied = any(r.end is not None and r.wanted < r.there for r in rules.values())
+    return _within(marked, stratum, tied)
+
+
+def _refuse(missing: int | None, row_id: str) -> None:
+    if missing:
+        raise ValueError(f"rows without {row_id} cannot be drawn")
+
+
+def _local_sample(df: DataFrame, keys: DataFrame, size: int, stratum: str, order: str, row_id: str,
+                  seed: int) -> DataFrame | None:
+    """The sample by plain summaries, or None where one of them is too large.
+
+    ``keys`` has the rows' strata, positions and draws under both seeds, ``_all`` being the one stratum of a
+    uniform sample and of the top-up.
+    """
+    found = _listed(keys.groupBy(stratum).agg(F.count(F.lit(1)), F.min(order), F.count_if("_no_id")))
+    if found is None:
+        return None
+    _refuse(sum(row[3] for row in found), row_id)
+    rules = _local_ends(keys, _granted([row[:3] for row in found], size), stratum)
+    if rules is None:
+        return None
+    drawn = df.withColumns({"_key": _key(df, row_id, seed), "_next": _key(df, row_id, seed + 1), "_all": F.lit(0)})
+    total, granted = sum(r.size for r in rules.values()), sum(r.take for r in rules.values())
+    spare = min(size, total) - granted
+    columns = [F.col(c) for c in df.columns]
+    if spare <= 0:
+        return _ruled(drawn, rules, stratum).where("_in").select(*columns)
+    # A top-up takes the lowest draws under the second seed of what the quotas left. It has at most one row
+    # for each stratum, so a mark somewhat above its share of the rest leaves few rows to look at.
+    rest = _ruled(keys, rules, stratum).where(~F.col("_in")).select("_all", F.col("_next").alias("_key"))
+    share = min(1.0, (2.0 * spare + 50) / (total - granted))
+    near = _listed(rest.where(F.col("_key") < mark(share)).groupBy("_key").agg(F.count(F.lit(1))))
+    if near is None or sum(n for _, n in near) < spare:
+        more = _local_ends(rest, {0: _Rule(total - granted, spare)}, "_all")
+        if more is None:
+            return None
+        top = more[0]
+    else:
+        left, top = spare, None
+        for key, rows in sorted(near):
+            if rows >= left:
+                top = _Rule(total - granted, spare, key, left, rows)
+                break
+            left -= rows
+    first = _ruled(drawn, rules, stratum)
+    if top.end is None:
+        return first.select(*columns)
+    if top.wanted == top.there:
+        return first.where(F.col("_in") | (F.col("_next") <= top.end)).select(*columns)
+    left_over = first.where(~F.col("_in")).select(*df.columns, "_all", F.col("_next").alias("_key"))
+    return (first.where("_in").select(*columns)
+            .unionByName(_ruled(left_over, {0: top}, "_all").where("_in").select(*columns)))
+
+
 def uniform_sample(df: DataFrame, size: int, *, row_id: str = "id", seed: int = 42) -> DataFrame:
     """Exactly ``min(size, rows)`` rows: those with the lowest draws."""
     if size <= 0:
         return df.limit(0)
     keys = _settled_keys(df, row_id, seed).withColumn("_all", F.lit(0))
+    sample = _local_sample(df, keys, size, "_all", "_all", row_id, seed)
+    if sample is not None:
+        return sample
+    _refuse(keys.where("_no_id").limit(1).count(), row_id)
     quotas = keys.groupBy("_all").agg(F.count(F.lit(1)).alias("size")).withColumn(
         "take", F.least(F.col("size"), F.lit(size)))
     return _marked(df, quotas, "_all", row_id, seed, keys).where("_in").select(*df.columns)
@@ -179,6 +345,11 @@ def allocate(strata: DataFrame, stratum: str, size: int, total: int) -> DataFram
 
 
 def _quotas(keys: DataFrame, stratum: str, order: str, size: int) -> DataFrame:
+    if _plain(keys, stratum, order):
+        found = _listed(strata_sizes(keys, stratum, order))
+        if found is not None:
+            side = [(s, r.size, r.take) for s, r in _granted(found, size).items()]
+            return _local(keys, stratum, ["size", "take"], side).withColumnRenamed("_lookup", stratum)
     strata = settle(strata_sizes(keys, stratum, order))
     total = strata.agg(F.sum("size")).first()[0] or 0
     if total <= size:
@@ -202,6 +373,11 @@ def stratified_sample(df: DataFrame, size: int, *, stratum: str, row_id: str = "
     if size <= 0:
         return df.limit(0)
     keys = _settled_keys(df, row_id, seed, stratum, order or row_id)
+    if _plain(keys, stratum, order or row_id):
+        sample = _local_sample(df, keys.withColumn("_all", F.lit(0)), size, stratum, order or row_id, row_id, seed)
+        if sample is not None:
+            return sample
+    _refuse(keys.where("_no_id").limit(1).count(), row_id)
     quotas = _quotas(keys, stratum, order or row_id, size)
     granted, total = quotas.agg(F.coalesce(F.sum("take"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     marked = _marked(df, quotas, stratum, row_id, seed, keys)

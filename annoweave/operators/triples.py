@@ -179,15 +179,15 @@ def example_classes(triples: DataFrame, limit: int = 5) -> DataFrame:
     return first.unionByName(more.select(F.lit("... and more").alias("class"), "more"))
 
 
-def _escaped(text: Column) -> Column:
+def escaped(text: Column) -> Column:
     for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(plain), F.lit(code))
     return text
 
 
 def triple_lines(triples: DataFrame) -> DataFrame:
-    """One line per triple in N-Triples syntax, which Turtle and N3 readers accept too."""
-    literal = F.concat(F.lit('"'), _escaped(F.col("object")), F.lit('"'))
+    """One line per triple in N-Triples syntax."""
+    literal = F.concat(F.lit('"'), escaped(F.col("object")), F.lit('"'))
     typed = F.concat(literal, F.lit("^^<"), F.col("datatype"), F.lit(">"))
     value = (F.when(F.col("object_kind") == "iri", F.concat(F.lit("<"), F.col("object"), F.lit(">")))
               .when(F.col("datatype").isNotNull(), typed).otherwise(literal))

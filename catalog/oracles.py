@@ -481,5 +481,6 @@ ORACLES: dict[str, str] = {
         union all select 'unconverted', count(*) from customer where c_custkey % 10 in (2, 4, 5)
         union all select 'damaged', count(*) from customer where c_custkey % 10 = 1""",
     "category_arrays": ONTOLOGY,
+    "triple_turtle": ONTOLOGY,
     "triple_xml": ONTOLOGY,
 }

@@ -15,7 +15,7 @@ from annoweave.plans.load import CHECKED, load_documents, shred_members
 from annoweave.schemas import TABLES
 from annoweave.session import scratch_path, settle
 from annoweave.sinks.tables import write_tables
-from annoweave.sinks.triples import read_xml, write_triples
+from annoweave.sinks.triples import read_grouped, read_xml, write_triples
 from annoweave.sinks.versions import publish
 from annoweave.sources.chunks import read_large_documents
 from annoweave.sources.documents import read_documents, read_member_lines
@@ -690,6 +690,14 @@ def triple_files(spark, sf):
     return spark.read.text(path)
 
 
+@query
+def triple_turtle(spark, sf):
+    """Every statement in the Turtle files, grouped by subject, written for the taxonomy."""
+    path = scratch_path(spark, "turtle")
+    write_triples(triples.ontology(roles.taxonomy(spark, sf), WORDS), path, "turtle", WORDS)
+    return read_grouped(spark, path, WORDS)
+
+
 @query
 def triple_xml(spark, sf):
     """Every statement in the RDF/XML files written for the taxonomy."""

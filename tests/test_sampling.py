@@ -43,10 +43,17 @@ def _sample(spark, pairs, size, parts=3, seed=42):
     return sorted(r.id for r in out.collect())
 
 
+@pytest.fixture(params=["rows", "steps", "tables"])
+def summaries(request, monkeypatch):
+    """Summaries as plain rows at once, after counts by digit, or as tables."""
+    size = {"rows": sampling.LOCAL_ROWS, "steps": 130, "tables": 0}[request.param]
+    monkeypatch.setattr(sampling, "LOCAL_ROWS", size)
+
+
 @pytest.mark.parametrize("count,strata,hot,size", [
     (400, 4, 0.4, 1), (400, 4, 0.4, 37), (400, 4, 0.4, 399), (400, 4, 0.4, 400),
     (300, 60, 0.0, 20), (300, 60, 0.35, 150), (50, 50, 0.0, 7)])
-def test_same_rows_as_the_loop(spark, count, strata, hot, size):
+def test_same_rows_as_the_loop(spark, summaries, count, strata, hot, size):
     pairs = _pairs(count, strata, hot, size)
     assert _sample(spark, pairs, size) == by_hand(pairs, size)
 
@@ -55,6 +62,7 @@ def test_same_rows_as_the_loop(spark, count, strata, hot, size):
 def test_ranking_few_rows_at_a_time_changes_nothing(spark, monkeypatch, size):
     pairs = _pairs(300, 6, 0.3, 5)
     monkeypatch.setattr(sampling, "_FEW", 1)
+    monkeypatch.setattr(sampling, "LOCAL_ROWS", 0)
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
     assert _sample(spark, pairs, size) == by_hand(pairs, size)
     df = spark.createDataFrame(pairs, "id long, s long")
@@ -62,10 +70,11 @@ def test_ranking_few_rows_at_a_time_changes_nothing(spark, monkeypatch, size):
     assert sorted(r.id for r in sampling.uniform_sample(df, size).collect()) == want
 
 
-@pytest.mark.parametrize("few", [1000, 1])
+@pytest.mark.parametrize("few,local", [(1000, 0), (1, 0), (1000, 150), (1000, 100_000)])
 @pytest.mark.parametrize("size", [100, 301, 2999])
-def test_repeated_ids_and_equal_rows(spark, monkeypatch, few, size):
+def test_repeated_ids_and_equal_rows(spark, monkeypatch, few, local, size):
     monkeypatch.setattr(sampling, "_FEW", few)
+    monkeypatch.setattr(sampling, "LOCAL_ROWS", local)
     df = spark.range(3000).selectExpr("id % 1000 id", "id % 7 s", "id div 1500 half")
     for out in (sampling.uniform_sample(df, size), sampling.stratified_sample(df, size, stratum="s")):
         assert out.count() == size and out.exceptAll(df).count() == 0
@@ -74,7 +83,41 @@ def test_repeated_ids_and_equal_rows(spark, monkeypatch, few, size):
     assert sampling.stratified_sample(same, 77, stratum="s").count() == 77
 
 
-def test_rows_without_id_are_refused(spark):
+def test_text_strata_and_clashing_names(spark, summaries):
+    rows = [(i, None if i % 9 == 0 else "äbz"[i % 3], i % 4, -i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, s string, size long, take long")
+    out = sampling.stratified_sample(df, 50, stratum="s")
+    assert out.columns == df.columns
+    assert sorted(r.id for r in out.collect()) == by_hand([r[:2] for r in rows], 50)
+    report = sampling.stratum_quotas(df, 50, stratum="s", order="id")
+    assert sorted(r["size"] for r in report.collect()) == [45, 89, 133, 133]
+
+
+def test_strata_of_numbers_with_fractions(spark):
+    df = spark.range(400).selectExpr("id", "if(id % 5 = 0, double('nan'), id % 3 / 2) s")
+    out = sampling.stratified_sample(df, 60, stratum="s")
+    assert out.count() == 60
+
+
+def _jobs(spark, work):
+    context = spark.sparkContext
+    context.setJobGroup("counted", "")
+    try:
+        work()
+        return len(context.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_sample_takes_few_jobs(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "id % 5 s").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    uniform = _jobs(spark, lambda: sampling.uniform_sample(df, 300).collect())
+    stratified = _jobs(spark, lambda: sampling.stratified_sample(df, 301, stratum="s").collect())
+    assert 2 < uniform <= 8 and 2 < stratified <= 12, (uniform, stratified)
+
+
+def test_rows_without_id_are_refused(spark, summaries):
     df = spark.createDataFrame([(1, 1), (None, 1)], "id long, s long")
     with pytest.raises(ValueError):
         sampling.uniform_sample(df, 1)

@@ -7,7 +7,8 @@ import pytest
 from annoweave.functions.scalars import clean_name, local_name
 from annoweave.operators import triples
 from annoweave.plans.ontology import generate_from_file, left_out
-from annoweave.sinks.triples import read_xml, write_triples
+from annoweave.sinks import triples as sink
+from annoweave.sinks.triples import read_grouped, read_xml, write_triples
 from annoweave.sources.taxonomy import incomplete_categories, read_categories
 from conftest import taxon
 from pyspark.sql import functions as F
@@ -124,8 +125,58 @@ def test_from_file(spark, tmp_path, fmt, name):
         path.write_text(json.dumps(SAMPLE, indent=1))
     found = generate_from_file(spark, str(path), str(tmp_path / "out"), fmt, WORDS)
     assert found.count() == 46
-    if fmt != "xml":
+    if fmt == "nt":
         assert spark.read.text(str(tmp_path / "out")).count() == 46
+    if fmt in ("turtle", "n3"):
+        back = read_grouped(spark, str(tmp_path / "out"), WORDS)
+        assert back.count() == 46 and back.exceptAll(found).isEmpty()
+
+
+TRIPLES = "subject string, predicate string, object string, object_kind string, datatype string"
+HARD = ["", " ", '"', "\\", "\\\\", '\\"', "\\n", "\\\n", "a .\nb", "a ;\n    b", "a ,\n        b", '"^^<x>', "x\"^^xsd:y",
+        "@prefix", "\r\n\t", "<a>", "ex:b", "\u2028é\U0001f600"]
+
+
+def test_turtle_groups_by_subject_below_prefixes(spark, tmp_path):
+    base, path = WORDS.base, str(tmp_path / "t")
+    rows = [(base + "A", triples.RDF_TYPE, triples.CLASS, "iri", None),
+            (base + "A", triples.LABEL, "a", "literal", None), (base + "A", triples.LABEL, "b", "literal", None),
+            (base + "A", base + "n", "5", "literal", triples.INTEGER),
+            (base + "x/y", triples.SEE_ALSO, "http://else.org/#q", "iri", None)]
+    write_triples(spark.createDataFrame(rows, TRIPLES).coalesce(1), path, "turtle", WORDS)
+    texts = [open(n).read() for n in glob.glob(f"{path}/part-*")]
+    texts = [t for t in texts if t]
+    body = "".join("".join(t.partition("@prefix wardrobe: <http://example.com/o/> .\n")[2]) for t in texts)
+    assert all(t.startswith(f"@prefix rdf: <{triples.RDF}> .\n") for t in texts)
+    if len(texts) == 1:
+        assert body == ("""<http://example.com/o/x/y>
+    rdfs:seeAlso <http://else.org/#q> .
+wardrobe:A
+    a owl:Class ;
+    rdfs:label "a" ,
+        "b" ;
+    wardrobe:n "5"^^xsd:integer .
+""")
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+@pytest.mark.parametrize("name", ["Wardrobe", "Two words", "owl"])
+def test_turtle_is_read_back(spark, monkeypatch, tmp_path, rows, most, name):
+    """Also literals that look like syntax, and a subject in several statements."""
+    monkeypatch.setattr(sink, "_STATEMENT", most)
+    words = triples.Vocabulary(base="http://example.com/o/", dataset=name)
+    given = [(words.base + s, p, o, "literal", d) for s in ("A", "b-c", "") for o in HARD
+             for p in (triples.LABEL, words.base + "p", triples.RDF_TYPE)
+             for d in (None, triples.TEXT, "http://else.org/t")]
+    given += [(words.base + "A", words.base + f"q{i % 7}", f"http://else.org/{i}", "iri", None) for i in range(50)]
+    found = spark.createDataFrame(given, TRIPLES).repartition(4)
+    write_triples(found, str(tmp_path / "t"), "turtle", words)
+    assert rows(read_grouped(spark, str(tmp_path / "t"), words), *found.columns) == rows(found)
+
+
+def test_no_triples(spark, tmp_path):
+    write_triples(spark.createDataFrame([], TRIPLES), str(tmp_path / "t"), "n3", WORDS)
+    assert read_grouped(spark, str(tmp_path / "t"), WORDS).isEmpty()
 
 
 def test_unknown_format(spark, sample, tmp_path):
