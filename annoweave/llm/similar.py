@@ -13,9 +13,10 @@ inside a component, and loses no link between components. ``exact_links`` and ``
 candidate pair of classes instead: their work grows with the pairs of a group, which is the size of their
 result where most of them link.
 
-Defined cases: a null or empty text has no shingles and no links; a null doc_id takes part through
-documents of an equal set only; rows that share a doc_id are one document with the links of each. An
-empty table gives no rows. Extra columns are not read.
+Defined cases: a null or empty text has no shingles and no links; rows without a doc_id take part like
+others, those of one text as one document, and where no document of a component has an id the component
+has none; rows that share a doc_id are one document with the links of each. An empty table gives no rows.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -142,9 +143,15 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
-def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set (null without shingles) and its prefix under the first order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, rows without an id under one of their text, above any usual id."""
+    of_text = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), of_text).alias("doc_id"), "text",
+                       F.col("doc_id").isNotNull().alias("named"))
+
+
+def _prefixes(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
+    """doc_id, named, n, digest of the set (null without shingles) and its prefix under the first order."""
     shift = 64 - _range_bits(docs.sparkSession) - _VALUE_BITS
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +165,12 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
             ends = np.cumsum([0] + [len(f) for f in first])
             flat = np.concatenate(first) if first else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["doc_id", "n", "digest", "first"])
+                ["doc_id", "named", "n", "digest", "first"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "doc_id long, n long, digest binary, first array<long>")
+    return _keyed(docs).mapInArrow(
+        work, "doc_id long, named boolean, n long, digest binary, first array<long>")
 
 
 def _may_link(na, pa_, nb, pb, percent: int):
@@ -246,9 +253,8 @@ def _paired(percent: int):
     return work
 
 
-def _other_orders(docs: DataFrame, ids: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+def _other_orders(docs: DataFrame, ids: DataFrame, shared, width: int, percent: int) -> DataFrame:
     """doc_id, n, the whole set, and its prefixes under the other orders, for the given ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     shift = 64 - _range_bits(docs.sparkSession) - _VALUE_BITS
     names = ["doc", "n", "whole"] + [f"p{k}" for k in range(1, ORDERS)]
 
@@ -268,8 +274,7 @@ def _other_orders(docs: DataFrame, ids: DataFrame, frequent, width: int, percent
                     + [lists([_ordered(s, often, shift, k, prefix_length(len(s), percent)) for s in sets])
                        for k in range(1, ORDERS)], names)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    chosen = keep_matching(chosen, ids, "doc_id", "doc")
+    chosen = keep_matching(_keyed(docs).drop("named"), ids, "doc_id", "doc")
     schema = "doc long, n long, whole array<long>, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))
     return chosen.mapInArrow(work, schema)
 
@@ -328,15 +333,19 @@ def _remaining(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reached by links) of every document."""
-    frequent = frequent_shingles(docs, width)
-    prefixes = stored(_prefixes(docs, frequent, width, percent), "similar-prefixes")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
+    prefixes = stored(_prefixes(docs, frequent, width, percent)
+                      .withColumn("row", F.monotonically_increasing_id()), "similar-prefixes")
+    first = F.min(F.struct("doc_id", "row"))
     classes = (prefixes.where("digest is not null").groupBy("digest")
-               .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+               .agg(first["doc_id"].alias("rep"), first["row"].alias("first_row"),
+                    F.min(F.when(F.col("named"), F.col("doc_id"))).alias("least"),
+                    F.count(F.lit(1)).alias("copies")))
     classes = stored(classes, "similar-classes")
-    # Only the smallest id of each class goes on; classes of one document need no look-up.
-    several = classes.where("copies > 1").select("digest", "rep")
-    alone = (prefixes.where("digest is not null and doc_id is not null").join(several, "digest", "left")
-             .where("rep is null or rep = doc_id"))
+    # Only one row of the smallest id of each class goes on; classes of one document need no look-up.
+    several = classes.where("copies > 1").select("digest", "first_row")
+    alone = (prefixes.where("digest is not null").join(several, "digest", "left")
+             .where("first_row is null or first_row = row"))
     rows = (alone.select("doc_id", "n", F.posexplode("first").alias("place", "token"))
             .select("token", F.col("doc_id").alias("doc"), "n", F.col("place").cast("long").alias("place")))
     raw = (rows.repartition("token").sortWithinPartitions("token", "place", "doc")
@@ -354,9 +363,16 @@ def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
         more = stored(_remaining(members, roots, percent), "similar-remaining")
         links = links.unionByName(_links(more, sets, percent))
         roots = components(links)
-    classes = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        F.col("digest").alias("_digest"), F.coalesce("root", "rep").alias("component"))
-    return (prefixes.select("doc_id", "n", "digest")
+    frequent.destroy()  # all that reads it is stored
+    rooted = classes.select(F.col("digest").alias("_digest"), "rep", "least").join(
+        roots, F.col("rep") == roots["node"], "left")
+    # A root may stand for rows without an id: the smallest id of its classes names the component.
+    names = rooted.where("root is not null").groupBy(F.col("root").alias("_root")).agg(
+        F.min("least").alias("name"))
+    classes = rooted.join(names, F.col("root") == F.col("_root"), "left").select(
+        "_digest", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
+    own = F.when(F.col("named"), F.col("doc_id"))
+    return (prefixes.select(own.alias("doc_id"), "n", "digest")
             .join(classes, F.col("digest") == F.col("_digest"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component", "doc_id").alias("component_id")))
@@ -396,7 +412,7 @@ def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
     keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"),
                                F.col("doc_id").cast("long").alias("own_id"), "text"), "similar-keyed")
     named = keyed.select(F.col("key").alias("doc_id"), "text")
-    frequent = frequent_shingles(named, width)
+    frequent = named.sparkSession.sparkContext.broadcast(frequent_shingles(named, width))
     prefixes = stored(_prefixes(named, frequent, width, percent), "similar-prefixes")
     classes = stored(prefixes.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")), "similar-classes")
@@ -406,6 +422,7 @@ def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
     pairs = stored(_all_candidates(rows, percent, block), "similar-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "similar-ids")
     sets = stored(_other_orders(named, ids, frequent, width, percent), "similar-sets")
+    frequent.destroy()
     links = stored(_links(pairs, sets, percent), "similar-links")
     members = (prefixes.select("doc_id", F.col("n").alias("n_shingles"), "digest")
                .join(classes, "digest", "left")

@@ -73,20 +73,21 @@ def roots(nodes, links):
 
 
 def similar(rows, width, percent):
-    """(doc_id, n_shingles, component_id) of every row, all pairs compared."""
-    sets = [(d, shingles(t, width)) for d, t in rows]
-    named = [(d, s) for d, s in sets if d is not None and s]
+    """(doc_id, n_shingles, component_id) of every row, all pairs compared.
+
+    Rows with one id are one document, rows without an id one for each text.
+    """
+    nodes = [(0, d, "") if d is not None else (1, 0, t or "") for d, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
+    full = [(n, s) for n, s in zip(nodes, sets) if s]
     links = []
-    for i, (a, x) in enumerate(named):
-        for b, y in named[:i]:
+    for i, (a, x) in enumerate(full):
+        for b, y in full[:i]:
             common = len(x & y)
             if 100 * common >= percent * (len(x) + len(y) - common):
                 links.append((a, b))
-    found = roots({d for d, _ in sets if d is not None}, links)
-    same = {}
-    for d, s in named:
-        same[frozenset(s)] = min(found[d], same.get(frozenset(s), found[d]))
-    return [(d, len(s), found[d] if d is not None else same.get(frozenset(s))) for d, s in sets]
+    found = roots(set(nodes), links)
+    return [(d, len(s), found[n][1] if found[n][0] == 0 else None) for (d, _), n, s in zip(rows, nodes, sets)]
 
 
 def line_dedup(rows, min_lines, min_words):

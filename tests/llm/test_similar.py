@@ -21,6 +21,20 @@ def test_equals_all_pairs(docs, width, percent):
         brute.similar(rows, width, percent), key=repr)
 
 
+def test_links_through_rows_without_an_id(spark):
+    """Neither equal set links the outer two; the row between them does, whatever its id."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w) for w in (["x", "y"] + words, ["x"] + words, words, words + ["z"], words[:-3] + ["q"])]
+    alone = " ".join(f"v{i}" for i in range(30))
+    for ids in ((1, None, None, None, 2), (None,) * 5, (2 ** 62 + 5, None, None, 2 ** 63 - 1, None), (4, 3, 2, 1, 0)):
+        rows = [(i, t) for i, t in zip(ids, texts)] + [(None, alone), (None, alone + " u"), (None, None), (77, "")]
+        rows += rows[1:3] * 40
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = sorted(brute.similar(rows, 5, 90), key=repr)
+        assert found(similar.join_similar(df, width=5, percent=90)) == want
+    assert {c for _, n, c in want if n > 40} == {0}
+
+
 def test_extra_columns_change_nothing(docs, cluttered):
     assert found(similar.join_similar(cluttered)) == found(similar.join_similar(docs))
 
