@@ -12,6 +12,7 @@ there are at most ``len(KINDS) * 3 ** len(LABELERS)``.
 
 Positions are code points. Patterns are possessive and start only where a run starts, so that long runs
 of digits or letters take linear time and no deep recursion; their matches are those of the plain forms.
+Spans of a text are gathered in blocks, so that a text of very many matches does not copy them again for each.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are judged one by one; an
 empty table gives no rows. Extra columns are not read.
@@ -33,6 +34,7 @@ THRESHOLD = 0.5
 _CONTEXT = 24
 _EM_STEPS = 40
 _FIT_STEPS = 400
+_BLOCK = 64  # spans folded at a time
 
 # The patterns of the four base kinds, then of the further candidates.
 PATTERNS = {
@@ -65,6 +67,45 @@ _BEFORE = {"email": r"(?i)(?:mail|contact|kontakt|contacto|write)[^A-Za-z]*$",
 _BEFORE_NOT = r"(?i)(?:version|page|isbn|doi|chapter|section|https?|commit|sha|digest)[^A-Za-z]*$"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, the value being worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(items: Column, kind: str, carry: Column, step) -> Column:
+    """The array of what ``step(carry, item)``, a pair (next carry, element of the type ``kind``), gives in turn.
+
+    A fold copies its state at every step, so an array that grows in one would take quadratic time. Here the
+    items are cut into blocks; a first fold gives the carry (an int) each block starts with, a second one the
+    elements of a block.
+    """
+    def none(of: str) -> Column:
+        return F.coalesce(F.lit(None).cast(of), F.array().cast(of))
+
+    def cut(all_: Column) -> Column:
+        last = F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def starts(blocks: Column) -> Column:
+        def over(state: Column, block: Column) -> Column:
+            passed = F.aggregate(block, state["carry"], lambda c, x: step(c, x)[0])
+            return F.struct(passed.alias("carry"), F.concat(state["all"], F.array(state["carry"])).alias("all"))
+
+        first = F.struct(carry.alias("carry"), none("array<int>").alias("all"))
+        return F.aggregate(blocks, first, over, lambda state: state["all"])
+
+    def within(block: Column) -> Column:
+        def append(state: Column, item: Column) -> Column:
+            following, element = step(state["carry"], item)
+            return F.struct(following.alias("carry"), F.concat(state["out"], F.array(element)).alias("out"))
+
+        first = F.struct(block["start"].alias("carry"), none(f"array<{kind}>").alias("out"))
+        return F.aggregate(block["items"], first, append, lambda state: state["out"])
+
+    return _let(items, lambda all_: _let(cut(all_), lambda blocks: F.flatten(F.transform(
+        F.arrays_zip(blocks.alias("items"), starts(blocks).alias("start")), within))))
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches with their places and the text just before them.
 
@@ -73,19 +114,17 @@ def _matches(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
                         F.split(text, pattern, -1).alias("gap"))
-    none = F.lit(None).cast("array<struct<start:int,end:int,hit:string,before:string>>")
-    empty = F.coalesce(none, F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>"))
+    match = "struct<start:int,end:int,hit:string,before:string>"
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"),
-                       F.right(x["gap"], F.lit(_CONTEXT)).alias("before"))
-        return F.when(x["hit"].isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out")))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"),
+                             F.right(x["gap"], F.lit(_CONTEXT)).alias("before"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    found = F.aggregate(both, start, step, lambda state: state["out"])
+    # The piece after the last match is beside no hit.
+    found = F.filter(_scan(both, match, F.lit(0), step), lambda m: m["hit"].isNotNull())
+    empty = F.array().cast(f"array<{match}>")
     return F.when(text.rlike(_NEEDED[kind]), found).otherwise(empty)
 
 
@@ -227,11 +266,22 @@ def find(docs: DataFrame) -> DataFrame:
     counts = sorted((r["kind"], tuple(r[name] for name in LABELERS), r["count"]) for r in votes.collect())
     weights = fit(counts)
     base = F.filter("found", lambda c: c["sure"])
-    likely = F.filter("found", lambda c: ~c["sure"] & (_score(weights, c) > THRESHOLD))
-    rows = rows.select("doc_id", base.alias("base"), likely.alias("likely"))
-    apart = F.filter("likely", lambda c: ~F.exists(
-        "base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.select("doc_id", "base", apart.alias("added"))
+    taken = F.array_sort(F.filter("found", lambda c: c["sure"] | (_score(weights, c) > THRESHOLD)))
+    rows = rows.select("doc_id", base.alias("base"), taken.alias("taken"))
+
+    # By start, a span overlaps base spans before it up to the furthest end of these, and the next one
+    # after it if that starts before its own end.
+    def ahead(reach: Column, c: Column) -> tuple[Column, Column]:
+        return F.when(c["sure"], F.greatest(reach, c["end"])).otherwise(reach), c["start"] < reach
+
+    def behind(following: Column, c: Column) -> tuple[Column, Column]:
+        return F.when(c["sure"], c["start"]).otherwise(following), c["end"] > following
+
+    before = _scan(F.col("taken"), "boolean", F.lit(0), ahead)
+    after = F.reverse(_scan(F.reverse("taken"), "boolean", F.lit(2 ** 31 - 1), behind))
+    marked = F.arrays_zip(F.col("taken").alias("c"), before.alias("before"), after.alias("after"))
+    apart = F.filter(marked, lambda m: ~m["c"]["sure"] & ~m["before"] & ~m["after"])
+    return rows.select("doc_id", "base", F.transform(apart, lambda m: m["c"]).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -250,14 +300,13 @@ def redact(docs: DataFrame) -> DataFrame:
     joined = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("_doc")))
     name = F.array(*[F.lit(k) for k in KINDS])
     order = F.array_sort(F.transform("_spans", lambda c: F.struct(c["start"], c["end"], c["kind"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, c: Column) -> Column:
-        kept = F.substring(F.col("text"), state["at"] + 1, F.greatest(c["start"] - state["at"], F.lit(0)))
-        mark = F.when(c["start"] >= state["at"], F.concat(F.lit("<"), name[c["kind"]], F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(state["at"], c["end"]).alias("at"),
-                        F.concat(state["out"], kept, mark).alias("out"))
+    def step(at: Column, c: Column) -> tuple[Column, Column]:
+        kept = F.substring(F.col("text"), at + 1, F.greatest(c["start"] - at, F.lit(0)))
+        mark = F.when(c["start"] >= at, F.concat(F.lit("<"), name[c["kind"]], F.lit(">"))).otherwise("")
+        return F.greatest(at, c["end"]), F.concat(kept, mark)
 
-    done = F.aggregate(order, start, step)
-    rest = F.substring(F.col("text"), done["at"] + 1, F.length("text"))
-    return joined.select("doc_id", F.concat(done["out"], rest).alias("text"))
+    last = F.coalesce(F.array_max(F.transform("_spans", lambda c: c["end"])), F.lit(0))
+    rest = F.substring(F.col("text"), last + 1, F.length("text"))
+    pieces = F.array_join(_scan(order, "string", F.lit(0), step), "")
+    return joined.select("doc_id", F.concat(pieces, rest).alias("text"))
