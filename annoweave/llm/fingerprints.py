@@ -8,7 +8,8 @@ below it. Equal roots mean equal texts; where roots differ, differing branches l
 
 The written form is ``root:section|section``, a section being paragraphs joined by commas and a
 paragraph its phrases' digests, six hex digits each. Likeness is the Dice coefficient of two texts'
-phrases as multisets, read off the written forms.
+phrases as multisets: by their whole digests of 64 bits where the texts are at hand, else read off the
+written forms, whose short digests meet by chance in texts of many thousand phrases.
 
 Defined cases: a null text counts as empty; two empty texts are alike (1); the empty text and another
 are not (0). Documents follow each other by doc_id, null first, then by text; repeated rows each get
@@ -46,8 +47,8 @@ def _hash(*parts: bytes) -> bytes:
     return hashlib.sha256(b"".join(parts)).digest()
 
 
-def paragraph_node(paragraph: str) -> tuple[bytes, str]:
-    """Digest of a paragraph and its phrases' short digests."""
+def paragraph_node(paragraph: str) -> tuple[bytes, str, bytes]:
+    """Digest of a paragraph, its phrases' short digests, and the whole ones."""
     ends = [m.end() for m in _ENDS.finditer(paragraph)]
     if not ends or ends[-1] < len(paragraph):
         ends.append(len(paragraph))
@@ -59,19 +60,24 @@ def paragraph_node(paragraph: str) -> tuple[bytes, str]:
             whole.append(leaf)
             short.append(leaf[:_SHORT // 2].hex())
             at = stop
-    return _hash(*whole), "".join(short)
+    return _hash(*whole), "".join(short), b"".join(whole)
 
 
 def fingerprint(text: str | None, known: dict | None = None) -> str:
     """The written Merkle tree of a text. ``known`` remembers paragraphs between calls."""
-    known = {} if known is None else known
-    sections, nodes, written, top = [], [], [], []
+    return tree(text, {} if known is None else known)[0]
+
+
+def tree(text: str | None, known: dict) -> tuple[str, np.ndarray]:
+    """The written Merkle tree of a text and the whole digests of its phrases."""
+    sections, nodes, written, top, leaves = [], [], [], [], []
     for paragraph in _PARAGRAPH.findall(text or ""):
         node = known.get(paragraph)
         if node is None:
             node = known[paragraph] = paragraph_node(paragraph)
         nodes.append(node[0])
         written.append(node[1])
+        leaves.append(node[2])
         if not paragraph.strip() or node[0][0] % SECTION_EVERY == 0:
             top.append(_hash(b"s", *nodes))
             sections.append(",".join(written))
@@ -79,7 +85,7 @@ def fingerprint(text: str | None, known: dict | None = None) -> str:
     if nodes:
         top.append(_hash(b"s", *nodes))
         sections.append(",".join(written))
-    return _hash(b"t", *top).hex()[:32] + ":" + "|".join(sections)
+    return _hash(b"t", *top).hex()[:32] + ":" + "|".join(sections), np.frombuffer(b"".join(leaves), np.uint64)
 
 
 def _phrases(written: str) -> Counter:
@@ -94,6 +100,17 @@ def _dice(a: Counter, b: Counter) -> float:
     return 2.0 * sum(min(n, b[x]) for x, n in a.items() if x in b) / whole if whole else 1.0
 
 
+def _counted(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(leaves, return_counts=True)
+
+
+def _dice_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The Dice coefficient of two multisets of whole digests."""
+    whole = int(a[1].sum() + b[1].sum())
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return 2.0 * int(np.minimum(a[1][i], b[1][j]).sum()) / whole if whole else 1.0
+
+
 def likeness(a: str, b: str) -> float:
     """How alike two fingerprinted texts are, 0 to 1; equal roots are 1."""
     return 1.0 if a[:32] == b[:32] else _dice(_phrases(a), _phrases(b))
@@ -140,7 +157,7 @@ def _results(schema):
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         chars = 0
-        last = None  # part, doc_id, text, its paragraphs, its fingerprint
+        last = None  # part, doc_id, text, its paragraphs, its fingerprint, its counted phrases
         for batch in batches:
             for part, doc_id, text, extra in zip(*batch.columns):
                 part, extra, text = part.as_py(), extra.as_py(), text.as_py() or ""
@@ -149,19 +166,19 @@ def _results(schema):
                 if extra and last is None:
                     continue  # a further extra row: the first one has been used
                 known: dict = {}
-                own = fingerprint(text, known)
+                own, leaves = tree(text, known)
+                counted = _counted(leaves)
                 if last is not None:
-                    _, before, old, paragraphs, old_print = last
+                    _, before, old, paragraphs, old_print, phrases = last
                     new = edited(old, text)
-                    new_print = fingerprint(new, paragraphs | known)
-                    phrases = _phrases(old_print)
-                    near = [1.0 if old_print[:32] == other[:32] else _dice(phrases, _phrases(other))
-                            for other in (new_print, own)]
+                    new_print, new_leaves = tree(new, paragraphs | known)
+                    near = [1.0 if old_print[:32] == other[:32] else _dice_of(phrases, theirs)
+                            for other, theirs in ((new_print, _counted(new_leaves)), (own, counted))]
                     out.append((before, len(old),
                                 hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(),
                                 old_print, new_print, *near))
                     chars += len(old)
-                last = None if extra else (part, doc_id.as_py(), text, known, own)
+                last = None if extra else (part, doc_id.as_py(), text, known, own, counted)
                 if chars > _EMIT_CHARS:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema.names)
