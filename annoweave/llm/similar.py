@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.common import stored
+from annoweave.llm.common import stored, text_batches
 from annoweave.llm.components import components
 from annoweave.llm.shingles import mix, shingle_sets
 from annoweave.operators.joins import keep_matching
@@ -334,8 +334,9 @@ def _remaining(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reached by links) of every document."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
-    prefixes = stored(_prefixes(docs, frequent, width, percent)
-                      .withColumn("row", F.monotonically_increasing_id()), "similar-prefixes")
+    with text_batches(docs.sparkSession):
+        prefixes = stored(_prefixes(docs, frequent, width, percent)
+                          .withColumn("row", F.monotonically_increasing_id()), "similar-prefixes")
     first = F.min(F.struct("doc_id", "row"))
     classes = (prefixes.where("digest is not null").groupBy("digest")
                .agg(first["doc_id"].alias("rep"), first["row"].alias("first_row"),
@@ -356,7 +357,9 @@ def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     pairs = stored(pairs, "similar-distinct")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(
         members.select(F.col("b").alias("doc"))).distinct()
-    sets = stored(_other_orders(docs, stored(ids, "similar-ids"), frequent, width, percent), "similar-sets")
+    ids = stored(ids, "similar-ids")
+    with text_batches(docs.sparkSession):
+        sets = stored(_other_orders(docs, ids, frequent, width, percent), "similar-sets")
     links = stored(_links(pairs, sets, percent), "similar-links")
     roots = components(links)
     if not members.isEmpty():
@@ -413,7 +416,8 @@ def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
                                F.col("doc_id").cast("long").alias("own_id"), "text"), "similar-keyed")
     named = keyed.select(F.col("key").alias("doc_id"), "text")
     frequent = named.sparkSession.sparkContext.broadcast(frequent_shingles(named, width))
-    prefixes = stored(_prefixes(named, frequent, width, percent), "similar-prefixes")
+    with text_batches(named.sparkSession):
+        prefixes = stored(_prefixes(named, frequent, width, percent), "similar-prefixes")
     classes = stored(prefixes.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")), "similar-classes")
     first = prefixes.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
@@ -421,7 +425,8 @@ def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
             .select("token", "doc", "n", F.col("place").cast("long").alias("place")))
     pairs = stored(_all_candidates(rows, percent, block), "similar-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "similar-ids")
-    sets = stored(_other_orders(named, ids, frequent, width, percent), "similar-sets")
+    with text_batches(named.sparkSession):
+        sets = stored(_other_orders(named, ids, frequent, width, percent), "similar-sets")
     frequent.destroy()
     links = stored(_links(pairs, sets, percent), "similar-links")
     members = (prefixes.select("doc_id", F.col("n").alias("n_shingles"), "digest")
