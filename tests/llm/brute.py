@@ -111,6 +111,22 @@ def line_dedup(rows, min_lines, min_words):
     return out
 
 
+def line_runs(rows, min_lines):
+    """(doc_id, pos, lines) of each longest repeated run that is not the rest of a longer one."""
+    texts = [(d, t.split("\n")) for d, t in set(rows) if t is not None]
+    longest = {}
+    for i, (d, x) in enumerate(texts):
+        for p in range(len(x)):
+            for j, (_, y) in enumerate(texts):
+                for q in range(len(y)):
+                    n = 0
+                    while (i, p) != (j, q) and p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    longest[i, p] = max(longest.get((i, p), 0), n)
+    return sorted((texts[i][0], p, n) for (i, p), n in longest.items()
+                  if n >= min_lines and longest.get((i, p - 1)) != n + 1)
+
+
 def top_k(vectors, queries, k):
     out = []
     for q, v in queries:

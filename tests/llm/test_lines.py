@@ -23,6 +23,16 @@ def test_equals_brute_force(spark, docs, min_lines, min_words):
     assert run(df, min_lines=min_lines, min_words=min_words) == brute.line_dedup(rows, min_lines, min_words)
 
 
+@pytest.mark.parametrize("min_lines", [1, 3, 6])
+def test_maximal_runs(spark, min_lines):
+    block = ["a", "b", "", "c", "d", "e", "f", "g", "h"]
+    rows = [(i, "\n".join(block[i % 4:] + [f"own {i}"] + block[: 2 + i])) for i in range(6)]
+    rows += [(10, "\n".join(["again"] * 9)), (11, "again\nagain"), (12, None), (13, ""), (14, "alone\nb\nalone too")]
+    found = lines.runs(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=min_lines)
+    got = sorted((r.doc, r.pos, r.n_lines) for r in found.collect())
+    assert got == brute.line_runs(rows, min_lines) and len(got) > 4
+
+
 def test_columns_are_kept(cluttered):
     done = lines.without_repeats(cluttered)
     assert done.columns == cluttered.columns + ["n_lines", "n_deleted"]
