@@ -10,7 +10,7 @@ from annoweave.llm import queries
 
 def test_everything_is_registered():
     names = list(contract.queries())
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
     assert "pipeline" not in contract.oracle_sql()
 
