@@ -43,6 +43,7 @@ ORDERS = 3
 _ROWS = 512  # documents whose whole sets a task holds at once
 _HELD = 1 << 20  # shingles a task gathers before it writes them out
 _VALUE_BITS = 32
+_BLOBS = 200  # rows of packed hashes, or whole texts, in an Arrow batch while shingles are counted
 #: Rows of a block of a large group; a task of the exact mode pairs two blocks.
 BLOCK = 1024
 
@@ -107,8 +108,10 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
             yield out()
 
     ranges = docs.select("text").mapInArrow(gather, "part int, hashes binary")
-    counted = stored(ranges.repartition("part").sortWithinPartitions("part")
-                     .mapInArrow(count, "key long, n long"), "similar-frequent")
+    # A row of hashes may take tens of kilobytes, so they too go to Python few at a time.
+    with text_batches(spark, _BLOBS):
+        counted = stored(ranges.repartition("part").sortWithinPartitions("part")
+                         .mapInArrow(count, "key long, n long"), "similar-frequent")
     counted = counted.withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
     # Whole classes, from the most frequent down, as far as the bound allows.
     sizes = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}
