@@ -17,6 +17,7 @@ are not read.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -35,7 +36,9 @@ SAMPLE_DOCUMENTS = 300
 SAMPLE_WORDS = 25_000
 UNKNOWN = "und"
 HELD_OUT = 2
-_CACHED_GRAMS = 400_000
+#: Grams whose costs a task remembers, and words worked out between two looks at that number.
+_CACHED_GRAMS = 200_000
+_WORDS = 5_000
 _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                         T.StructField("bits_per_byte", T.DoubleType())])
 
@@ -118,20 +121,26 @@ def learn(docs: DataFrame, *, documents: int = SAMPLE_DOCUMENTS, words: int = SA
     return Trees(tuple(r) for r in grams.toLocalIterator())
 
 
-def _word_costs(trees: Trees, words: list[str], rows: dict[bytes, int], costs: list) -> np.ndarray:
-    """Code length of each word in each language. ``rows`` and ``costs`` remember grams."""
-    found, ends = [], []
-    for word in words:
-        for gram in _grams(word.encode("utf-8", "surrogatepass")):
-            row = rows.get(gram)
-            if row is None:
-                row = rows[gram] = len(costs)
-                costs.append(trees.cost(gram))
-            found.append(row)
-        ends.append(len(found))
-    if not words:
-        return np.zeros((0, len(trees.languages)))
-    return sums(np.array(costs)[found], np.array(ends))
+def _word_costs(trees: Trees, words: list[str], known: dict[bytes, int], costs: array) -> np.ndarray:
+    """Code length of each word in each language. ``known`` and ``costs`` remember grams."""
+    kinds = len(trees.languages)
+    done = np.zeros((len(words), kinds))
+    for at in range(0, len(words), _WORDS):
+        if len(known) > _CACHED_GRAMS:
+            known.clear()
+            del costs[:]
+        found, ends = [], []
+        for word in words[at:at + _WORDS]:
+            for gram in _grams(word.encode("utf-8", "surrogatepass")):
+                row = known.get(gram)
+                if row is None:
+                    row = known[gram] = len(known)
+                    costs.extend(trees.cost(gram))
+                found.append(row)
+            ends.append(len(found))
+        table = np.array(costs).reshape(-1, kinds)
+        done[at:at + _WORDS] = sums(table[found], np.array(ends))
+    return done
 
 
 def predict(docs: DataFrame, trees: Trees, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -146,8 +155,8 @@ def predict(docs: DataFrame, trees: Trees, keep: Sequence[str] = ("doc_id",)) ->
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        rows: dict[bytes, int] = {}
-        costs: list[list[float]] = []
+        known: dict[bytes, int] = {}
+        costs = array("d")  # a row of all languages for each gram
         for batch in batches:
             sizes: list[int] = []  # bytes of each text that can be told, else 0
 
@@ -160,9 +169,7 @@ def predict(docs: DataFrame, trees: Trees, keep: Sequence[str] = ("doc_id",)) ->
 
             bits = []
             for words, ids, ends in runs(lowered(), str.split):
-                if len(costs) > _CACHED_GRAMS:
-                    rows, costs = {}, []
-                bits.append(sums(_word_costs(model, words, rows, costs)[ids], ends))
+                bits.append(sums(_word_costs(model, words, known, costs)[ids], ends))
             names, sure, rate = [], [], []
             for size, lengths in zip(sizes, (row for part in bits for row in part)):
                 if size:
