@@ -155,6 +155,10 @@ def merges(model: Model, symbols: list[str]) -> list[str]:
     return symbols
 
 
+#: Pairs of tokens a worker remembers: about 250 bytes each.
+_KNOWN_PAIRS = 250_000
+
+
 class Merged:
     """Which tokens can follow each other in the result of byte-pair merging.
 
@@ -171,7 +175,7 @@ class Merged:
         key = (before, token)
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) >= _KNOWN_PAIRS:
                 self.known.clear()
             want = [before, token] if before else [token]
             found = self.known[key] = merges(self.model, list(before + token)) == want
