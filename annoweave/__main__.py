@@ -11,7 +11,7 @@ from annoweave.plans.ontology import generate_from_file
 from annoweave.plans.report import comparison_report, dataset_report
 from annoweave.session import build_session, path_exists, size_shuffles
 from annoweave.sinks.tables import FILE_FORMATS, export_csv, folder_bytes
-from annoweave.sinks.triples import LINE_FORMATS
+from annoweave.sinks.triples import GROUPED_FORMATS
 from annoweave.sources.tables import read_tables
 
 
@@ -35,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     owl = commands.add_parser("ontology", help="turn a category file into triples")
     owl.add_argument("input")
     owl.add_argument("output")
-    owl.add_argument("--format", choices=("xml", *LINE_FORMATS), default="xml")
+    owl.add_argument("--format", choices=("xml", "nt", *GROUPED_FORMATS), default="xml")
     owl.add_argument("--base", default=Vocabulary.base)
     owl.add_argument("--dataset", default=Vocabulary.dataset)
     owl.add_argument("--see-also", default=Vocabulary.see_also)
