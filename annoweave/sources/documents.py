@@ -26,6 +26,9 @@ from annoweave.schemas import MEMBER_TYPES, MEMBERS, element_schema, member_sche
 from annoweave.session import path_exists
 
 CORRUPT = "_corrupt_record"
+#: Reader options for files that are one JSON value each. Control characters end no line of valid JSON, so a file
+#: is one line. ``multiLine`` reads the same rows, but fetches every number that is kept as text from the file anew.
+WHOLE_FILES = {"lineSep": "\x1e\x1e\x1e"}
 
 
 class Raw(dict):
@@ -78,7 +81,7 @@ def read_documents(spark: SparkSession, path: str | list[str],
     with one column per member, of which later reads take only the one they need.
     """
     def parsed(*names: str) -> DataFrame:
-        return (spark.read.schema(_checked_schema(*names)).option("multiLine", True)
+        return (spark.read.schema(_checked_schema(*names)).options(**WHOLE_FILES)
                 .option("columnNameOfCorruptRecord", CORRUPT).json(path)
                 .select(F.col("_metadata.file_path").alias("_file"), *names, CORRUPT))
     docs = stage("documents", parsed(*MEMBERS)) if stage else None

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.schemas import element_schema
-from annoweave.sources.documents import typed
+from annoweave.sources.documents import WHOLE_FILES, typed
 
 
 def _as_found(spark: SparkSession, path: str) -> DataFrame:
     schema = element_schema("categories").add("_corrupt_record", "string")
-    return spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
+    return spark.read.schema(schema).options(**({} if path.endswith(".jsonl") else WHOLE_FILES)).json(path)
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
