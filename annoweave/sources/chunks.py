@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annoweave.operators.joins import BROADCAST_ROWS
 from annoweave.schemas import MEMBERS, element_schema
 from annoweave.session import settle
 from annoweave.sources.documents import CORRUPT, Raw
@@ -252,46 +252,58 @@ def structural_index(spark: SparkSession, path: str | list[str], chunk_bytes: in
     return deep.withColumn("sound", sound).select("path", "start", "end", "quoted", "depth", "sound")
 
 
+def _parsed(name: str) -> Column:
+    """The element as one of the member ``name``; null for others, for a JSON null, and for values of another form."""
+    form = (F.col("member") == name) & (F.col("array") == F.lit(name != "info"))
+    schema = element_schema(name).add(CORRUPT, "string").simpleString()
+    return F.when(form & ~F.rlike("text", F.lit(r"^\s*null\s*$")), F.from_json(
+        "text", schema, {"columnNameOfCorruptRecord": CORRUPT}))
+
+
+def _broken() -> Column:
+    """Whether an element is not of its member's form or no valid JSON."""
+    form = F.col("array") == (F.col("member") != "info")
+    return ~form | F.coalesce(*[F.col(f"{name}.{CORRUPT}") for name in MEMBERS]).isNotNull()
+
+
 def read_large_documents(spark: SparkSession, path: str | list[str],
                          stage: Callable[[str, DataFrame], DataFrame] | None = None, *,
                          chunk_bytes: int = CHUNK_BYTES) -> Raw:
     """The members of the documents at ``path``, each document read by as many tasks as it has ranges.
 
-    The rows are those of ``read_documents``. Elements are stored once, by ``stage`` or below the shared folder.
+    The rows are those of ``read_documents``. Elements are cut out and stored once, and parsed and stored once with
+    a column per member, by ``stage`` or below the shared folder.
     """
+    stage = stage or (lambda _, df: settle(df))
     index = settle(structural_index(spark, path, chunk_bytes))
     ranges = index.where("sound").select("path", "start", "end", "quoted", "depth")
-    cut = (stage or (lambda _, df: settle(df)))("elements", _spread(ranges).mapInArrow(
+    cut = stage("elements", _spread(ranges).mapInArrow(
         _cut, "path string, start long, pos long, member string, array boolean, text string"))
     # What ranges know at their start: one row for each.
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    known = cut.where("pos is null").select(
+    known = settle(cut.where("pos is null").select(
         F.col("path").alias("_path"), F.col("start").alias("_start"),
-        F.last("member", True).over(before).alias("_member"), F.last("array", True).over(before).alias("_array"))
-    named = cut.where("pos is not null and member is not null and array is not null")
-    unnamed = cut.where("pos is not null and (member is null or array is null)").join(
+        F.last("member", True).over(before).alias("_member"), F.last("array", True).over(before).alias("_array")))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    found = cut.where("pos is not null").join(
         known, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")))
     # In a value that an earlier range opened, only arrays have elements of their own.
-    unnamed = unnamed.where("array is not null or _array")
-    elements = named.select("path", "pos", "member", "array", "text").unionByName(unnamed.select(
-        "path", "pos", F.coalesce("member", "_member").alias("member"), F.coalesce("array", "_array").alias("array"),
-        "text"))
-    members, broken = {}, []
+    elements = found.where("array is not null or _array").select(
+        "path", "pos", F.coalesce("member", "_member").alias("member"), F.coalesce("array", "_array").alias("array"), "text")
+    parsed = stage("parsed", elements.where(F.col("member").isin(*MEMBERS)).select(
+        "path", "pos", "member", "array", "text", *[_parsed(name).alias(name) for name in MEMBERS]).select(
+        "path", "pos", "member", F.when(_broken(), F.col("text")).alias("text"), *MEMBERS))
+    members = {}
     for name in MEMBERS:
-        own = elements.where((F.col("member") == name))
-        form = F.col("array") == F.lit(name != "info")
-        schema = element_schema(name).add(CORRUPT, "string").simpleString()
-        parsed = own.select("path", "pos", "text", F.when(form & ~F.rlike("text", F.lit(r"^\s*null\s*$")), F.from_json(
-            "text", schema, {"columnNameOfCorruptRecord": CORRUPT})).alias("_item"), form.alias("_form"))
         order = F.struct("path") if name == "info" else F.struct("path", "pos")
-        good = parsed.where(f"_form and _item.{CORRUPT} is null")
-        members[name] = good.select(order.alias("_order"), *[F.col(f"_item.{f}").alias(f)
+        good = parsed.where((F.col("member") == name) & F.col("text").isNull())
+        members[name] = good.select(order.alias("_order"), *[F.col(f"{name}.{f}").alias(f)
                                                              for f in element_schema(name).names])
-        broken.append(parsed.where(f"not _form or _item.{CORRUPT} is not null")
-                      .select(F.col("path").alias("source"), "text"))
+    broken = parsed.where("text is not null").select(F.col("path").alias("source"), "text")
     unsound = index.where("not sound").groupBy(F.col("path").alias("source")).agg(F.concat(
         F.lit("quotes or brackets do not match in a document of "), F.max("end"), F.lit(" bytes")).alias("text"))
-    return Raw(members, reduce(DataFrame.unionByName, [unsound, *broken]))
+    return Raw(members, unsound.unionByName(broken))
 
 
 def largest_file(spark: SparkSession, path: str | list[str]) -> int:

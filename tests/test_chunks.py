@@ -127,3 +127,10 @@ def test_one_large_document_loads_like_lines(spark, tmp_path):
     other = load_lines(spark, str(lines), str(tmp_path / "other"))
     for name in TABLES:
         assert sorted(one[name].collect(), key=repr) == sorted(other[name].collect(), key=repr)
+
+
+def test_elements_are_parsed_once(spark, document):
+    """What uses a member reads columns that are stored already."""
+    raw = chunks.read_large_documents(spark, document(odd_document(5)), chunk_bytes=200)
+    for df in (raw["annotations"], raw.damaged, raw.unconverted):
+        assert "from_json" not in df._jdf.queryExecution().toString()
