@@ -34,7 +34,8 @@ from annoweave.sources.documents import CORRUPT, Raw
 
 #: Bytes of a range. An element that is longer is still read whole, by the task it starts in.
 CHUNK_BYTES = 16 << 20
-_MORE = 1 << 20  # bytes read at once to finish an element
+_MORE = 1 << 20  # bytes sent on at once, and the most that is read at once to finish an element
+_FIRST = 1 << 12  # bytes read first to finish an element: most end soon
 _QUOTE, _COMMA, _COLON, _BACKSLASH = b'",:\\'
 # What each byte does to the depth, and which bytes matter outside of quotes.
 _STEP = np.zeros(256, dtype=np.int8)
@@ -133,11 +134,11 @@ def _key_before(file, colon: int) -> str:
 
 def _finish(file, at: int, quoted: bool, depth: int, array: bool) -> bytes:
     """The rest of an element that goes on at byte ``at``; a document that ends first ends it as well."""
-    parts = []
+    parts, size = [], _FIRST
     while True:
         before = _run_before(file, at)
         file.seek(at)
-        piece = file.read(_MORE)
+        piece = file.read(size)
         data = np.frombuffer(piece, dtype=np.uint8)
         quotes, marks, steps = _marks(data, before, quoted)
         after = depth + np.cumsum(steps, dtype=np.int64)
@@ -148,7 +149,7 @@ def _finish(file, at: int, quoted: bool, depth: int, array: bool) -> bytes:
         if not piece:
             return b"".join(parts)
         parts.append(piece)
-        at += len(piece)
+        at, size = at + len(piece), min(4 * size, _MORE)
         quoted = (len(quotes) + quoted) % 2 == 1
         depth = int(after[-1]) if len(after) else depth
 

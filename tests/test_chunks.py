@@ -134,3 +134,28 @@ def test_elements_are_parsed_once(spark, document):
     raw = chunks.read_large_documents(spark, document(odd_document(5)), chunk_bytes=200)
     for df in (raw["annotations"], raw.damaged, raw.unconverted):
         assert "from_json" not in df._jdf.queryExecution().toString()
+
+
+def test_little_is_read_to_finish_an_element(tmp_path):
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps(dataset([image(i) for i in range(10_000)], [])))
+    read = []
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def seek(self, at):
+            return self.file.seek(at)
+
+        def read(self, size):
+            piece = self.file.read(size)
+            read.append(len(piece))
+            return piece
+
+    with open(path, "rb") as file:
+        whole = file.read()
+        at = whole.index(b'{"id": 500,')
+        element = chunks._finish(Counting(file), at, False, 2, True)
+    assert json.loads(element) == image(500) and sum(read) < 1 << 14
+    assert len(whole) > 1 << 20
