@@ -4,8 +4,9 @@ Within a batch the first row of a key stays and later ones are set apart. An app
 keys of earlier loads. These are stored by bucket: neighbouring ids share a bucket, so a batch of new ids
 reads the few buckets its own ids fall in, however many keys there are.
 
-Keys are counted with partial sums, so one key held by very many rows is one row for each task; only rows of
-repeated keys are looked up. Rows with a null in their key are no duplicates of each other and stay.
+Keys are dealt to tasks of about ``TASK_ROWS`` rows each before they are counted, however many there are; a key held
+by very many rows is dealt to several tasks first. Only rows of repeated keys are looked up. Rows with a null in
+their key are no duplicates of each other and stay.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from annoweave.session import settle
 #: Consecutive ids of a bucket, and the number of buckets they are dealt to.
 BUCKET_IDS = 1 << 16
 BUCKETS = 1024
+#: Key rows a task groups or sorts, and tasks that a key held by many rows is dealt to.
+TASK_ROWS = 500_000
+_SALTS = 64
 REJECTED = "`table` string, key string, reason string, row string"
 
 
@@ -40,10 +44,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def _repeated(keys: DataFrame, key: Sequence[str], *place: str) -> DataFrame:
+    """The keys that occur more than once, and with ``place`` its least value as ``_first``; ``keys`` is stored.
+
+    No task groups more than about ``TASK_ROWS`` different keys, before or after the shuffle.
+    """
+    count = keys.count()
+    key = list(key)
+    first = [F.min(place[0]).alias("_first")] if place else []
+    if count <= TASK_ROWS:
+        return keys.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *first).where("_n > 1")
+    salt = F.pmod(F.spark_partition_id(), F.lit(_SALTS))
+    dealt = keys.select(*key, *place, salt.alias("_salt")).repartition(_tasks(count), *key, "_salt")
+    parts = dealt.groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("_n"), *first)
+    again = [F.min("_first").alias("_first")] if place else []
+    return (parts.drop("_salt").repartition(_tasks(count), *key)
+            .groupBy(*key).agg(F.sum("_n").alias("_n"), *again).where("_n > 1"))
+
+
 def with_repeats(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> list[str]:
-    """The names of the tables in which a key occurs more than once, found in one job."""
-    found = [df.where(_complete(keys[name])).groupBy(*keys[name]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-             .select(F.lit(name).alias("name")) for name, df in tables.items()]
+    """The names of the tables in which a key occurs more than once, found in one job over the stored keys."""
+    found = []
+    for name, df in tables.items():
+        stored = settle(df.where(_complete(keys[name])).select(*keys[name]))
+        found.append(_repeated(stored, keys[name]).select(F.lit(name).alias("name")))
     if not found:
         return []
     return sorted(r["name"] for r in reduce(DataFrame.unionByName, found).distinct().collect())
@@ -57,9 +85,9 @@ def split_repeats(rows: DataFrame, key: Sequence[str], order: str | None = None)
     key = list(key)
     stored = settle(rows.withColumn("_row", F.monotonically_increasing_id()))
     place = F.struct(*([order] if order else []), "_row")
-    repeated = settle(stored.where(_complete(key)).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-        .select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col("_first._row").alias("_kept")))
+    keys = stored.where(_complete(key)).select(*key, place.alias("_place"))
+    repeated = settle(_repeated(keys, key, "_place").select(
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col("_first._row").alias("_kept")))
     if repeated.isEmpty():
         return stored.drop("_row"), stored.drop("_row").limit(0)
     same = [F.col(c) == F.col(f"_key{i}") for i, c in enumerate(key)]
@@ -83,7 +111,10 @@ def write_keys(rows: DataFrame, key: Sequence[str], folder: str) -> None:
     """Store the keys of accepted rows by bucket."""
     keys = rows.where(_complete(key)).select(*[F.col(c).cast("bigint").alias(c) for c in key],
                                              bucket_of(key[0]).alias("_bucket"))
-    keys.repartition("_bucket").sortWithinPartitions("_bucket", *key).write.partitionBy("_bucket").parquet(folder)
+    keys = settle(keys)
+    # A bucket is written by one task, and tasks are not merged beyond this number.
+    dealt = keys.repartition(min(BUCKETS, _tasks(keys.count())), "_bucket")
+    dealt.sortWithinPartitions("_bucket", *key).write.partitionBy("_bucket").parquet(folder)
 
 
 def split_known(rows: DataFrame, key: Sequence[str], folders: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import pytest
 
 from annoweave.operators import constraints
 from annoweave.plans.load import CHECKED, load_documents, read_rejects
+from annoweave.session import settle
 from annoweave.sinks import versions
 from annoweave.sinks.tables import write_tables
 from annoweave.sources.manifests import folders, manifest
@@ -124,3 +125,20 @@ def test_published_load_and_append(spark, document, tmp_path):
     assert ("images", "loaded before") in reasons and ("segmentations", "loaded before") in reasons
     with pytest.raises(ValueError, match="needs an id"):
         load_documents(spark, more, root, append=True)
+
+
+@pytest.mark.parametrize("hot", [0, 3000])
+def test_no_task_groups_or_sorts_many_keys(spark, tmp_path, monkeypatch, hot):
+    """Keys are dealt to more tasks as there are more of them, a key of many rows first to several."""
+    monkeypatch.setattr(constraints, "TASK_ROWS", 500)
+    links = spark.range(0, 4000, 1, 4).selectExpr("id annotation_id", "id % 7 attribute_id")
+    if hot:
+        links = links.unionByName(spark.range(0, hot, 1, 4).selectExpr("5L annotation_id", "5L attribute_id"))
+    key = ("annotation_id", "attribute_id")
+    dealt = constraints._repeated(settle(links), key).selectExpr("spark_partition_id() p")
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert constraints.with_repeats({"t": links}, {"t": key}) == (["t"] if hot else [])
+    kept, extra = constraints.split_repeats(links, key)
+    assert kept.count() == 4000 and extra.count() == hot
+    constraints.write_keys(links, key, str(tmp_path / "keys"))
+    assert spark.read.parquet(str(tmp_path / "keys")).count() == 4000 + hot
