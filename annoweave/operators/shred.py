@@ -66,11 +66,13 @@ def _box_is_usable(raw: DataFrame) -> Column:
     """Whether the box is absent or has four elements, each a number or a JSON null."""
     usable = F.size(_box_numbers(raw)) == 4
     if _is_variant(raw, "bbox"):
-        # Only a box with text in it needs a look at each element.
+        # Only a box with text in it needs a look at each element; whether it has is asked once for a row.
+        plain = F.lit(True)
         for i in range(4):
             item = F.try_variant_get(unextracted("bbox"), f"$[{i}]", "variant")
             number = F.try_variant_get(unextracted("bbox"), f"$[{i}]", "double")
-            usable = usable & (~may_hold_text("bbox") | number.isNotNull() | F.is_variant_null(item))
+            plain = plain & (number.isNotNull() | F.is_variant_null(item))
+        usable = usable & (~may_hold_text("bbox") | plain)
     return F.col("bbox").isNull() | F.coalesce(usable, F.lit(False))
 
 

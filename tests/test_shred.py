@@ -168,3 +168,10 @@ def test_tiny_typed_set(spark, rows, document):
     assert shred.annotation_links(kept).count() == 0
     assert shred.polygon_points(kept).count() == 0
 
+
+
+def test_a_box_is_searched_for_text_once(spark, document):
+    """The types of a box are asked for once for a row, not once for each element."""
+    raw = read_documents(spark, document({"annotations": [{"id": 1, "bbox": [1, 2, 3, 4]}]}))["annotations"]
+    plan = shred.boxed(raw).select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SchemaOfVariant.schemaOfVariant") == 1
