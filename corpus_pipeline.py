@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoweave.llm import language, lines, mixing, queries, similar
-from annoweave.llm.common import stored, table
+from annoweave.llm.common import stored, table, text_batches
 from annoweave.operators.joins import keep_matching, keep_unmatched
 
 #: Shingles of so many words, and the percentage of them that near duplicates share.
@@ -20,12 +20,16 @@ SIMILAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told: null texts and texts without letters."""
+    """Drop documents whose language cannot be told: null texts and texts without letters.
+
+    Whole rows pass through Python, their texts twice, so batches are kept small.
+    """
     known = docs.select("doc_id", "text", "lang").where(
         (language.fold() != language.HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     found = language.predict(rows, language.learn(known), ("row",))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    with text_batches(spark):
+        return stored(found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*"), "pipeline-told")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,17 @@ def test_one_row_of_each_group_whatever_its_ids(spark):
         [(1, "a"), (None, "b"), (4, "c"), (6, "d"), (6, "e"), (None, "f")], key=repr)
     mixed = {(r.doc_id, r.text) for r in pipeline.mix_sources(spark, single, "").collect()}
     assert mixed <= {(r.doc_id, r.text) for r in found.collect()}
+
+
+def test_language_stage_sends_small_batches(spark, docs, monkeypatch):
+    """Whole rows go to Python at most a thousand at a time, and the session's setting is back afterwards."""
+    setting, seen, store = "spark.sql.execution.arrow.maxRecordsPerBatch", [], pipeline.stored
+
+    def stored(df, label):
+        seen.append(int(spark.conf.get(setting)))
+        return store(df, label)
+
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(pipeline, "stored", stored)
+    assert pipeline.language_id(spark, docs, "").count() > 0
+    assert seen == [1000] and spark.conf.get(setting) == before
