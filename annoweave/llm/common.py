@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.session import scratch_path
+from annoweave.session import settle
 
 #: A word is a longest run of characters other than space, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,14 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    Cuts the lineage like a checkpoint, survives the loss of executors, and later steps
-    read only the columns they need.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` settled in a scratch folder of this name."""
+    return settle(df, label)
 
 
 @contextmanager

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from annoweave.llm.common import stored, word_count
+from annoweave.session import release
 
 MIN_LINES = 3
 MIN_WORDS = 3
@@ -69,7 +70,10 @@ def _starts(keys: DataFrame) -> DataFrame:
     ordered = _sorted(keys, "k1", "k2")
     before = _carried(ordered, F.sum("n"), lambda a, b: a + b)
     start = F.sum("n").over(_upto()) - F.col("n") + F.coalesce("carried", F.lit(0))
-    return ordered.join(before, "part").withColumn("start", start).drop("part", "place", "carried")
+    starts = stored(ordered.join(before, "part").withColumn("start", start).drop("part", "place", "carried"),
+                    "line-starts")
+    release(ordered)
+    return starts
 
 
 def _split(level: DataFrame, size: int) -> DataFrame:
@@ -80,13 +84,15 @@ def _split(level: DataFrame, size: int) -> DataFrame:
     alone = F.xxhash64(*[here[c] for c in _PLACE]).bitwiseOR(F.lit(-2 ** 63))
     keyed = stored(here.join(there, _same(here, there), "left").select(
         *[here[c] for c in _PLACE], "k1", F.coalesce("k2", alone).alias("k2")), "line-keys")
-    starts = stored(_starts(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))), "line-starts")
+    starts = _starts(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")))
     groups = starts.groupBy("k1").agg(F.min("start").alias("group_start"))
     new = starts.join(groups, "k1").select("k1", "k2", "n", (
         F.col("k1") + F.col("start") - F.col("group_start")).alias("rank"))
     moved = keyed.join(new, ["k1", "k2"]).select(
         *_PLACE, "rank", "n", F.when(F.col("n") > 1, 2 * size).otherwise(size).alias("reach"))
-    return stored(level.where("n = 1").unionByName(moved), "line-ranks")
+    split = stored(level.where("n = 1").unionByName(moved), "line-ranks")
+    release(keyed, starts)
+    return split
 
 
 def _levels(first: DataFrame) -> list[tuple[int, DataFrame]]:
@@ -117,8 +123,12 @@ def _neighbours(levels: list[tuple[int, DataFrame]], least: int) -> DataFrame:
                                & (F.col(f"{side}pos") + F.col("lcp") == F.col("at_pos")), "left").drop(
                                    *[f"at_{c}" for c in _PLACE])
         more = F.when(F.col("found") == F.col("prev_found"), size).otherwise(0)
+        last = pairs
         pairs = stored(pairs.withColumn("lcp", F.col("lcp") + more).drop("found", "prev_found"), "line-pairs")
-    return pairs.where(F.col("lcp") >= least)
+        release(last)
+    found = stored(pairs.where(F.col("lcp") >= least), "line-neighbours")
+    release(pairs)
+    return found
 
 
 def _later(array: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -130,6 +140,7 @@ def _later(array: DataFrame, pairs: DataFrame) -> DataFrame:
     named = ordered.join(before, "part").select(
         *_PLACE, F.coalesce(F.max("head").over(_upto()), "carried").alias("interval"))
     named = stored(named, "line-intervals")
+    release(ordered)
     first = named.groupBy("interval").agg(F.min(F.struct(*_PLACE)).alias("first"),
                                           F.count(F.lit(1)).alias("n")).where("n > 1")
     return named.join(first, "interval").where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
@@ -145,9 +156,11 @@ def _places(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.dropDuplicates(list(_PLACE))
     often = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"),
                                          F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
-    level = stored(rows.join(_starts(often), ["k1", "k2"]).select(
+    starts = _starts(often)
+    level = stored(rows.join(starts, ["k1", "k2"]).select(
         *_PLACE, F.col("start").alias("rank"), "n", F.lit(1).alias("reach"),
         (F.col("long") & (F.struct(*_PLACE) != F.col("first"))).alias("copy")), "line-ranks")
+    release(starts)
     return level.drop("copy"), level.where("copy").select(*_PLACE)
 
 
@@ -158,10 +171,12 @@ def runs(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
     least ``min_lines`` lines, and is not the rest of one that begins a line before.
     """
     first, _ = _places(docs, 0)
-    pairs = _neighbours(_levels(first), min_lines)
+    levels = _levels(first)
+    pairs = _neighbours(levels, min_lines)
     ends = pairs.select(*_PLACE, "lcp").unionByName(
         pairs.select(*[F.col(f"prev_{c}").alias(c) for c in _PLACE], "lcp"))
     longest = stored(ends.groupBy(*_PLACE).agg(F.max("lcp").alias("n_lines")), "line-runs")
+    release(pairs, *[level for _, level in levels[1:]])
     longer = longest.select("doc", "version", (F.col("pos") + 1).alias("pos"),
                             (F.col("n_lines") - 1).alias("n_lines"))
     return longest.join(longer, _same(longest, longer) & (longest["n_lines"] == longer["n_lines"]), "left_anti")
@@ -172,7 +187,10 @@ def repeated(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MI
     first, gone = _places(docs, min_words)
     levels = _levels(first)
     reach = 1 << (min_lines.bit_length() - 1)
-    starts = _later(levels[-1][1].where(F.col("reach") >= reach), _neighbours(levels, min_lines))
+    pairs = _neighbours(levels, min_lines)
+    starts = _later(levels[-1][1].where(F.col("reach") >= reach), pairs)
+    # Its intervals are stored, so the array and all it came from have been read.
+    release(pairs, *[level for _, level in levels[1:]])
     every = F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))
     gone = gone.unionByName(starts.select("doc", "version", F.explode(every).alias("pos")))
     return gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))

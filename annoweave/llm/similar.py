@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from annoweave.llm.common import stored, text_batches
 from annoweave.llm.components import components
 from annoweave.llm.shingles import mix, shingle_sets
-from annoweave.operators.joins import keep_matching
+from annoweave.operators.joins import keep_matching, keep_unmatched
+from annoweave.session import release
 
 #: A shingle in more documents than this is frequent, and larger groups are not paired in full.
 FREQUENT = 32
@@ -110,9 +111,9 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     ranges = docs.select("text").mapInArrow(gather, "part int, hashes binary")
     # A row of hashes may take tens of kilobytes, so they too go to Python few at a time.
     with text_batches(spark, _BLOBS):
-        counted = stored(ranges.repartition("part").sortWithinPartitions("part")
-                         .mapInArrow(count, "key long, n long"), "similar-frequent")
-    counted = counted.withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
+        stored_counts = stored(ranges.repartition("part").sortWithinPartitions("part")
+                               .mapInArrow(count, "key long, n long"), "similar-frequent")
+    counted = stored_counts.withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
     # Whole classes, from the most frequent down, as far as the bound allows.
     sizes = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}
     least, room = 64, SHIPPED
@@ -124,6 +125,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     top = counted.where(F.col("class") >= least).select("key", "class").toArrow()
     keys = top.column("key").to_numpy().astype(np.uint64)
     order = np.argsort(keys)
+    release(stored_counts)
     return keys[order], top.column("class").to_numpy().astype(np.uint8)[order]
 
 
@@ -256,30 +258,36 @@ def _paired(percent: int):
     return work
 
 
-def _other_orders(docs: DataFrame, ids: DataFrame, shared, width: int, percent: int) -> DataFrame:
-    """doc_id, n, the whole set, and its prefixes under the other orders, for the given ids."""
-    shift = 64 - _range_bits(docs.sparkSession) - _VALUE_BITS
-    names = ["doc", "n", "whole"] + [f"p{k}" for k in range(1, ORDERS)]
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0] + [len(p) for p in parts])
-        flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int, columns: list[str], parts) -> DataFrame:
+    """doc, n, and for each of ``columns`` a list of ``parts`` of the whole set, for the given ids."""
+    def lists(found: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0] + [len(f) for f in found])
+        flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 piece = batch.slice(at, _ROWS)
                 sets = list(shingle_sets(piece.column(1), width))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), lists(sets)]
-                    + [lists([_ordered(s, often, shift, k, prefix_length(len(s), percent)) for s in sets])
-                       for k in range(1, ORDERS)], names)
+                    [piece.column(0), pa.array([len(s) for s in sets], pa.int64())]
+                    + [lists(part) for part in parts(sets)], ["doc", "n", *columns])
 
     chosen = keep_matching(_keyed(docs).drop("named"), ids, "doc_id", "doc")
-    schema = "doc long, n long, whole array<long>, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))
-    return chosen.mapInArrow(work, schema)
+    return chosen.mapInArrow(work, ", ".join(["doc long, n long", *[f"{c} array<long>" for c in columns]]))
+
+
+def _other_orders(docs: DataFrame, ids: DataFrame, shared, width: int, percent: int) -> DataFrame:
+    """doc, n and the set's prefixes under the other orders, for the given ids."""
+    shift = 64 - _range_bits(docs.sparkSession) - _VALUE_BITS
+    orders = range(1, ORDERS)
+
+    def prefixes(sets: list[np.ndarray]) -> list[list[np.ndarray]]:
+        often = shared.value
+        return [[_ordered(s, often, shift, k, prefix_length(len(s), percent)) for s in sets] for k in orders]
+
+    return _sets_of(docs, ids, width, [f"p{k}" for k in orders], prefixes)
 
 
 def _passes(order: int, percent: int) -> Column:
@@ -290,21 +298,32 @@ def _passes(order: int, percent: int) -> Column:
     return F.coalesce(left * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n")), F.lit(False))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that pass every other order and whose sets are alike enough."""
-    orders = [f"p{k}" for k in range(1, ORDERS)]
+def _side(sets: DataFrame, name: str) -> DataFrame:
+    return sets.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in sets.columns if c != "doc"])
+
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc"))
 
-    both = pairs.join(side("a", "n", *orders), "a").join(side("b", "n", *orders), "b")
+
+def _links(docs: DataFrame, pairs: DataFrame, orders: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs a, b that pass every other order and whose sets are alike enough.
+
+    Whole sets are made again, of the documents of pairs that have passed the orders: few of those that
+    the first order brings together, and several times the size of the prefixes.
+    """
+    both = pairs.join(_side(orders, "a"), "a").join(_side(orders, "b"), "b")
     for k in range(1, ORDERS):
         both = both.where(_passes(k, percent))
     left = stored(both.select("a", "b").distinct(), "similar-candidates")
-    whole = left.join(side("a", "n", "whole"), "a").join(side("b", "n", "whole"), "b")
+    with text_batches(docs.sparkSession):
+        sets = stored(_sets_of(docs, _ends(left), width, ["whole"], lambda sets: [sets]), "similar-sets")
+    whole = left.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
     common = F.size(F.array_intersect("a_whole", "b_whole"))
     alike = 100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)
-    return whole.where(alike).select("a", "b").distinct()
+    links = stored(whole.where(alike).select("a", "b").distinct(), "similar-links")
+    release(left, sets)
+    return links
 
 
 def _remaining(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -348,27 +367,33 @@ def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     classes = stored(classes, "similar-classes")
     # Only one row of the smallest id of each class goes on; classes of one document need no look-up.
     several = classes.where("copies > 1").select("digest", "first_row")
-    alone = (prefixes.where("digest is not null").join(several, "digest", "left")
-             .where("first_row is null or first_row = row"))
+    repeats = prefixes.select("digest", "row").join(several, "digest").where("row <> first_row").select("row")
+    alone = keep_unmatched(prefixes.where("digest is not null"), repeats, "row", "row")
     rows = (alone.select("doc_id", "n", F.posexplode("first").alias("place", "token"))
             .select("token", F.col("doc_id").alias("doc"), "n", F.col("place").cast("long").alias("place")))
     raw = (rows.repartition("token").sortWithinPartitions("token", "place", "doc")
            .mapInArrow(_paired(percent), "token long, a long, b long, n long, place long"))
     raw = stored(raw, "similar-pairs")
+    # The prefixes are the bulk of it; what comes after needs the other columns only.
+    slim = stored(prefixes.select("doc_id", "named", "n", "digest"), "similar-slim")
+    release(prefixes)
     pairs = raw.where("token is null").select("a", "b").distinct()
     members = raw.where("token is not null")
     pairs = stored(pairs, "similar-distinct")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(
-        members.select(F.col("b").alias("doc"))).distinct()
-    ids = stored(ids, "similar-ids")
+    ids = stored(_ends(pairs).unionByName(members.select(F.col("b").alias("doc"))).distinct(), "similar-ids")
     with text_batches(docs.sparkSession):
-        sets = stored(_other_orders(docs, ids, frequent, width, percent), "similar-sets")
-    links = stored(_links(pairs, sets, percent), "similar-links")
-    roots = components(links)
+        orders = stored(_other_orders(docs, ids, frequent, width, percent), "similar-orders")
+    links = _links(docs, pairs, orders, width, percent)
+    release(pairs, ids)
+    more = None
     if not members.isEmpty():
-        more = stored(_remaining(members, roots, percent), "similar-remaining")
-        links = links.unionByName(_links(more, sets, percent))
-        roots = components(links)
+        parts = components(links)
+        remaining = stored(_remaining(members, parts, percent), "similar-remaining")
+        more = _links(docs, remaining, orders, width, percent)
+        release(remaining)
+    release(raw, orders)
+    roots = components(links if more is None else links.unionByName(more))
+    release(links, *([] if more is None else [more]))
     frequent.destroy()  # all that reads it is stored
     rooted = classes.select(F.col("digest").alias("_digest"), "rep", "least").join(
         roots, F.col("rep") == roots["node"], "left")
@@ -378,7 +403,7 @@ def join_similar(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     classes = rooted.join(names, F.col("root") == F.col("_root"), "left").select(
         "_digest", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
     own = F.when(F.col("named"), F.col("doc_id"))
-    return (prefixes.select(own.alias("doc_id"), "n", "digest")
+    return (slim.select(own.alias("doc_id"), "n", "digest")
             .join(classes, F.col("digest") == F.col("_digest"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component", "doc_id").alias("component_id")))
@@ -402,8 +427,10 @@ def _all_candidates(rows: DataFrame, percent: int, block: int) -> DataFrame:
     good = (((F.col("low") != F.col("high")) | (F.col("l_doc") < F.col("h_doc")))
             & (percent * F.greatest("l_n", "h_n") <= 100 * F.least("l_n", "h_n"))
             & (left * (100 + percent) >= percent * (F.col("l_n") + F.col("h_n"))))
-    return (low.join(high, ["token", "low", "high"]).where(good)
-            .select(F.least("l_doc", "h_doc").alias("a"), F.greatest("l_doc", "h_doc").alias("b")).distinct())
+    pairs = stored(low.join(high, ["token", "low", "high"]).where(good).select(
+        F.least("l_doc", "h_doc").alias("a"), F.greatest("l_doc", "h_doc").alias("b")).distinct(), "similar-pairs")
+    release(dealt)
+    return pairs
 
 
 def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
@@ -426,17 +453,20 @@ def exact_links(docs: DataFrame, *, width: int = 5, percent: int = 80,
     first = prefixes.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
     rows = (first.select(F.col("doc_id").alias("doc"), "n", F.posexplode("first").alias("place", "token"))
             .select("token", "doc", "n", F.col("place").cast("long").alias("place")))
-    pairs = stored(_all_candidates(rows, percent, block), "similar-pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "similar-ids")
+    pairs = _all_candidates(rows, percent, block)
+    ids = stored(_ends(pairs).distinct(), "similar-ids")
     with text_batches(named.sparkSession):
-        sets = stored(_other_orders(named, ids, frequent, width, percent), "similar-sets")
+        orders = stored(_other_orders(named, ids, frequent, width, percent), "similar-orders")
     frequent.destroy()
-    links = stored(_links(pairs, sets, percent), "similar-links")
+    links = _links(named, pairs, orders, width, percent)
+    release(pairs, ids, orders)
     members = (prefixes.select("doc_id", F.col("n").alias("n_shingles"), "digest")
                .join(classes, "digest", "left")
                .join(keyed.select(F.col("key").alias("doc_id"), "own_id"), "doc_id")
                .select(F.col("own_id").alias("doc_id"), "n_shingles", "class", "copies"))
-    return links, stored(members, "similar-members")
+    members = stored(members, "similar-members")
+    release(keyed, prefixes, classes)
+    return links, members
 
 
 def count_links(docs: DataFrame, *, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:

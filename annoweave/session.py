@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,15 +68,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def settle(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go with the end of the write.
+
+    Else they stay until the driver collects its garbage, and pile up from step to step.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Compute ``df`` once: write it as Parquet below the shared folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, so a lost executor does not lose it; later steps
     read only the columns they need.
     """
-    path = scratch_path(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of results of ``settle`` that no later step reads; other tables are passed over."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path in _written:
+            discard(table.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -13,23 +13,30 @@ from pyspark.sql import functions as F
 from annoweave.llm import language, lines, mixing, queries, similar
 from annoweave.llm.common import stored, table, text_batches
 from annoweave.operators.joins import keep_matching, keep_unmatched
+from annoweave.session import release
 
 #: Shingles of so many words, and the percentage of them that near duplicates share.
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: null texts and texts without letters.
 
-    Whole rows pass through Python, their texts twice, so batches are kept small.
+    The language is told of the text alone, so the texts that cannot be told are stored, by their SHA-256,
+    and no row is copied. Whole texts pass through Python, so batches are kept small.
     """
     known = docs.select("doc_id", "text", "lang").where(
         (language.fold() != language.HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    found = language.predict(rows, language.learn(known), ("row",))
+    found = language.predict(docs.select("text", _digest().alias("_digest")), language.learn(known), ("_digest",))
     with text_batches(spark):
-        return stored(found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*"), "pipeline-told")
+        untold = stored(found.where(F.col("lang_pred") == language.UNKNOWN).select("_digest"), "pipeline-untold")
+    named = docs.where("text is not null").withColumn("_digest", _digest())
+    return keep_unmatched(named, untold, "_digest", "_digest").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             | (F.col("doc_id").isNotNull() & (F.col("_h1") == F.col("_first._h1"))
                & (F.col("_h2") == F.col("_first._h2"))))
     gone = stored(members.join(firsts, "_group").where(~same).select("_key"), "pipeline-gone")
+    release(groups, members)
     return keep_unmatched(keyed, gone, "_key", "_key").select(*docs.columns)
 
 

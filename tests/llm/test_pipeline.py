@@ -106,3 +106,18 @@ def test_language_stage_sends_small_batches(spark, docs, monkeypatch):
     monkeypatch.setattr(pipeline, "stored", stored)
     assert pipeline.language_id(spark, docs, "").count() > 0
     assert seen == [1000] and spark.conf.get(setting) == before
+
+
+def test_language_stage_copies_no_text(spark, docs, monkeypatch):
+    """It stores the digests of the texts that cannot be told, whatever the size of the rows."""
+    seen, store = [], pipeline.stored
+
+    def stored(df, label):
+        seen.append(store(df, label))
+        return seen[-1]
+
+    monkeypatch.setattr(pipeline, "stored", stored)
+    named = pipeline.language_id(spark, docs, "")
+    assert [t.columns for t in seen] == [["_digest"]] and seen[0].count() < docs.count() / 2
+    want = [r for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    assert rows(named) == sorted(map(repr, (tuple(r) for r in want)))

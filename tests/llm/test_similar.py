@@ -1,4 +1,5 @@
 from itertools import combinations
+from pathlib import Path
 
 from llm import brute
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from annoweave.llm import similar
 from annoweave.llm.components import components
 from annoweave.llm.shingles import shingle_sets
+from annoweave.session import shared_folder
 
 
 def found(df):
@@ -120,3 +122,37 @@ def test_exact_mode_pairs(docs, nothing):
     assert all(a < b for a, b in pairs) and len(set(pairs)) == len(pairs)
     assert len(pairs) == sum(100 * len(x & y) >= 85 * len(x | y) for x, y in combinations(some, 2))
     assert similar.count_links(nothing).collect() == []
+
+
+def scratch(spark):
+    """What lies in the scratch folder, by name."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    return {p.name: p for p in folder.rglob("annoweave-*")}
+
+
+def test_sets_prefixes_and_pairs_go_before_the_result(spark, docs):
+    """What grows with the shingles or the pairs is deleted by the step that needs it last."""
+    before = set(scratch(spark))
+    got = similar.join_similar(docs)
+    left = {name.split("-", 1)[1].rsplit("-", 1)[0] for name in set(scratch(spark)) - before}
+    assert "similar-slim" in left and not left & {
+        "similar-frequent", "similar-prefixes", "similar-pairs", "similar-distinct", "similar-ids", "similar-orders",
+        "similar-candidates", "similar-sets", "similar-links", "similar-remaining"}
+    assert got.count() == docs.count()
+
+
+def test_whole_sets_only_of_pairs_that_pass_the_orders(docs, monkeypatch):
+    """The whole sets of documents that the first order alone brings together are not stored."""
+    kept, store = {}, similar.stored
+
+    def stored(df, label):
+        kept[label] = store(df, label)
+        if label in ("similar-candidates", "similar-sets", "similar-orders"):
+            kept[label + " rows"] = kept[label].collect()
+        return kept[label]
+
+    monkeypatch.setattr(similar, "stored", stored)
+    similar.join_similar(docs, width=2, percent=50)
+    ends = {d for r in kept["similar-candidates rows"] for d in (r.a, r.b)}
+    assert {r.doc for r in kept["similar-sets rows"]} == ends
+    assert "whole" not in kept["similar-orders"].columns
